@@ -1,2 +1,496 @@
-def split_one_timers(df, col="frequency"):
-    return df.where(f"{col} > 0"), df.where(f"{col} = 0")
+"""Buy-till-you-die models: purchase counts (BG/NBD) and spend (Gamma-Gamma).
+
+Fits are Newton steps in log parameters. Each step is one aggregate over the customers
+collapsed to distinct (frequency, recency, age); terms that depend on the frequency
+alone come from its histogram, which has at most one row per observed day. Scores are
+column expressions.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from tenure.functions.scalars import money_sum
+from tenure.operators.ordered import quantiles
+
+KEY = "customer_id"
+
+
+@dataclass(frozen=True)
+class BgNbd:
+    r: float
+    alpha: float
+    a: float
+    b: float
+    loglik: float = float("nan")
+    iterations: int = 0
+    hessian: tuple = field(default=(), compare=False)
+
+
+@dataclass(frozen=True)
+class GammaGamma:
+    p: float
+    q: float
+    v: float
+    loglik: float = float("nan")
+    iterations: int = 0
+    hessian: tuple = field(default=(), compare=False)
+
+
+# Inputs ---------------------------------------------------------------------------
+
+
+def rfm(tx: DataFrame, obs_end: Column | None = None) -> DataFrame:
+    """Frequency, recency, age and spend from calendar days with purchases.
+
+    Frequency counts repeat days; spend is the mean daily total after the first day.
+    """
+    end = obs_end if obs_end is not None else tx.agg(F.max("invoice_date")).scalar()
+    days = tx.groupBy(KEY, F.to_date("invoice_date").alias("day")).agg(
+        money_sum("line_total").alias("total"))
+    agg = days.groupBy(KEY).agg(
+        F.count("*").alias("n"), F.min("day").alias("first"), F.max("day").alias("last"),
+        money_sum("total").alias("spend"), F.min_by("total", "day").alias("first_total"))
+    x = F.col("n") - 1
+    later = F.col("spend").cast("decimal(18,4)") - F.col("first_total").cast("decimal(18,4)")
+    return agg.select(
+        KEY, x.cast("double").alias("frequency"),
+        F.datediff("last", "first").cast("double").alias("recency"),
+        F.datediff(F.to_date(end), F.col("first")).cast("double").alias("T"),
+        F.when(x > 0, later.cast("double") / x).otherwise(0.0).alias("monetary_value"))
+
+
+def split_one_timers(df: DataFrame, col: str = "frequency") -> tuple[DataFrame, DataFrame]:
+    return df.where(F.col(col) > 0), df.where(F.col(col) == 0)
+
+
+def calibration_end(tx: DataFrame, frac: float = 0.7) -> Column:
+    """First time plus a share of the whole days observed."""
+    lo, hi = F.min("invoice_date"), F.max("invoice_date")
+    days = F.floor((F.unix_micros(hi.cast("timestamp")) - F.unix_micros(lo.cast("timestamp"))) / 86_400_000_000)
+    return tx.agg(lo.alias("lo"), F.floor(days * F.lit(frac)).cast("int").alias("d")).select(
+        F.expr("lo + make_dt_interval(d)")).scalar()
+
+
+def calibration_holdout(tx: DataFrame, frac: float = 0.7) -> DataFrame:
+    """RFM of the calibration period and purchase days of the holdout."""
+    cut = calibration_end(tx, frac)
+    end = tx.agg(F.max("invoice_date")).scalar()
+    day = F.to_date("invoice_date")
+    cal = rfm(tx.where(day <= F.to_date(cut)), cut)
+    held = tx.where(day > F.to_date(cut)).groupBy(KEY).agg(F.count_distinct(day).alias("frequency_holdout"))
+    return cal.select(
+        KEY, F.col("frequency").alias("frequency_cal"), F.col("recency").alias("recency_cal"),
+        F.col("T").alias("T_cal"),
+    ).join(held, KEY, "left").fillna(0, ["frequency_holdout"]).withColumn(
+        "duration_holdout", F.datediff(F.to_date(end), F.to_date(cut)).cast("double"))
+
+
+def independence_corr(df: DataFrame) -> DataFrame:
+    return df.where(F.col("frequency") > 0).agg(F.corr("frequency", "monetary_value").alias("corr"))
+
+
+# Likelihoods ------------------------------------------------------------------------
+
+
+def _mix(x: Column, tx: Column, T: Column, m: BgNbd) -> tuple[Column, Column]:
+    """Log of the alive + dropped-out term, and the dropped-out share."""
+    u = -(x + m.r) * F.ln(T + m.alpha)
+    v = F.when(x > 0, math.log(m.a) - F.ln(x + (m.b - 1)) - (x + m.r) * F.ln(tx + m.alpha))
+    top = F.greatest(u, v)
+    value = top + F.when(x > 0, F.log1p(F.exp(-F.abs(u - v)))).otherwise(0.0)
+    share = F.when(x > 0, 1 / (1 + F.exp(u - v))).otherwise(0.0)
+    return value, share
+
+
+def _log_rising(base: float, x: Column) -> Column:
+    """ln base(base+1)...(base+x-1)."""
+    terms = F.sequence(F.lit(0), x.cast("int") - 1)
+    return F.when(x > 0, F.aggregate(terms, F.lit(0.0), lambda s, i: s + F.ln(i + F.lit(float(base)))))\
+        .otherwise(0.0)
+
+
+def loglik_column(m: BgNbd, x: str = "frequency", tx: str = "recency", T: str = "T") -> Column:
+    x_, t_, T_ = F.col(x), F.col(tx), F.col(T)
+    value, _ = _mix(x_, t_, T_, m)
+    return (_log_rising(m.r, x_) + m.r * math.log(m.alpha) + _log_rising(m.b, x_)
+            - _log_rising(m.a + m.b, x_) + value)
+
+
+def loglik(df: DataFrame, m: BgNbd) -> DataFrame:
+    """Log-likelihood at given parameters, on customers collapsed to distinct histories."""
+    cells = df.groupBy("frequency", "recency", "T").agg(F.count("*").alias("n"))
+    return cells.agg(F.sum(F.col("n") * loglik_column(m)).alias("loglik"), F.sum("n").alias("n"))
+
+
+def _newton(value: Callable, start: Sequence[float], max_iter: int, tol: float = 1e-8):
+    """Maximise over logs of positive parameters; ``value`` gives (f, gradient, Hessian)."""
+    phi = np.log(np.asarray(start, dtype=float))
+    lam, steps = 1e-3, 0
+    f, g, h = value(np.exp(phi))
+
+    def logs(theta, g, h):
+        return theta * g, np.diag(theta * g) + np.outer(theta, theta) * h
+
+    while steps < max_iter:
+        gl, hl = logs(np.exp(phi), g, h)
+        if np.max(np.abs(gl)) < tol:
+            break
+        w, q = np.linalg.eigh(-hl)
+        step = q @ ((q.T @ gl) / (np.abs(w) + lam))
+        step *= min(1.0, 2.0 / max(1e-300, np.max(np.abs(step))))
+        steps += 1
+        f2, g2, h2 = value(np.exp(phi + step))
+        if np.isfinite(f2) and f2 >= f - 1e-13 * max(1.0, abs(f)):
+            small = np.max(np.abs(step)) < 1e-9
+            phi, f, g, h = phi + step, f2, g2, h2
+            lam = max(lam / 10, 1e-12)
+            if small:
+                break
+        else:
+            lam = max(lam * 10, 1e-6)
+            if lam > 1e10:
+                break
+    theta = np.exp(phi)
+    gl, hl = logs(theta, g, h)
+    return theta, f, steps, hl
+
+
+def fit_bgnbd(df: DataFrame, penalty: float = 0.0, prior_sigma: float | None = None,
+              start: Sequence[float] = (1.0, 1.0, 1.0, 1.0), max_iter: int = 60) -> BgNbd:
+    """Maximum (penalised) likelihood, or the posterior mode under half-normal priors.
+
+    The penalty applies to the mean log-likelihood with time scaled so the largest age is
+    10; the priors apply to unscaled parameters.
+    """
+    cells = df.groupBy("frequency", "recency", "T").agg(F.count("*").alias("n")).persist()
+    try:
+        hist = {int(r.x): r.n for r in cells.groupBy(F.col("frequency").alias("x")).agg(
+            F.sum("n").alias("n")).collect()}
+        total = sum(hist.values())
+        scale = 10.0 / max(1.0, cells.agg(F.max("T")).first()[0])
+        top = max(hist)
+        xs = np.array(sorted(hist))
+        ns = np.array([hist[x] for x in sorted(hist)], dtype=float)
+
+        raw: dict[str, float] = {}
+
+        def rising(base: float, order: int) -> np.ndarray:
+            i = base + np.arange(top)
+            f = {0: np.log(i), 1: 1 / i, 2: -1 / i ** 2}[order] if top else np.zeros(0)
+            return np.concatenate([[0.0], np.cumsum(f)])[xs]
+
+        def value(theta):
+            r, alpha, a, b = theta
+            m = BgNbd(r, alpha, a, b)
+            x, t, T = F.col("frequency"), F.col("recency") * scale, F.col("T") * scale
+            f, p = _mix(x, t, T, m)
+            n, live = F.col("n"), 1 - p
+            lu, lv = F.ln(T + alpha), F.ln(t + alpha)
+            iu, iv = 1 / (T + alpha), 1 / (t + alpha)
+            ib = F.when(x > 0, 1 / (x + (b - 1))).otherwise(0.0)
+            rx = x + r
+            gu = [-lu, -rx * iu, F.lit(0.0), F.lit(0.0)]
+            gv = [-lv, -rx * iv, F.lit(1 / a), -ib]
+            cols = {"f": f}
+            for i in range(4):
+                cols[f"g{i}"] = live * gu[i] + p * gv[i]
+                for j in range(i, 4):
+                    cols[f"h{i}{j}"] = live * p * (gv[i] - gu[i]) * (gv[j] - gu[j])
+            cols["h01"] = cols["h01"] - live * iu - p * iv
+            cols["h11"] = cols["h11"] + rx * (live * iu * iu + p * iv * iv)
+            cols["h22"] = cols["h22"] - p / (a * a)
+            cols["h33"] = cols["h33"] + p * ib * ib
+            row = cells.agg(*[F.sum(n * c).alias(k) for k, c in cols.items()]).first()
+            val = row["f"] + float(ns @ (rising(r, 0) + rising(b, 0) - rising(a + b, 0))) + total * r * math.log(alpha)
+            grad = np.array([row[f"g{i}"] for i in range(4)])
+            hess = np.array([[row[f"h{min(i, j)}{max(i, j)}"] for j in range(4)] for i in range(4)])
+            ab1, ab2 = float(ns @ rising(a + b, 1)), float(ns @ rising(a + b, 2))
+            grad += [float(ns @ rising(r, 1)) + total * math.log(alpha), total * r / alpha,
+                     -ab1, float(ns @ rising(b, 1)) - ab1]
+            hess[0, 0] += float(ns @ rising(r, 2))
+            hess[0, 1] += total / alpha
+            hess[1, 0] += total / alpha
+            hess[1, 1] -= total * r / alpha ** 2
+            hess[2:, 2:] -= ab2
+            hess[3, 3] += float(ns @ rising(b, 2))
+            # in unscaled time each repeat purchase carries the density's unit
+            raw["loglik"] = val + float(ns @ xs) * math.log(scale)
+            val, grad, hess = val / total, grad / total, hess / total
+            if prior_sigma:
+                k = np.array([1.0, 1.0 / scale ** 2, 1.0, 1.0]) / (prior_sigma ** 2 * total)
+                val -= float(k @ theta ** 2) / 2
+                grad, hess = grad - k * theta, hess - np.diag(k)
+            if penalty:
+                val -= penalty * float(theta @ theta)
+                grad, hess = grad - 2 * penalty * theta, hess - 2 * penalty * np.eye(4)
+            return val, grad, hess
+
+        theta, _, steps, hess = _newton(value, start, max_iter)
+        value(theta)
+    finally:
+        cells.unpersist()
+    r, alpha, a, b = (float(v) for v in theta)
+    return BgNbd(r, alpha / scale, a, b, raw["loglik"], steps, tuple(map(tuple, hess * total)))
+
+
+def _digamma(x: np.ndarray, order: int = 0) -> np.ndarray:
+    """Digamma (0) or trigamma (1) by upward recurrence and the asymptotic series."""
+    x = np.array(x, dtype=float)
+    out = np.zeros_like(x)
+    for _ in range(8):
+        low = x < 8
+        out = out + np.where(low, -1 / x if order == 0 else 1 / x ** 2, 0.0)
+        x = np.where(low, x + 1, x)
+    i2 = 1 / x ** 2
+    if order == 0:
+        return out + np.log(x) - 0.5 / x - i2 * (1 / 12 - i2 * (1 / 120 - i2 / 252))
+    return out + 1 / x + 0.5 * i2 + i2 / x * (1 / 6 - i2 * (1 / 30 - i2 / 42))
+
+
+def fit_gamma_gamma(df: DataFrame, penalty: float = 0.0, prior_sigma: float | None = None,
+                    start: Sequence[float] = (1.0, 1.0, 1.0), max_iter: int = 100,
+                    scale_spend: bool = True) -> GammaGamma:
+    """Spend model on repeat customers; gamma terms need only the frequency histogram.
+
+    Spend is scaled to mean 1 while fitting, so a penalty does not depend on the currency;
+    ``scale_spend=False`` applies the penalty to parameters in spend units.
+    """
+    rows = df.where((F.col("frequency") > 0) & (F.col("monetary_value") > 0)).select(
+        F.col("frequency").alias("x"), F.col("monetary_value").alias("m")).persist()
+    try:
+        hist = {int(r.x): r.n for r in rows.groupBy("x").agg(F.count("*").alias("n")).collect()}
+        xs = np.array(sorted(hist), dtype=float)
+        ns = np.array([hist[int(x)] for x in xs], dtype=float)
+        total = float(ns.sum())
+        unit = float(rows.agg(F.avg("m")).first()[0]) if scale_spend else 1.0
+        m, x = F.col("m") / unit, F.col("x")
+        fixed = rows.agg(F.sum(F.ln(m)).alias("lm"), F.sum(x * F.ln(m)).alias("xlm")).first()
+        xlx = float(ns @ (xs * np.log(xs)))
+        lg = np.vectorize(math.lgamma)
+
+        def value(theta):
+            p, q, v = (float(t) for t in theta)
+            d = x * m + v
+            row = rows.agg(
+                F.sum(F.ln(d)).alias("s1"), F.sum(x * F.ln(d)).alias("s2"), F.sum(1 / d).alias("s3"),
+                F.sum(x / d).alias("s4"), F.sum(1 / (d * d)).alias("s5"), F.sum(x / (d * d)).alias("s6")).first()
+            pq, px = p * xs + q, p * xs
+            val = (float(ns @ (lg(pq) - lg(px))) - total * math.lgamma(q) + total * q * math.log(v)
+                   + p * fixed.xlm - fixed.lm + p * xlx - p * row.s2 - q * row.s1)
+            psi, psi_px = _digamma(pq), _digamma(px)
+            tri, tri_px = _digamma(pq, 1), _digamma(px, 1)
+            grad = np.array([
+                float(ns @ (xs * (psi - psi_px))) + fixed.xlm + xlx - row.s2,
+                float(ns @ psi) - total * float(_digamma(q)) + total * math.log(v) - row.s1,
+                total * q / v - p * row.s4 - q * row.s3])
+            hpq = float(ns @ (xs * tri))
+            hess = np.array([
+                [float(ns @ (xs ** 2 * (tri - tri_px))), hpq, -row.s4],
+                [hpq, float(ns @ tri) - total * float(_digamma(q, 1)), total / v - row.s3],
+                [-row.s4, total / v - row.s3, -total * q / v ** 2 + p * row.s6 + q * row.s5]])
+            val, grad, hess = val / total, grad / total, hess / total
+            if prior_sigma:
+                k = 1 / (prior_sigma ** 2 * total)
+                val -= k * float(theta @ theta) / 2
+                grad, hess = grad - k * theta, hess - k * np.eye(3)
+            if penalty:
+                val -= penalty * float(theta @ theta)
+                grad, hess = grad - 2 * penalty * theta, hess - 2 * penalty * np.eye(3)
+            return val, grad, hess
+
+        theta, f, steps, hess = _newton(value, start, max_iter)
+    finally:
+        rows.unpersist()
+    p, q, v = (float(t) for t in theta)
+    shift = -total * math.log(unit) if unit != 1.0 else 0.0
+    return GammaGamma(p, q, v * unit, float(f * total) + shift, steps, tuple(map(tuple, hess * total)))
+
+
+# Scores -----------------------------------------------------------------------------
+
+
+def _lit(v) -> Column:
+    return v if isinstance(v, Column) else F.lit(float(v))
+
+
+def p_alive_column(m, x: Column, tx: Column, T: Column) -> Column:
+    r, alpha, a, b = (_lit(m[k] if isinstance(m, dict) else getattr(m, k)) for k in ("r", "alpha", "a", "b"))
+    odds = F.try_divide(a, b + x - 1) * F.exp((r + x) * (F.ln(alpha + T) - F.ln(alpha + tx)))
+    return F.when(x > 0, 1 / (1 + odds)).otherwise(1.0)
+
+
+def expected_purchases_column(m, t: float | Column, x: Column, tx: Column, T: Column, terms: int = 100) -> Column:
+    """Expected purchases in the next t days; the hypergeometric series is a fold of products."""
+    r, alpha, a, b = (_lit(m[k] if isinstance(m, dict) else getattr(m, k)) for k in ("r", "alpha", "a", "b"))
+    a = F.when(F.abs(a - 1) < 1e-6, a + 1e-6).otherwise(a)
+    t = _lit(t)
+    z = t / (alpha + T + t)
+    A, B, C = a + b - 1 - r, a - 1, a + b + x - 1
+    series = F.aggregate(
+        F.sequence(F.lit(0), F.lit(terms - 1)),
+        F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("sum")),
+        lambda acc, k: F.struct(
+            (acc["term"] * (A + k) * (B + k) / ((C + k) * (k + 1)) * z).alias("term"),
+            (acc["sum"] + acc["term"]).alias("sum")),
+        lambda acc: acc["sum"])
+    gone = F.exp((a - 1) * (F.ln(alpha + T) - F.ln(alpha + T + t))) * series
+    odds = F.when(x > 0, F.try_divide(a, b + x - 1) * F.exp((r + x) * (F.ln(alpha + T) - F.ln(alpha + tx)))).otherwise(0.0)
+    return C / (a - 1) * (1 - gone) / (1 + odds)
+
+
+def expected_spend_column(g, x: Column, money: Column) -> Column:
+    p, q, v = (_lit(g[k] if isinstance(g, dict) else getattr(g, k)) for k in ("p", "q", "v"))
+    w = F.try_divide(p * x, p * x + q - 1)
+    return w * money + (1 - w) * F.try_divide(p * v, q - 1)
+
+
+def clv_column(m, spend: Column, x: Column, tx: Column, T: Column, months: int = 6, rate: float = 0.01,
+               month_days: int = 30) -> Column:
+    """Discounted value of the purchases expected in each of the next months."""
+    total, before = F.lit(0.0), F.lit(0.0)
+    for k in range(1, months + 1):
+        now = expected_purchases_column(m, k * month_days, x, tx, T)
+        total = total + spend * (now - before) / (1 + rate) ** k
+        before = now
+    return total
+
+
+
+def p_alive(df: DataFrame, m: BgNbd, out: str = "p_alive") -> DataFrame:
+    return df.withColumn(out, p_alive_column(m, F.col("frequency"), F.col("recency"), F.col("T")))
+
+
+def expected_purchases(df: DataFrame, m: BgNbd, t: float | Column = 180.0, out: str = "expected_purchases") -> DataFrame:
+    return df.withColumn(out, expected_purchases_column(m, t, F.col("frequency"), F.col("recency"), F.col("T")))
+
+
+def expected_spend(df: DataFrame, g: GammaGamma, out: str = "expected_spend", fill_median: bool = False) -> DataFrame:
+    """Expected spend of repeat customers; one-timers get NULL or the repeat median."""
+    spend = F.when(F.col("frequency") > 0, expected_spend_column(g, F.col("frequency"), F.col("monetary_value")))
+    scored = df.withColumn(out, spend)
+    if not fill_median:
+        return scored
+    mid = quantiles(scored.where(F.col(out).isNotNull()), out, [0.5], ["m"]).scalar()
+    return scored.withColumn(out, F.coalesce(F.col(out), mid))
+
+
+def clv(df: DataFrame, m: BgNbd, g: GammaGamma, months: int = 6, rate: float = 0.01, out: str = "clv") -> DataFrame:
+    """Discounted value of repeat customers; NULL for one-timers."""
+    x, tx, T = F.col("frequency"), F.col("recency"), F.col("T")
+    value = clv_column(m, expected_spend_column(g, x, F.col("monetary_value")), x, tx, T, months, rate)
+    return df.withColumn(out, F.when(x > 0, value))
+
+
+def clv_simple(df: DataFrame, purchases: str = "expected_purchases", spend: str = "expected_spend", out: str = "clv_simple") -> DataFrame:
+    return df.withColumn(out, F.col(purchases) * F.col(spend))
+
+
+def clv_fill(df: DataFrame, col: str = "clv") -> DataFrame:
+    """One-timers get 0."""
+    return df.withColumn(col, F.coalesce(F.col(col), F.lit(0.0)))
+
+
+def validate(cal: DataFrame, m: BgNbd) -> DataFrame:
+    """Predicted against actual purchases of the holdout."""
+    from tenure.operators import metrics
+    scored = cal.withColumn("predicted_holdout", expected_purchases_column(
+        m, F.col("duration_holdout"), F.col("frequency_cal"), F.col("recency_cal"), F.col("T_cal")))
+    base = metrics.regression(scored, "frequency_holdout", "predicted_holdout").drop("r2")
+    return base.withColumn("spearman", metrics.spearman(scored, "frequency_holdout", "predicted_holdout").scalar())
+
+
+def score_grid(df: DataFrame, m: BgNbd, t: float = 30.0) -> DataFrame:
+    """P(alive) and expected purchases on the frequency x recency grid the data spans.
+
+    Both axes run to the largest observed value, at the largest observed age.
+    """
+    span = df.agg(F.max("frequency").cast("int").alias("max_x"), F.max("recency").cast("int").alias("max_r"),
+                  F.max("T").alias("T"))
+    grid = span.select(F.explode(F.sequence(F.lit(0), F.col("max_x"))).cast("double").alias("frequency"), "max_r", "T")
+    grid = grid.select("frequency", F.explode(F.sequence(F.lit(0), F.col("max_r"))).cast("double").alias("recency"), "T")
+    return expected_purchases(p_alive(grid, m), m, t)
+
+
+# Posterior --------------------------------------------------------------------------
+
+
+def _gaussian_draws(mode: Sequence[float], hessian: Sequence[Sequence[float]], n: int, seed: int) -> np.ndarray:
+    """Draws of positive parameters from the normal approximation on the log scale."""
+    w, q = np.linalg.eigh(-np.array(hessian))
+    # flat directions are kept within e**2 of the mode
+    w = np.maximum(w, 0.25)
+    sd = 1 / np.sqrt(w)
+    noise = np.random.default_rng(seed).standard_normal((n, len(mode)))
+    return np.exp(np.log(np.array(mode)) + (noise * sd) @ q.T)
+
+
+def draws(m: BgNbd, g: GammaGamma | None, n: int = 500, seed: int = 42) -> list[dict[str, float]]:
+    """Approximate posterior draws around the fitted modes: a small parameter table."""
+    bg = _gaussian_draws((m.r, m.alpha, m.a, m.b), m.hessian, n, seed)
+    out = [dict(draw=i, r=float(v[0]), alpha=float(v[1]), a=float(v[2]), b=float(v[3])) for i, v in enumerate(bg)]
+    if g is not None:
+        gg = _gaussian_draws((g.p, g.q, g.v), g.hessian, n, seed + 1)
+        for d, v in zip(out, gg):
+            d.update(p=float(v[0]), q=float(v[1]), v=float(v[2]))
+    return out
+
+
+def thin(rows: Sequence[dict], k: int = 2) -> list[dict]:
+    """Every k-th draw."""
+    return [d for d in rows if d["draw"] % k == 0]
+
+
+def posterior(df: DataFrame, rows: Sequence[dict], t: float = 180.0, terms: int = 60,
+              what: Sequence[str] = ("purchases", "p_alive", "spend", "clv")) -> DataFrame:
+    """Mean and deviation over draws per customer.
+
+    The draws travel as one literal array and are folded inside each row, so scoring
+    every draw for every customer needs no join and no shuffle.
+    """
+    names = [k for k in rows[0] if k != "draw"]
+    packed = F.array(*[F.struct(*[F.lit(d[k]).alias(k) for k in names]) for d in rows])
+    x, tx, T, money = F.col("frequency"), F.col("recency"), F.col("T"), F.col("monetary_value")
+    repeat = x > 0
+    score = {
+        "purchases": (lambda d: expected_purchases_column(_as(d, names), t, x, tx, T, terms), None),
+        "p_alive": (lambda d: p_alive_column(_as(d, names), x, tx, T), None),
+        "spend": (lambda d: expected_spend_column(_as(d, names), x, money), repeat),
+        "clv": (lambda d: clv_column(_as(d, names), expected_spend_column(_as(d, names), x, money), x, tx, T), repeat),
+    }
+    n = F.lit(float(len(rows)))
+    staged = df.withColumns({f"_{k}": F.when(score[k][1], F.transform(packed, score[k][0])) if score[k][1] is not None
+                             else F.transform(packed, score[k][0]) for k in what})
+    out = staged.withColumns({f"{k}_mean": F.aggregate(f"_{k}", F.lit(0.0), lambda s, v: s + v) / n for k in what})
+    out = out.withColumns({f"{k}_std": F.sqrt(F.aggregate(
+        f"_{k}", F.lit(0.0), _squares(F.col(f"{k}_mean"))) / n) for k in what})
+    return out.drop(*[f"_{k}" for k in what])
+
+
+def _squares(mean: Column):
+    return lambda s, v: s + (v - mean) * (v - mean)
+
+
+def _as(d: Column, names: Sequence[str]) -> dict[str, Column]:
+    return {k: d[k] for k in names}
+
+
+def params_frame(spark: SparkSession, **models) -> DataFrame:
+    """Fitted parameters, one row per model and parameter."""
+    rows = [(name, k, float(v)) for name, m in models.items() for k, v in vars(m).items()
+            if k not in ("hessian", "iterations")]
+    return spark.createDataFrame(rows, "model string, parameter string, value double")
+
+
+def compare_params(spark: SparkSession, a, b, names: tuple[str, str] = ("a", "b")) -> DataFrame:
+    """Two fits side by side with their relative difference."""
+    rows = [(k, float(vars(a)[k]), float(vars(b)[k])) for k in vars(a) if k not in ("hessian", "iterations")]
+    df = spark.createDataFrame(rows, f"parameter string, {names[0]} double, {names[1]} double")
+    return df.withColumn("diff_pct", F.try_divide((F.col(names[1]) - F.col(names[0])) * 100, F.abs(names[0])))

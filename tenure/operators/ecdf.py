@@ -49,13 +49,13 @@ def elbow_chord(grid: DataFrame) -> DataFrame:
     ends = grid.agg(F.struct(
         F.min("day").alias("d0"), F.max("day").alias("d1"),
         F.min_by("cdf", "day").alias("y0"), F.max_by("cdf", "day").alias("y1")).alias("e")).scalar()
-    span = F.greatest(ends["d1"], F.lit(1)).cast("double")
-    x, x0, x1 = F.col("day") / span, ends["d0"] / span, ends["d1"] / span
-    dy, dx = ends["y1"] - ends["y0"], x1 - x0
-    dist = F.abs(dy * x - dx * F.col("cdf") + x1 * ends["y0"] - ends["y1"] * x0) / F.sqrt(
-        dy * dy + dx * dx)
+    e = {k: F.col(f"_e.{k}") for k in ("d0", "d1", "y0", "y1")}
+    span = F.greatest(e["d1"], F.lit(1)).cast("double")
+    x, x0, x1 = F.col("day") / span, e["d0"] / span, e["d1"] / span
+    dy, dx = e["y1"] - e["y0"], x1 - x0
+    dist = F.abs(dy * x - dx * F.col("cdf") + x1 * e["y0"] - e["y1"] * x0) / F.sqrt(dy * dy + dx * dx)
     # rounding keeps float noise from choosing between equal distances
-    scored = grid.withColumn("dist", F.round(dist, 12))
+    scored = grid.withColumn("_e", ends).withColumn("dist", F.round(dist, 12))
     return scored.agg(F.min_by(F.struct("day", "cdf", "dist"), F.struct(-F.col("dist"), "day")).alias("b")
                       ).select(F.col("b.day").alias("elbow_day"), (F.col("b.cdf") * 100).alias("elbow_pct"),
                                F.col("b.dist").alias("distance"))

@@ -348,23 +348,25 @@ def histogram(df: DataFrame, col: str, bins: int, lo: float | None = None, hi: f
         top = quantiles(df, col, [clip_quantile], ["q"]).scalar()
         df = df.withColumn(col, F.when(F.col(col).isNotNull(), F.least(F.col(col), top)))
     if lo is None or hi is None:
-        span = df.agg(F.struct(F.min(col).cast("double").alias("lo"),
-                               F.max(col).cast("double").alias("hi")).alias("s")).scalar()
-        low, high = span["lo"], span["hi"]
+        bounds = df.agg(F.struct(F.min(col).cast("double").alias("lo"),
+                                 F.max(col).cast("double").alias("hi")).alias("s")).scalar()
     else:
-        low, high = F.lit(float(lo)), F.lit(float(hi))
-    v = F.col(col).cast("double")
+        bounds = F.struct(F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"))
+    rows = df.select(*by, F.col(col).cast("double").alias("_v"), bounds.alias("_b"))
+    v, low, high = F.col("_v"), F.col("_b.lo"), F.col("_b.hi")
+    rows = rows.where(v.isNotNull() & (v >= low) & (v <= high))
     # a single-valued column falls into the first bin
     k = F.when(high > low, F.least(F.lit(bins), F.floor(
         F.try_divide((v - low) * bins, high - low)).cast("int") + 1)).otherwise(1)
-    counts = (df.where(v.isNotNull() & (v >= low) & (v <= high))
-              .groupBy(*by, k.alias("bin")).agg(F.count("*").alias("n")))
+    counts = rows.groupBy(*by, k.alias("bin")).agg(F.count("*").alias("n"))
     if not density:
         return counts
-    total = df.where(v.isNotNull() & (v >= low) & (v <= high)).groupBy(*by).agg(
-        F.count("*").alias("_total"))
-    width = (high - low) / bins
-    joined = counts.join(total, list(by)) if by else counts.withColumn(
-        "_total", total.select("_total").scalar())
+    total = rows.groupBy(*by).agg(F.count("*").alias("_total"), F.first("_b").alias("_b"))
+    if by:
+        joined = counts.join(total, list(by))
+    else:
+        joined = counts.withColumn("_x", total.select(F.struct("_total", "_b").alias("x")).scalar()).select(
+            "bin", "n", "_x._total", "_x._b")
+    width = (F.col("_b.hi") - F.col("_b.lo")) / bins
     return joined.withColumn("density", F.try_divide(
-        F.col("n").cast("double"), F.col("_total") * width)).drop("_total")
+        F.col("n").cast("double"), F.col("_total") * width)).drop("_total", "_b")

@@ -42,7 +42,7 @@ def query(name: str, oracle: str | None = None):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if oracle:
-            ORACLES[name] = with_ctes(oracle)
+            ORACLES[name] = oracle
         return fn
 
     return add
@@ -51,13 +51,15 @@ def query(name: str, oracle: str | None = None):
 def with_ctes(body: str) -> str:
     """Prefix a statement with the named tables it uses, in dependency order."""
     ordered: list[str] = []
+    open_names: set[str] = set()
 
     def visit(text: str) -> None:
         for name in CTES:
-            if name not in ordered and re.search(rf"\b{name}\b", text):
+            used = re.search(rf"(\bFROM|\bJOIN|,)\s+{name}\b(?!\.)", text)
+            if used and name not in ordered and name not in open_names:
+                open_names.add(name)
                 visit(CTES[name])
-                if name not in ordered:
-                    ordered.append(name)
+                ordered.append(name)
 
     visit(body)
     if not ordered:

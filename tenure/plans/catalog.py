@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tenure.operators import features, survival
-from tenure.plans import base, relational  # noqa: F401  (registration)
-from tenure.plans.base import ORACLES, QUERIES  # noqa: F401
+from tenure.plans import analytics, base, relational  # noqa: F401  (registration)
+from tenure.plans.base import ORACLES, QUERIES, with_ctes  # noqa: F401
+
+
+def oracles() -> dict[str, str]:
+    return {name: with_ctes(body) for name, body in ORACLES.items()}
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
