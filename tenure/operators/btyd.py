@@ -13,6 +13,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -317,52 +318,75 @@ def fit_gamma_gamma(df: DataFrame, penalty: float = 0.0, prior_sigma: float | No
 # Scores -----------------------------------------------------------------------------
 
 
-def _lit(v) -> Column:
-    return v if isinstance(v, Column) else F.lit(float(v))
+def p_alive_column(m: BgNbd, x: Column, tx: Column, T: Column) -> Column:
+    odds = F.try_divide(F.lit(m.a), x + (m.b - 1)) * F.exp((x + m.r) * (F.ln(T + m.alpha) - F.ln(tx + m.alpha)))
+    return F.when(x > 0, 1 / (1 + odds)).otherwise(1.0)
 
 
-def p_alive_column(m, x: Column, tx: Column, T: Column) -> Column:
-    r, alpha, a, b = (_lit(m[k] if isinstance(m, dict) else getattr(m, k)) for k in ("r", "alpha", "a", "b"))
-    odds = F.try_divide(a, b + x - 1) * F.exp((r + x) * (F.ln(alpha + T) - F.ln(alpha + tx)))
-    return F.when(x > 0, 1 / (1 + odds)).otherwise(1.0)
+def _purchases(m: BgNbd, t, x: np.ndarray, tx: np.ndarray, T: np.ndarray, max_terms: int = 5000) -> np.ndarray:
+    """Expected purchases in the next t days for a batch of customers.
+
+    The hypergeometric series is in its transformed form, whose terms do not grow with
+    the purchase count; it is summed until all customers of the batch have converged.
+    """
+    a = m.a + 1e-6 if abs(m.a - 1) < 1e-6 else m.a
+    z = t / (m.alpha + T + t)
+    A, B, C = a + m.b - 1 - m.r, a - 1, a + m.b + x - 1
+    term, total = np.ones_like(z), np.zeros_like(z)
+    for k in range(max_terms):
+        total = total + term
+        term = term * ((A + k) * (B + k) / ((C + k) * (k + 1))) * z
+        if k > 5 and not np.any(np.abs(term) > 1e-17 * np.abs(total)):
+            break
+    gone = np.exp(B * (np.log(m.alpha + T) - np.log(m.alpha + T + t))) * total
+    return C / B * (1 - gone) * _alive(m, x, tx, T)
 
 
-def expected_purchases_column(m, t: float | Column, x: Column, tx: Column, T: Column, terms: int = 100) -> Column:
-    """Expected purchases in the next t days; the hypergeometric series is a fold of products."""
-    r, alpha, a, b = (_lit(m[k] if isinstance(m, dict) else getattr(m, k)) for k in ("r", "alpha", "a", "b"))
-    a = F.when(F.abs(a - 1) < 1e-6, a + 1e-6).otherwise(a)
-    t = _lit(t)
-    z = t / (alpha + T + t)
-    A, B, C = a + b - 1 - r, a - 1, a + b + x - 1
-    series = F.aggregate(
-        F.sequence(F.lit(0), F.lit(terms - 1)),
-        F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("sum")),
-        lambda acc, k: F.struct(
-            (acc["term"] * (A + k) * (B + k) / ((C + k) * (k + 1)) * z).alias("term"),
-            (acc["sum"] + acc["term"]).alias("sum")),
-        lambda acc: acc["sum"])
-    gone = F.exp((a - 1) * (F.ln(alpha + T) - F.ln(alpha + T + t))) * series
-    odds = F.when(x > 0, F.try_divide(a, b + x - 1) * F.exp((r + x) * (F.ln(alpha + T) - F.ln(alpha + tx)))).otherwise(0.0)
-    return C / (a - 1) * (1 - gone) / (1 + odds)
-
-
-def expected_spend_column(g, x: Column, money: Column) -> Column:
-    p, q, v = (_lit(g[k] if isinstance(g, dict) else getattr(g, k)) for k in ("p", "q", "v"))
-    w = F.try_divide(p * x, p * x + q - 1)
-    return w * money + (1 - w) * F.try_divide(p * v, q - 1)
-
-
-def clv_column(m, spend: Column, x: Column, tx: Column, T: Column, months: int = 6, rate: float = 0.01,
-               month_days: int = 30) -> Column:
-    """Discounted value of the purchases expected in each of the next months."""
-    total, before = F.lit(0.0), F.lit(0.0)
+def _alive(m: BgNbd, x: np.ndarray, tx: np.ndarray, T: np.ndarray) -> np.ndarray:
+    odds = m.a / np.where(x > 0, m.b + x - 1, 1.0) * np.exp((m.r + x) * (np.log(m.alpha + T) - np.log(m.alpha + tx)))
+    return np.where(x > 0, 1 / (1 + odds), 1.0)
+
+
+def _spend(g: GammaGamma, x: np.ndarray, money: np.ndarray) -> np.ndarray:
+    w = g.p * x / (g.p * x + g.q - 1)
+    return w * money + (1 - w) * g.p * g.v / (g.q - 1)
+
+
+def _value(m: BgNbd, spend, x, tx, T, months: int, rate: float, month_days: int = 30) -> np.ndarray:
+    total, before = 0.0, 0.0
     for k in range(1, months + 1):
-        now = expected_purchases_column(m, k * month_days, x, tx, T)
+        now = _purchases(m, float(k * month_days), x, tx, T)
         total = total + spend * (now - before) / (1 + rate) ** k
         before = now
     return total
 
 
+# The series has no built-in counterpart. As a higher-order function it is interpreted
+# term by term; over Arrow batches numpy sums it for all rows at once.
+
+
+def expected_purchases_column(m: BgNbd, t: float | Column, x: Column, tx: Column, T: Column) -> Column:
+    """Expected purchases in the next t days."""
+    @F.pandas_udf("double")
+    def series(t_: pd.Series, x_: pd.Series, tx_: pd.Series, T_: pd.Series) -> pd.Series:
+        return pd.Series(_purchases(m, *(c.to_numpy(dtype=float) for c in (t_, x_, tx_, T_))))
+
+    return series(t if isinstance(t, Column) else F.lit(float(t)), x, tx, T)
+
+
+def expected_spend_column(g: GammaGamma, x: Column, money: Column) -> Column:
+    w = F.try_divide(x * g.p, x * g.p + (g.q - 1))
+    return w * money + (1 - w) * F.lit(g.p * g.v / (g.q - 1))
+
+
+def clv_column(m: BgNbd, spend: Column, x: Column, tx: Column, T: Column, months: int = 6, rate: float = 0.01) -> Column:
+    """Discounted value of the purchases expected in each of the next 30-day months."""
+    @F.pandas_udf("double")
+    def value(s_: pd.Series, x_: pd.Series, tx_: pd.Series, T_: pd.Series) -> pd.Series:
+        return pd.Series(_value(m, *(c.to_numpy(dtype=float) for c in (s_, x_, tx_, T_)), months, rate))
+
+    return value(spend, x, tx, T)
+
 
 def p_alive(df: DataFrame, m: BgNbd, out: str = "p_alive") -> DataFrame:
     return df.withColumn(out, p_alive_column(m, F.col("frequency"), F.col("recency"), F.col("T")))
@@ -414,8 +438,9 @@ def score_grid(df: DataFrame, m: BgNbd, t: float = 30.0) -> DataFrame:
     """
     span = df.agg(F.max("frequency").cast("int").alias("max_x"), F.max("recency").cast("int").alias("max_r"),
                   F.max("T").alias("T"))
-    grid = span.select(F.explode(F.sequence(F.lit(0), F.col("max_x"))).cast("double").alias("frequency"), "max_r", "T")
-    grid = grid.select("frequency", F.explode(F.sequence(F.lit(0), F.col("max_r"))).cast("double").alias("recency"), "T")
+    rows = span.select(F.explode(F.sequence(F.lit(0), F.col("max_x"))).alias("x"), "max_r", "T")
+    cells = rows.select("x", F.explode(F.sequence(F.lit(0), F.col("max_r"))).alias("r"), "T")
+    grid = cells.select(F.col("x").cast("double").alias("frequency"), F.col("r").cast("double").alias("recency"), "T")
     return expected_purchases(p_alive(grid, m), m, t)
 
 
@@ -448,38 +473,46 @@ def thin(rows: Sequence[dict], k: int = 2) -> list[dict]:
     return [d for d in rows if d["draw"] % k == 0]
 
 
-def posterior(df: DataFrame, rows: Sequence[dict], t: float = 180.0, terms: int = 60,
-              what: Sequence[str] = ("purchases", "p_alive", "spend", "clv")) -> DataFrame:
-    """Mean and deviation over draws per customer.
+POSTERIOR = ("purchases", "p_alive", "spend", "clv")
+
+
+def posterior(df: DataFrame, rows: Sequence[dict], t: float = 180.0, months: int = 6, rate: float = 0.01,
+              what: Sequence[str] = POSTERIOR) -> DataFrame:
+    """Mean and deviation over draws per customer; spend and value only for repeat customers.
 
-    The draws travel as one literal array and are folded inside each row, so scoring
-    every draw for every customer needs no join and no shuffle.
+    The draws are a small table that travels with the task; each Arrow batch of customers
+    is scored under every draw in turn, so no join and no shuffle is needed.
     """
-    names = [k for k in rows[0] if k != "draw"]
-    packed = F.array(*[F.struct(*[F.lit(d[k]).alias(k) for k in names]) for d in rows])
-    x, tx, T, money = F.col("frequency"), F.col("recency"), F.col("T"), F.col("monetary_value")
-    repeat = x > 0
-    score = {
-        "purchases": (lambda d: expected_purchases_column(_as(d, names), t, x, tx, T, terms), None),
-        "p_alive": (lambda d: p_alive_column(_as(d, names), x, tx, T), None),
-        "spend": (lambda d: expected_spend_column(_as(d, names), x, money), repeat),
-        "clv": (lambda d: clv_column(_as(d, names), expected_spend_column(_as(d, names), x, money), x, tx, T), repeat),
-    }
-    n = F.lit(float(len(rows)))
-    staged = df.withColumns({f"_{k}": F.when(score[k][1], F.transform(packed, score[k][0])) if score[k][1] is not None
-                             else F.transform(packed, score[k][0]) for k in what})
-    out = staged.withColumns({f"{k}_mean": F.aggregate(f"_{k}", F.lit(0.0), lambda s, v: s + v) / n for k in what})
-    out = out.withColumns({f"{k}_std": F.sqrt(F.aggregate(
-        f"_{k}", F.lit(0.0), _squares(F.col(f"{k}_mean"))) / n) for k in what})
-    return out.drop(*[f"_{k}" for k in what])
-
-
-def _squares(mean: Column):
-    return lambda s, v: s + (v - mean) * (v - mean)
-
-
-def _as(d: Column, names: Sequence[str]) -> dict[str, Column]:
-    return {k: d[k] for k in names}
+    models = [(BgNbd(d["r"], d["alpha"], d["a"], d["b"]),
+               GammaGamma(d["p"], d["q"], d["v"]) if "p" in d else None) for d in rows]
+    fields = [f"{k}_{s}" for k in what for s in ("mean", "std")]
+
+    @F.pandas_udf(", ".join(f"{f} double" for f in fields))
+    def score(x_: pd.Series, tx_: pd.Series, T_: pd.Series, money_: pd.Series) -> pd.DataFrame:
+        x, tx, T, money = (c.to_numpy(dtype=float) for c in (x_, tx_, T_, money_))
+        out = {}
+        for k in what:
+            total, squares = np.zeros_like(x), np.zeros_like(x)
+            for i, (m, g) in enumerate(models, 1):
+                if k == "purchases":
+                    v = _purchases(m, t, x, tx, T)
+                elif k == "p_alive":
+                    v = _alive(m, x, tx, T)
+                elif k == "spend":
+                    v = _spend(g, x, money)
+                else:
+                    v = _value(m, _spend(g, x, money), x, tx, T, months, rate)
+                # running mean and squared deviations
+                step = v - total
+                total = total + step / i
+                squares = squares + step * (v - total)
+            alone = (x == 0) & (k in ("spend", "clv"))
+            out[f"{k}_mean"] = np.where(alone, np.nan, total)
+            out[f"{k}_std"] = np.where(alone, np.nan, np.sqrt(squares / len(models)))
+        return pd.DataFrame(out)[fields]
+
+    scored = df.withColumn("_p", score("frequency", "recency", "T", "monetary_value"))
+    return scored.withColumns({f: F.when(~F.isnan(F.col(f"_p.{f}")), F.col(f"_p.{f}")) for f in fields}).drop("_p")
 
 
 def params_frame(spark: SparkSession, **models) -> DataFrame:

@@ -39,7 +39,7 @@ def pca(df: DataFrame, cols: Sequence[str], k: int = 3):
     """
     vec = _vector(standardize(df, cols), [f"{c}_z" for c in cols])
     model = PCA(k=k, inputCol="_vec", outputCol="_pc").fit(vec)
-    load = model.pc.toArray()
+    load = model.pc.toArray().copy()
     for j in range(k):
         big = max(range(len(cols)), key=lambda i: (abs(load[i, j]), -i))
         if load[big, j] < 0:
