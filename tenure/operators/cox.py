@@ -274,7 +274,7 @@ def ph_test(spark, df: DataFrame, model: Cox, duration: str = "duration", event:
     for i, c in enumerate(model.cols):
         stat = float(centred @ scaled[:, i]) ** 2 / (d.sum() * cov[i, i] * spread)
         p = survival.chi2_sf(stat, 1)
-        rows.append((c, stat, p, int(p < 0.05)))
+        rows.append((c, float(stat), float(p), int(p < 0.05)))
     return spark.createDataFrame(rows, "feature string, statistic double, p_value double, violated int")
 
 
