@@ -246,8 +246,8 @@ def _digamma(x: np.ndarray, order: int = 0) -> np.ndarray:
     """Digamma (0) or trigamma (1) by upward recurrence and the asymptotic series."""
     x = np.array(x, dtype=float)
     out = np.zeros_like(x)
-    for _ in range(8):
-        low = x < 8
+    for _ in range(15):
+        low = x < 15
         out = out + np.where(low, -1 / x if order == 0 else 1 / x ** 2, 0.0)
         x = np.where(low, x + 1, x)
     i2 = 1 / x ** 2

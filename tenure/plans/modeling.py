@@ -285,7 +285,7 @@ def churn_rows(spark, sf):
 
 @query("m01_cv_classifier")
 def cv_classifier(spark, sf):
-    return models.cv_classify(churn_rows(spark, sf), CHURN_FEATURES, windows=(45, 365), k=2, rounds=3, depth=3)
+    return models.cv_classify(churn_rows(spark, sf), CHURN_FEATURES, windows=(30, 45, 60), k=2, rounds=3, depth=3)
 
 
 def conversion_rows(spark, sf):
