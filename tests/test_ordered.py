@@ -1,4 +1,5 @@
 import random
+from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
@@ -63,7 +64,7 @@ def test_previous_time_hot_key_and_ties(spark):
     rows = []
     for i in range(600):
         key = "hot" if i % 3 else f"k{i % 50}"
-        rows.append((key, f"{i:04d}", pd.Timestamp("2020-01-01") + pd.Timedelta(hours=rng.randrange(400))))
+        rows.append((key, f"{i:04d}", datetime(2020, 1, 1) + timedelta(hours=rng.randrange(400))))
     df = spark.createDataFrame(rows, "customer_id string, invoice string, ts timestamp")
     got = ordered.previous_time(df).toPandas().set_index("invoice")["prev_ts"].sort_index()
     pdf = pd.DataFrame(rows, columns=["c", "invoice", "ts"]).sort_values(["c", "ts", "invoice"])
