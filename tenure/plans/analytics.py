@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tenure.constants import CHURN_FEATURES, CHURN_WINDOWS, CLUSTER_FEATURES, FREQUENCY_BINS, HORIZONS, KM_TIME_POINTS
+from tenure.constants import BUCKET_BINS, CLUSTER_FEATURES, FREQUENCY_BINS, HORIZONS, KM_TIME_POINTS
 from tenure.functions import scalars as S
 from tenure.operators import btyd, cox, ecdf, features, labels, metrics, ordered, report, scorecard, segment, survival
-from tenure.plans.base import CTES, capped, gap_table, invoices, lines, query, rounded, summary
-from tenure.plans.relational import segment_risk, sql_bins, sql_norm_cdf
+from tenure.plans.base import CTES, gap_table, lines, query, rounded, summary
+from tenure.plans.relational import sql_bins, sql_norm_cdf
+from tenure.session import checkpointed
 
 # Gap distribution -----------------------------------------------------------------
 
@@ -16,8 +17,13 @@ CTES["grid"] = """SELECT CAST(d.range AS INTEGER) AS day, count(g.gap_days) / (S
   FROM range(121) d LEFT JOIN gaps g ON g.gap_days <= d.range GROUP BY 1"""
 
 
+# Customer-level tables that an operator reads several times are written once
+# (checkpointed): they are orders of magnitude smaller than the lines behind them.
+
+
 def gap_grid(spark, sf):
-    return ecdf.ecdf(gap_table(spark, sf))
+    """The daily curve: 121 rows, written once since the elbow steps read it repeatedly."""
+    return checkpointed(ecdf.ecdf(gap_table(spark, sf)))
 
 
 @query("h00_prefix_sum", """SELECT gap_days, count(*) AS n, CAST(sum(count(*)) OVER (ORDER BY gap_days) AS BIGINT) AS cum_n FROM gaps GROUP BY 1""")
@@ -301,7 +307,8 @@ def compare_join(spark, sf):
 
 def agreement_input(spark, sf):
     """Recency-based and spend-based scores: exact in both engines, so ranks agree."""
-    return summary(spark, sf).select("customer_id", "frequency", F.col("T").cast("double").alias("a"), F.col("recency").cast("double").alias("b"))
+    return checkpointed(summary(spark, sf).select(
+        "customer_id", "frequency", F.col("T").cast("double").alias("a"), F.col("recency").cast("double").alias("b")))
 
 
 _RANKED = """(SELECT *, rank() OVER (ORDER BY {a}) + (count(*) OVER (PARTITION BY {a}) - 1) / 2.0::DOUBLE AS ra, rank() OVER (ORDER BY {b}) + (count(*) OVER (PARTITION BY {b}) - 1) / 2.0::DOUBLE AS rb FROM {src})"""
@@ -336,9 +343,6 @@ def uncertainty_cv(spark, sf):
     return rounded(metrics.uncertainty_cv(out, "p_alive_mean", "p_alive_std").select("customer_id", "cv"))
 
 
-from tenure.constants import BUCKET_BINS  # noqa: E402
-
-
 @query("j19_freq_bucket_agreement", f"""SELECT {sql_bins('frequency', *BUCKET_BINS)} AS freq_bucket, count(*) AS n, round(avg(alive_a), 6) AS alive_a, round(avg(alive_b), 6) AS alive_b,
   round(avg(purchases_a), 6) AS purchases_a, round(avg(purchases_b), 6) AS purchases_b FROM fits GROUP BY 1""")
 def freq_bucket_agreement(spark, sf):
@@ -395,7 +399,7 @@ def quantile_tiers(spark, sf):
 
 
 def tiered(spark, sf):
-    base = rfm(spark, sf)
+    base = checkpointed(rfm(spark, sf))
     return segment.attach(base, segment.tiers_by_rank(base)).select("customer_id", "segment")
 
 
@@ -418,7 +422,7 @@ def surv(spark, sf):
 
 
 def surv_seg(spark, sf):
-    return survival.attach(surv(spark, sf), tiered(spark, sf))
+    return checkpointed(survival.attach(surv(spark, sf), tiered(spark, sf)))
 
 
 @query("k01_survival_dataset", "SELECT * FROM surv")
@@ -527,7 +531,7 @@ def risked(spark, sf):
     end = features.observation_end(tx)
     freq = tx.groupBy("customer_id").agg((F.count_distinct("invoice") - 1).alias("frequency"))
     out = survival.dataset(tx, end).join(freq, "customer_id").withColumn("risk", -F.col("frequency").cast("double"))
-    return out.withColumn("part", F.when(F.col("customer_id") % 2 == 0, "train").otherwise("test"))
+    return checkpointed(out.withColumn("part", F.when(F.col("customer_id") % 2 == 0, "train").otherwise("test")))
 
 
 def parts(spark, sf):
@@ -621,7 +625,9 @@ CTES["steps"] = """SELECT score, n, pos, sum(n) OVER (ORDER BY score DESC) AS cu
 
 
 def scored(spark, sf):
-    return summary(spark, sf).select("customer_id", S.safe_ratio("recency", "T").alias("score"), (F.col("recency") > 45).cast("int").alias("label"), "frequency", "total_spend")
+    return checkpointed(summary(spark, sf).select(
+        "customer_id", S.safe_ratio("recency", "T").alias("score"), (F.col("recency") > 45).cast("int").alias("label"),
+        "frequency", "total_spend"))
 
 
 @query("m06_roc", "SELECT score AS threshold, round((cum_n - cum_pos) / (total - total_pos), 9) AS fpr, round(cum_pos / total_pos, 9) AS tpr FROM steps")
@@ -712,7 +718,8 @@ def valued(spark, sf):
     cutoff = labels.cutoff_date(tx)
     base = features.clv_base(train, cutoff).select("customer_id", "frequency", "recency", F.col("avg_spend_per_transaction").alias("pred_mean"))
     recent = features.windowed(train, cutoff).select("customer_id", F.col("monetary_last_6m").alias("pred_last"))
-    return metrics.attach_predictions(features.with_labels(base, labels.ground_truth(train, holdout)), recent, ["pred_last"])
+    return checkpointed(metrics.attach_predictions(
+        features.with_labels(base, labels.ground_truth(train, holdout)), recent, ["pred_last"]))
 
 
 _PREDS = {"mean_basket": "pred_mean", "last_half_year": "pred_last"}

@@ -10,29 +10,32 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tenure.constants import CHURN_FEATURES, CLV_FEATURES, HORIZONS, SURVIVAL_FEATURES
-from tenure.operators import btyd, clean, cox, features, labels, metrics, models, ordered, scorecard, survival, survmodels
+from tenure.operators import btyd, clean, cox, features, labels, metrics, models, scorecard, survival, survmodels
 from tenure.plans.analytics import _step_sql, tiered
-from tenure.plans.base import CTES, GROUPS, HOME, PATTERNS, invoices, lines, query, rounded
-from tenure.plans.relational import conversion_labels
+from tenure.plans.base import CTES, GROUPS, HOME, PATTERNS, lines, query, rounded
+from tenure.plans.relational import conversion_labels, sql_norm_cdf
 from tenure.session import checkpointed
 
 TIMES = (90, 180, 360, 540)
 
 
 def survival_features(spark, sf):
-    """Behavioural features with duration, event and segment of every customer."""
+    """Behavioural features with duration, event and segment of every customer.
+
+    One row per customer, written once: fits and scorecards read it many times.
+    """
     tx = lines(spark, sf)
     inv = features.invoices(tx)
     surv = survival.attach(survival.dataset(tx, features.observation_end(tx)), tiered(spark, sf))
     rows = features.behaviour(inv).drop("first_purchase", "last_purchase").join(surv, "customer_id")
-    return clean.finite_cols(rows, SURVIVAL_FEATURES, how="drop")
+    return checkpointed(clean.finite_cols(rows, SURVIVAL_FEATURES, how="drop"))
 
 
 def repeat_rows(spark, sf):
-    """Repeat customers' rows, cut from their lineage since fits read them many times."""
+    """Repeat customers' rows with durations of at least a day."""
     rows = survival_features(spark, sf).where("segment <> 'One-Timer'")
     cols = ["customer_id", "segment", "duration", "event_observed", *SURVIVAL_FEATURES]
-    return checkpointed(survival.clip_duration(rows).select(*cols))
+    return survival.clip_duration(rows).select(*cols)
 
 
 def split_rows(spark, sf):
@@ -131,8 +134,6 @@ def aft_fit(spark, sf):
     return survmodels.aft_scores(test, fit, SURVIVAL_FEATURES).select("customer_id", "mu", "risk")
 
 
-from tenure.plans.relational import sql_norm_cdf  # noqa: E402
-
 CTES["logn"] = """SELECT customer_id, greatest(duration, 1) AS duration, event_observed, 5.0::DOUBLE + 0.2 * num_transactions AS mu FROM behave JOIN surv USING (customer_id)"""
 CTES["sig"] = "SELECT stddev_pop(ln(duration) - mu) AS sigma FROM logn WHERE event_observed = 1"
 
