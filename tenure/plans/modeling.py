@@ -28,7 +28,7 @@ def survival_features(spark, sf):
     inv = features.invoices(tx)
     surv = survival.attach(survival.dataset(tx, features.observation_end(tx)), tiered(spark, sf))
     rows = features.behaviour(inv).drop("first_purchase", "last_purchase").join(surv, "customer_id")
-    return checkpointed(clean.finite_cols(rows, SURVIVAL_FEATURES, how="drop"))
+    return clean.finite_cols(checkpointed(rows), SURVIVAL_FEATURES, how="drop")
 
 
 def repeat_rows(spark, sf):
