@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenure.llm import mixing, sharding, sql, urlfilter
+from tenure.llm import bpe, mixing, sharding, sql, tokencounts, urlfilter
 from tenure.llm.common import table
 
 
@@ -21,6 +22,19 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.rules_table(spark))
 
 
+#: The vocabulary of the registered queries; any rank file with its pattern will do.
+RANKS, PATTERN = "byte_bpe_multi_50k.tiktoken", public_tokenizers.PATTERN
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), PATTERN)
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = tokencounts.count(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), PATTERN, rule="first")
+    return counts.select("doc_id", F.col("section").cast("int").alias("line"), "start", "end", F.col("n_tokens").cast("long").alias("n_tokens"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_query(spark, table(spark, sf_dir, "documents"))
 
@@ -28,6 +42,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_url_filter": op2_url_filter,
+    "op5_bpe": op5_bpe,
+    "op6_token_counts": op6_token_counts,
     "op7_mixing": op7_mixing,
 }
 
