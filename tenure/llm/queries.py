@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenure.llm import bpe, mixing, sharding, sql, tokencounts, urlfilter
+from tenure.llm import ann, bpe, mixing, sharding, sql, tokencounts, urlfilter, vectordups
 from tenure.llm.common import table
 
 
@@ -39,12 +39,22 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_query(spark, table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectordups.link(table(spark, sf_dir, "embeddings"))
+
+
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_url_filter": op2_url_filter,
     "op5_bpe": op5_bpe,
     "op6_token_counts": op6_token_counts,
     "op7_mixing": op7_mixing,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
 ORACLES: dict[str, str] = {
