@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenure.llm import ann, bpe, mixing, sharding, sql, tokencounts, urlfilter, vectordups
+from tenure.llm import ann, bpe, langid, mixing, sharding, sql, tokencounts, urlfilter, vectordups
 from tenure.llm.common import table
 
 
@@ -22,6 +22,12 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.rules_table(spark))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, learn=langid.remainder("doc_id") != 1)
+    return found.select("doc_id", (langid.remainder("doc_id") == 1).alias("held_out"), "lang_pred", "score", "bits", "rejected")
+
+
 #: The vocabulary of the registered queries; any rank file with its pattern will do.
 RANKS, PATTERN = "byte_bpe_multi_50k.tiktoken", public_tokenizers.PATTERN
 
@@ -50,6 +56,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_url_filter": op2_url_filter,
+    "op4_language_id": op4_language_id,
     "op5_bpe": op5_bpe,
     "op6_token_counts": op6_token_counts,
     "op7_mixing": op7_mixing,
