@@ -18,6 +18,7 @@ repeated rows give a row each; texts of any length are encoded whole; other colu
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import struct
 from collections.abc import Iterable, Iterator
@@ -278,6 +279,9 @@ def encoder(ranks: bytes, pattern: str) -> Encoder:
     if key not in _LOADED:
         _LOADED.clear()
         _LOADED[key] = Encoder(parse_ranks(ranks), pattern)
+        # the tables hold many small tuples and no cycles: the collector need not walk them often
+        gc.freeze()
+        gc.set_threshold(200_000, 50, 50)
     return _LOADED[key]
 
 
