@@ -29,14 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tenure.llm.common import stored
+from tenure.llm.common import stored, text_slices
 
 ORDER, BITS = 4, 20
 #: Robust standard deviations and bits above the median at which a document is rejected, and the least
 #: number of learning documents for which a length class has its own limit.
 SPREAD, SLACK, CLASS_ROWS = 12.0, 0.5, 50
 #: Words whose scores a worker keeps; documents it takes at a time; n-grams it sums before it hands them on.
-MAX_WORDS, SLICE, MAX_GRAMS = 600_000, 1_000, 2_000_000
+MAX_WORDS, SLICE, COUNT_SLICE, MAX_GRAMS = 600_000, 2_000, 5_000, 2_000_000
 #: Cells of cross-entropy per bit in the calibration.
 CELLS = 128
 
@@ -56,7 +56,7 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     coded = flat.dictionary_encode()
     offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
     words, ids = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
-    empty = pc.equal(pc.utf8_length(words), 0).to_numpy(zero_copy_only=False)
+    empty = pc.equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
     if empty.any():  # splitting leaves empty strings at the ends
         keep = ~empty[ids]
         offsets = np.append(0, np.cumsum(keep))[offsets]
@@ -121,8 +121,7 @@ def count(docs: DataFrame, order: int = ORDER) -> DataFrame:
         held: dict[str, list[dict]] = {}
         size: dict[str, int] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for part in text_slices(batch, COUNT_SLICE):
                 langs = part.column("lang").dictionary_encode()
                 for k, lang in enumerate(langs.dictionary.to_pylist()):
                     words, ids, _ = words_of(part.column("text").filter(pc.equal(langs.indices, k)))
@@ -249,8 +248,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         scorer = _Scorer(shared.value)
         langs = pa.array(shared.value["langs"], pa.string())
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for part in text_slices(batch, SLICE):
                 words, ids, offsets = words_of(part.column("text"))
                 n = part.num_rows
                 chars = np.zeros(n, np.int64)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenure.llm import ann, bpe, langid, mixing, sharding, sql, tokencounts, urlfilter, vectordups
+from tenure.llm import ann, bpe, langid, mixing, quality, sharding, sql, tokencounts, urlfilter, vectordups
 from tenure.llm.common import table
 
 
@@ -49,6 +49,11 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectordups.link(table(spark, sf_dir, "embeddings"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "words", "perplexity", "limit", "kept")
+
+
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op7_mixing": op7_mixing,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
+    "op9_quality": op9_quality,
     "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
