@@ -310,3 +310,11 @@ def identify(docs: DataFrame, learn: Column | None = None, order: int = ORDER, b
 def remainder(id_col: str, m: int = 3) -> Column:
     """crc32 of the id as text, modulo m; a null id counts as an empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(m))
+
+
+def keep_known(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not rejected; equal rows get the same verdict."""
+    row = F.xxhash64("doc_id", "text")
+    judged = identify(docs.withColumn("doc_id", row))
+    known = judged.where(~F.col("rejected")).select(F.col("doc_id").alias("_known")).distinct()
+    return docs.withColumn("_rid", row).join(known, F.col("_rid") == F.col("_known"), "left_semi").select(*docs.columns)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenure.llm import ann, bpe, langid, mixing, quality, sharding, sql, tokencounts, urlfilter, vectordups
+from tenure.llm import ann, bpe, jaccard, langid, mixing, quality, sharding, sql, tokencounts, urlfilter, vectordups
 from tenure.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.rules_table(spark))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "copies")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, learn=langid.remainder("doc_id") != 1)
@@ -61,6 +65,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_url_filter": op2_url_filter,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_language_id": op4_language_id,
     "op5_bpe": op5_bpe,
     "op6_token_counts": op6_token_counts,
