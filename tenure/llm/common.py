@@ -37,6 +37,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def row_name(docs: DataFrame) -> Column:
+    """Names a row by id and text; rows that are equal in both share it."""
+    return F.xxhash64(docs["doc_id"], docs["text"])
+
+
+def only_rows(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose name is in the one column of ``names``; no column is added, so none can clash."""
+    return docs.join(names, row_name(docs) == names[names.columns[0]], "left_semi")
+
+
 def text_bytes(text: str) -> Column:
     """UTF-8 bytes of a text, 0 for null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
@@ -73,7 +83,7 @@ def _remove_written() -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def text_slices(batch: pa.RecordBatch, rows: int, size: int = 16_000_000) -> Iterator[pa.RecordBatch]:
+def text_slices(batch: pa.RecordBatch, rows: int, size: int = 6_000_000) -> Iterator[pa.RecordBatch]:
     """Pieces of a batch of at most ``rows`` rows and about ``size`` bytes of text, one row at least."""
     ends = np.cumsum(np.nan_to_num(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)))
     at = 0
@@ -82,6 +92,7 @@ def text_slices(batch: pa.RecordBatch, rows: int, size: int = 16_000_000) -> Ite
         to = int(np.searchsorted(ends, base + size, "right"))
         to = max(at + 1, min(to, at + rows))
         yield batch.slice(at, to - at)
+        pa.default_memory_pool().release_unused()
         at = to
 
 

@@ -29,14 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tenure.llm.common import stored, text_slices
+from tenure.llm.common import only_rows, row_name, stored, text_slices
 
 ORDER, BITS = 4, 20
 #: Robust standard deviations and bits above the median at which a document is rejected, and the least
 #: number of learning documents for which a length class has its own limit.
 SPREAD, SLACK, CLASS_ROWS = 12.0, 0.5, 50
 #: Words whose scores a worker keeps; documents it takes at a time; n-grams it sums before it hands them on.
-MAX_WORDS, SLICE, COUNT_SLICE, MAX_GRAMS = 600_000, 2_000, 5_000, 2_000_000
+MAX_WORDS, SLICE, COUNT_SLICE, MAX_GRAMS = 300_000, 2_000, 5_000, 1_000_000
 #: Cells of cross-entropy per bit in the calibration.
 CELLS = 128
 
@@ -314,7 +314,5 @@ def remainder(id_col: str, m: int = 3) -> Column:
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not rejected; equal rows get the same verdict."""
-    row = F.xxhash64("doc_id", "text")
-    judged = identify(docs.withColumn("doc_id", row))
-    known = judged.where(~F.col("rejected")).select(F.col("doc_id").alias("_known")).distinct()
-    return docs.withColumn("_rid", row).join(known, F.col("_rid") == F.col("_known"), "left_semi").select(*docs.columns)
+    judged = identify(docs.select(row_name(docs).alias("doc_id"), "text", "lang"))
+    return only_rows(docs, judged.where(~F.col("rejected")).select(F.col("doc_id").alias("known_row")).distinct())

@@ -139,10 +139,11 @@ def epochs(docs: DataFrame) -> DataFrame:
     lap = F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1)))
     readings = m.select("doc_id", "size", "source_size", "target", "start", "weight", lap.alias("lap"))
     first = F.col("start") + F.col("lap") * F.col("source_size")
-    readings = readings.where(first + F.col("size") / 2 <= F.col("target")).withColumn("position", position(F.least(first / F.col("target"), F.lit(1.0)), F.col("weight")))
-    readings = readings.select(F.col("doc_id").alias("_id"), "position", "lap").dropDuplicates(["_id", "lap"])
-    joined = docs.join(readings, docs["doc_id"] == readings["_id"])
-    return joined.orderBy("position", "_id", "lap").select(*[docs[c] for c in docs.columns])
+    at = position(F.least(first / F.col("target"), F.lit(1.0)), F.col("weight"))
+    readings = readings.where(first + F.col("size") / 2 <= F.col("target")).select(
+        F.col("doc_id").alias("__id"), at.alias("__position"), F.col("lap").alias("__lap")).dropDuplicates(["__id", "__lap"])
+    joined = docs.join(readings, docs["doc_id"] == readings["__id"])
+    return joined.orderBy("__position", "__id", "__lap").select(*[docs[c] for c in docs.columns])
 
 
 def mix_query(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -30,11 +30,11 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tenure.llm.common import broadcast_if_small, release, stored, text_slices, written
+from tenure.llm.common import broadcast_if_small, only_rows, release, row_name, stored, text_slices, written
 
 VOCAB_BITS = 20
 #: Bigrams kept beside the arrays, and bits of the filter (16 MB).
@@ -52,12 +52,13 @@ WORDS = 1 << VOCAB_BITS
 START = WORDS
 #: A bigram is first * SPAN + second.
 SPAN = 1 << (VOCAB_BITS + 1)
-TOKEN = r"([\p{L}\p{M}\p{N}]+|[^\s\p{L}\p{M}\p{N}]+)"
+#: Runs of signs are set apart from the words around them.
+SIGNS = r"([^\s\p{L}\p{M}\p{N}]+)"
 
 
 def bigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Preceding class, own class and document of every word, and words per document."""
-    spaced = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), TOKEN, r"\1 ")
+    spaced = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), SIGNS, r" \1 ")
     lists = pc.utf8_split_whitespace(spaced)
     flat = lists.flatten().dictionary_encode()
     offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
@@ -209,18 +210,13 @@ def _ask(shared: Broadcast):
     return run
 
 
-def row_id() -> Column:
-    """Names a row by id and text; equal rows share it and get the same verdict."""
-    return F.xxhash64("doc_id", "text")
-
-
 def log_perplexities(docs: DataFrame, grams: DataFrame) -> DataFrame:
     """(rid, words, loss): words and mean negative log probability of a word, per distinct row."""
     spark = docs.sparkSession
     model = Model(grams)
     shared = spark.sparkContext.broadcast(model)
     gains = model.tail(grams).mapInArrow(_gains(shared), "key long, gain float")
-    asked = docs.select(row_id().alias("rid"), "text").mapInArrow(_ask(shared), "rid long, key long, times int, known double, words long")
+    asked = docs.select(row_name(docs).alias("rid"), "text").mapInArrow(_ask(shared), "rid long, key long, times int, known double, words long")
     found = asked.join(gains, "key", "left")
     sums = found.groupBy("rid").agg(F.sum("known").alias("known"), F.sum(F.col("times") * F.col("gain")).alias("gained"), F.sum("words").alias("words"))
     return sums.select("rid", "words", F.when(F.col("words") > 0, -(F.col("known") + F.coalesce("gained", F.lit(0.0))) / F.col("words")).alias("loss"))
@@ -250,7 +246,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     release(docs.sparkSession)
     loss = stored(log_perplexities(docs, grams))
     release(docs.sparkSession)
-    rows = docs.select("doc_id", row_id().alias("rid"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("language"))
+    rows = docs.select("doc_id", row_name(docs).alias("rid"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("language"))
     judged = (rows.join(loss, "rid").join(ids, F.col("doc_id") == F.col("label_id"), "left")
               .withColumn("held_out", F.coalesce(fold == 0, F.lit(False))).drop("label_id"))
     # one row per language
@@ -262,7 +258,6 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     return out.select("doc_id", "rid", "words", F.exp("loss").alias("perplexity"), F.exp("limit").alias("limit"), kept.alias("kept"))
 
 
-def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not rejected."""
-    good = classify(docs, labels).where("kept").select("rid").distinct()
-    return docs.withColumn("_rid", row_id()).join(good, F.col("_rid") == F.col("rid"), "left_semi").select(*docs.columns)
+    return only_rows(docs, classify(docs, labels).where("kept").select(F.col("rid").alias("good_row")).distinct())
