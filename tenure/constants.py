@@ -58,15 +58,16 @@ SURVIVAL_FEATURES = (
 )
 CLUSTER_FEATURES = ("frequency", "recency", "monetary_value", "T")
 
-# Right-closed bins and their labels.
-FREQUENCY_BINS = ((-1, 0, 2, 10, 1000),
+# Right-closed bins and their labels; the last bin has no upper edge.
+OPEN = float("inf")
+FREQUENCY_BINS = ((-1, 0, 2, 10, OPEN),
                   ("One-Timer (f=0)", "Low Freq (1-2)", "Medium Freq (3-10)", "High Freq (10+)"))
-RECENCY_BINS = ((-1, 30, 90, 180, 10000),
+RECENCY_BINS = ((-1, 30, 90, 180, OPEN),
                 ("Recent (<30d)", "Active (30-90d)", "Lapsing (90-180d)", "Dormant (>180d)"))
-CV_BINS = ((-0.01, 0.3, 0.7, 1.5, 100),
+CV_BINS = ((-0.01, 0.3, 0.7, 1.5, OPEN),
            ("Low CV (<0.3)", "Med CV (0.3-0.7)", "High CV (0.7-1.5)", "Very High CV (>1.5)"))
 RISK_BINS = ((-0.01, 0.3, 0.7, 1.01), ("High Risk", "Medium Risk", "Low Risk"))
-BUCKET_BINS = ((-1, 0, 2, 5, 10, 20, 300), ("0", "1-2", "3-5", "6-10", "11-20", "20+"))
+BUCKET_BINS = ((-1, 0, 2, 5, 10, 20, OPEN), ("0", "1-2", "3-5", "6-10", "11-20", "20+"))
 
 # Scorecard and survival horizons in days, and status wording.
 HORIZONS = (30, 90, 180, 360)

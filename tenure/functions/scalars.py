@@ -77,13 +77,15 @@ def money_sum(col: Column | str) -> Column:
 
 
 def bin_right_closed(col: Column | str, edges: Sequence[float], labels: Sequence[str]) -> Column:
-    """Label of the interval (edge, next edge] a value falls in; NULL outside."""
+    """Label of the interval (edge, next edge] a value falls in; NULL outside. A last edge of infinity is open."""
     if len(edges) != len(labels) + 1:
         raise ValueError("one label per interval")
     c = _col(col)
     out = None
     for lo, hi, label in zip(edges, edges[1:], labels):
-        cond = (c > F.lit(lo)) & (c <= F.lit(hi))
+        cond = c > F.lit(lo)
+        if hi != float("inf"):
+            cond = cond & (c <= F.lit(hi))
         out = F.when(cond, label) if out is None else out.when(cond, label)
     return out
 

@@ -323,25 +323,45 @@ def p_alive_column(m: BgNbd, x: Column, tx: Column, T: Column) -> Column:
     return F.when(x > 0, 1 / (1 + odds)).otherwise(1.0)
 
 
-def _purchases(m: BgNbd, t, x: np.ndarray, tx: np.ndarray, T: np.ndarray, max_terms: int = 5000) -> np.ndarray:
+def _purchases(m: BgNbd, t, x: np.ndarray, tx: np.ndarray, T: np.ndarray) -> np.ndarray:
     """Expected purchases in the next t days for a batch of customers.
 
     The hypergeometric series is in its transformed form, whose terms do not grow with
-    the purchase count; it is summed until all customers of the batch have converged.
+    the purchase count. A customer's sum is done when a geometric bound on all terms that
+    are left falls below rounding; there is no limit on the number of terms.
     """
     a = m.a + 1e-6 if abs(m.a - 1) < 1e-6 else m.a
     z = t / (m.alpha + T + t)
     A, B, C = a + m.b - 1 - m.r, a - 1, a + m.b + x - 1
-    term, total = np.ones_like(z), np.zeros_like(z)
-    for k in range(max_terms):
-        total = total + term
-        term = term * ((A + k) * (B + k) / ((C + k) * (k + 1))) * z
-        if k > 5 and not np.any(np.abs(term) > 1e-17 * np.abs(total)):
-            break
+    total = _series(A, B, C, z)
     gone = np.exp(B * (np.log(m.alpha + T) - np.log(m.alpha + T + t))) * total
     return C / B * (1 - gone) * _alive(m, x, tx, T)
 
 
+def _series(A: float, B: float, C: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Gauss hypergeometric series at 0 <= z < 1, term by term for the rows not yet done."""
+    C, z = np.broadcast_arrays(np.asarray(C, float), np.asarray(z, float))
+    shape = C.shape
+    C, z = C.ravel(), z.ravel()
+    out, open_ = np.zeros(len(z)), np.arange(len(z))
+    term, total, k = np.ones(len(z)), np.zeros(len(z)), 0
+    while len(open_):
+        total = total + term
+        ratio = (A + k) * (B + k) / ((C + k) * (k + 1)) * z
+        term = term * ratio
+        k += 1
+        if k % 16 == 0:
+            # from here on, ratios stay below the larger of this one and z
+            worst = np.maximum(np.abs(ratio), z)
+            left = np.abs(term) / np.maximum(1 - worst, 1e-300)
+            done = (term == 0) | ((worst < 1) & (k > max(abs(A), abs(B))) & (left <= 1e-16 * np.abs(total)))
+            if done.any():
+                out[open_[done]] = total[done]
+                keep = ~done
+                open_, term, total, C, z = open_[keep], term[keep], total[keep], C[keep], z[keep]
+    return out.reshape(shape)
+
+
 def _alive(m: BgNbd, x: np.ndarray, tx: np.ndarray, T: np.ndarray) -> np.ndarray:
     odds = m.a / np.where(x > 0, m.b + x - 1, 1.0) * np.exp((m.r + x) * (np.log(m.alpha + T) - np.log(m.alpha + tx)))
     return np.where(x > 0, 1 / (1 + odds), 1.0)

@@ -38,6 +38,7 @@ class Cox:
     iterations: int
     n: int
     days: pd.DataFrame | None = None
+    converged: bool = True
 
 
 def scaling(df: DataFrame, cols: Sequence[str]) -> tuple[list[float], list[float]]:
@@ -54,12 +55,14 @@ def _scaled(df: DataFrame, cols, means, stds, duration, event, fold: Column | No
                      (fold if fold is not None else F.lit(-1)).cast("int").alias("fold"), *z)
 
 
-def _reduce(keys: np.ndarray, vals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sum rows of equal key."""
+def _reduce(keys: np.ndarray, vals: np.ndarray, logs: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sum rows of equal key; the 2q weighted columns are relative to exp(logs) and brought to the key's largest."""
     order = np.argsort(keys, kind="stable")
-    k, v = keys[order], vals[order]
+    k, v, s = keys[order], vals[order].copy(), logs[order]
     starts = np.concatenate([[0], np.flatnonzero(np.diff(k)) + 1])
-    return k[starts], np.add.reduceat(v, starts, axis=0)
+    top = np.maximum.reduceat(s, starts)
+    v[:, 1:1 + 2 * q] *= np.exp(s - np.repeat(top, np.diff(np.append(starts, len(k)))))[:, None]
+    return k[starts], np.add.reduceat(v, starts, axis=0), top
 
 
 def _day_sums(rows: DataFrame, betas: dict[int, np.ndarray], p: int) -> dict[int, pd.DataFrame]:
@@ -72,12 +75,20 @@ def _day_sums(rows: DataFrame, betas: dict[int, np.ndarray], p: int) -> dict[int
     def features(pdf: pd.DataFrame, fold: int, beta: np.ndarray):
         keep = pdf["fold"].to_numpy() != fold if fold >= 0 else np.ones(len(pdf), bool)
         x, e, t = pdf[names].to_numpy()[keep], pdf["e"].to_numpy()[keep], pdf["t"].to_numpy()[keep]
-        w = np.exp(np.clip(x @ beta, -50, 50))
+        # weights are relative to the largest of their day, whose logarithm is kept
+        score = x @ beta
+        order = np.argsort(t, kind="stable")
+        x, e, t, score = x[order], e[order], t[order], score[order]
+        starts = np.append(0, np.flatnonzero(np.diff(t)) + 1) if len(t) else np.zeros(0, int)
+        top = np.maximum.reduceat(score, starts) if len(t) else score
+        shift = np.repeat(top, np.diff(np.append(starts, len(t))))
+        w = np.exp(score - shift)
         base = np.empty((len(w), q))
         base[:, 0] = w
         base[:, 1:1 + p] = w[:, None] * x
         base[:, 1 + p:] = w[:, None] * x[:, iu[0]] * x[:, iu[1]]
-        return t, np.hstack([e[:, None], base, e[:, None] * base, e[:, None] * x])
+        vals = np.hstack([e[:, None], base, e[:, None] * base, e[:, None] * x])
+        return t[starts], np.add.reduceat(vals, starts, axis=0) if len(t) else vals, top
 
     def per_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = {m: None for m in betas}
@@ -85,15 +96,12 @@ def _day_sums(rows: DataFrame, betas: dict[int, np.ndarray], p: int) -> dict[int
             if not len(pdf):
                 continue
             for m, beta in betas.items():
-                t, vals = features(pdf, m, beta)
-                if not len(t):
-                    continue
-                if held[m] is not None:
-                    t, vals = np.concatenate([held[m][0], t]), np.vstack([held[m][1], vals])
-                held[m] = _reduce(t, vals)
+                got = features(pdf, m, beta)
+                if len(got[0]):
+                    held[m] = _reduce(*got, q) if held[m] is None else _reduce(*(np.concatenate(pair) for pair in zip(held[m], got)), q)
         for m, got in held.items():
             if got is not None:
-                yield pd.DataFrame({"m": m, "t": got[0], "v": list(got[1])})
+                yield pd.DataFrame({"m": m, "t": got[0], "v": list(got[1]), "s": got[2]})
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -101,55 +109,82 @@ def _day_sums(rows: DataFrame, betas: dict[int, np.ndarray], p: int) -> dict[int
             if not len(pdf):
                 continue
             keys = pdf["m"].to_numpy() * 1e9 + pdf["t"].to_numpy()
-            vals = np.stack(pdf["v"].to_numpy())
-            if held is not None:
-                keys, vals = np.concatenate([held[0], keys]), np.vstack([held[1], vals])
-            held = _reduce(keys, vals)
+            got = keys, np.stack(pdf["v"].to_numpy()), pdf["s"].to_numpy()
+            held = _reduce(*got, q) if held is None else _reduce(*(np.concatenate(pair) for pair in zip(held, got)), q)
         if held is not None:
             m = np.floor((held[0] + 5e8) / 1e9).astype(int)
-            yield pd.DataFrame({"m": m, "t": held[0] - m * 1e9, "v": list(held[1])})
+            yield pd.DataFrame({"m": m, "t": held[0] - m * 1e9, "v": list(held[1]), "s": held[2]})
 
-    schema = "m int, t double, v array<double>"
+    schema = "m int, t double, v array<double>, s double"
     out = (rows.mapInPandas(per_partition, schema).repartition("m", "t")
            .mapInPandas(add_up, schema).toPandas().sort_values(["m", "t"]))
     result = {}
     for m, part in out.groupby("m"):
         v = np.stack(part["v"].to_numpy())
         assert v.shape[1] == width
-        result[int(m)] = (part["t"].to_numpy(), v)
+        result[int(m)] = (part["t"].to_numpy(), v, part["s"].to_numpy())
     return result
 
 
-_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(40)
+def _log_gamma_fall(x: float, n: float) -> float:
+    """log Gamma(x) - log Gamma(x - n), for x - n of 17 or more, by Stirling's series."""
+    y = x - n
+    tail = sum(b * (x ** -(2 * k - 1) - y ** -(2 * k - 1)) for k, b in enumerate((1 / 12, -1 / 360, 1 / 1260, -1 / 1680), 1))
+    return n * math.log(x) - (y - 0.5) * math.log1p(-n / x) - n + tail
 
 
-def _tie_sums(s0: float, e0: float, d: int) -> tuple[float, ...]:
-    """Sums over ties l = 0..d-1 of the Efron terms at c = l/d.
+def _reciprocals(x: float, n: float) -> tuple[float, float]:
+    """Sums of 1/v and 1/v^2 over v = x - n, ..., x - 1, for x - n of 17 or more.
 
-    Written out up to 2,000 ties; beyond that the Euler-Maclaurin formula, whose error is
-    of order d**-3, so a day with any number of events costs the same.
+    These are digamma and trigamma differences, taken term by term of their series.
     """
-    def f(c):
-        den = s0 - c * e0
-        return np.stack([np.log(den), 1 / den, c / den, 1 / den ** 2, c / den ** 2, c * c / den ** 2])
+    y = x - n
+    one = -math.log1p(-n / x) + n / (2 * x * y)
+    two = n / (x * y)
+    for k, b in enumerate((1 / 6, -1 / 30, 1 / 42, -1 / 30, 5 / 66), 1):
+        one += b / (2 * k) * (y ** (-2 * k) - x ** (-2 * k))
+        two += b * (y ** (-2 * k - 1) - x ** (-2 * k - 1))
+    return one, two + (y ** -2 - x ** -2) / 2
 
-    if d <= 2000:
-        return tuple(f(np.arange(d) / d).sum(axis=1))
-    body = (f((_NODES + 1) / 2) * _WEIGHTS / 2).sum(axis=1) * d
-    ends = f(np.array([0.0, 1.0]))
-    h = 1e-4
-    slopes = f(np.array([0.0, h, 1.0 - h, 1.0]))
-    d0, d1 = (slopes[:, 1] - slopes[:, 0]) / h, (slopes[:, 3] - slopes[:, 2]) / h
-    return tuple(body + (ends[:, 0] - ends[:, 1]) / 2 + (d1 - d0) / (12 * d))
 
+def _tie_sums(s0: float, e0: float, d: int) -> tuple[float, ...]:
+    """Sums over ties l = 0..d-1 of the Efron terms at c = l/d.
 
-def _likelihood(t: np.ndarray, v: np.ndarray, beta: np.ndarray, p: int):
+    A term's denominator is e0/d (u - l) with u = s0 d / e0, so the sums are gamma function
+    differences: the same formula and cost for any number of ties. The last 16 terms, near
+    the singularity, are written out.
+    """
+    step = e0 / d
+    u = s0 / step
+    few = min(d, 16)
+    near = u - np.arange(d - few, d)
+    lg, r1, r2 = float(np.log(near).sum()), float((1 / near).sum()), float((1 / near**2).sum())
+    if d > few:
+        lg += _log_gamma_fall(u + 1, d - few)
+        more = _reciprocals(u + 1, d - few)
+        r1, r2 = r1 + more[0], r2 + more[1]
+    lg, r1, r2 = lg + d * math.log(step), r1 / step, r2 / step**2
+    r1c = (s0 * r1 - d) / e0
+    r2c = (s0 * r2 - r1) / e0
+    return lg, r1, r1c, r2, r2c, (s0 * r2c - r1c) / e0
+
+
+def _at_risk(base: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix sums over days, each relative to the largest weight from its day on."""
+    top = np.maximum.accumulate(logs[::-1])[::-1]
+    risk = base * np.exp(logs - top)[:, None]
+    for i in range(len(base) - 2, -1, -1):
+        risk[i] += risk[i + 1] * np.exp(top[i + 1] - top[i])
+    return risk, top
+
+
+def _likelihood(t: np.ndarray, v: np.ndarray, logs: np.ndarray, beta: np.ndarray, p: int):
     """Efron log-likelihood, gradient, information and baseline hazard steps."""
     iu = np.triu_indices(p)
     q = 1 + p + len(iu[0])
     d = np.rint(v[:, 0]).astype(int)
-    risk = np.cumsum(v[::-1, 1:1 + q], axis=0)[::-1]
-    ev = v[:, 1 + q:1 + 2 * q]
+    risk, top = _at_risk(v[:, 1:1 + q], logs)
+    ev = v[:, 1 + q:1 + 2 * q] * np.exp(logs - top)[:, None]
     ex = v[:, 1 + 2 * q:]
 
     def square(row):
@@ -163,12 +198,12 @@ def _likelihood(t: np.ndarray, v: np.ndarray, beta: np.ndarray, p: int):
         s, e = risk[i], ev[i]
         lg, r1, r1c, r2, r2c, r2cc = _tie_sums(s[0], e[0], d[i])
         s1, e1 = s[1:1 + p], e[1:1 + p]
-        ll += float(ex[i] @ beta) - lg
+        ll += float(ex[i] @ beta) - lg - d[i] * top[i]
         grad += ex[i] - (s1 * r1 - e1 * r1c)
         cross = np.outer(s1, e1)
         info += (square(s) * r1 - square(e) * r1c
                  - (np.outer(s1, s1) * r2 - (cross + cross.T) * r2c + np.outer(e1, e1) * r2cc))
-        hazard[i] = d[i] / s[0]
+        hazard[i] = d[i] / s[0] * math.exp(-top[i])
     return ll, grad, info, hazard, risk, d, ex
 
 
@@ -183,8 +218,8 @@ def fit_cox(df: DataFrame, cols: Sequence[str], penalty: float = 0.0, duration:
         beta = np.zeros(p)
 
         def at(b):
-            t, v = _day_sums(rows, {-1: b}, p)[-1]
-            ll, g, info, *rest = _likelihood(t, v, b, p)
+            t, v, logs = _day_sums(rows, {-1: b}, p)[-1]
+            ll, g, info, *rest = _likelihood(t, v, logs, b, p)
             return ll - n * penalty / 2 * b @ b, g - n * penalty * b, info + n * penalty * np.eye(p), ll, t, rest
 
         cur = at(beta)
@@ -197,7 +232,8 @@ def fit_cox(df: DataFrame, cols: Sequence[str], penalty: float = 0.0, duration:
                     break
                 size /= 2
             beta, cur = beta + size * step, new
-            if np.max(np.abs(cur[1])) < tol * n or np.max(np.abs(size * step)) < 1e-9:
+            converged = bool(np.max(np.abs(cur[1])) < tol * n or np.max(np.abs(size * step)) < 1e-9)
+            if converged:
                 break
     finally:
         rows.unpersist()
@@ -206,7 +242,7 @@ def fit_cox(df: DataFrame, cols: Sequence[str], penalty: float = 0.0, duration:
     days = pd.DataFrame({"t": t, "d": d})
     days["resid"] = list(ex - d[:, None] * risk[:, 1:1 + p] / risk[:, :1])
     return Cox(tuple(cols), tuple(means), tuple(stds), beta, cur[2], cur[1], tuple(t),
-               tuple(np.cumsum(hazard)), float(cur[3]), it, n, days)
+               tuple(np.cumsum(hazard)), float(cur[3]), it, n, days, converged)
 
 
 def cox_summary(spark, model: Cox) -> DataFrame:
@@ -282,13 +318,13 @@ def _soft_step(g: np.ndarray, info: np.ndarray, beta: np.ndarray, alpha: float,
     """Coordinate descent on the quadratic model of the penalised likelihood."""
     b = beta.copy()
     r = g + info @ beta
-    for _ in range(500):
+    moved = math.inf
+    while moved > 1e-10 * max(1.0, float(np.max(np.abs(b)))):
         before = b.copy()
         for j in range(len(b)):
             rho = r[j] - info[j] @ b + info[j, j] * b[j]
             b[j] = math.copysign(max(abs(rho) - alpha * l1, 0.0), rho) / (info[j, j] + alpha * (1 - l1) + 1e-12)
-        if np.max(np.abs(b - before)) < 1e-10:
-            break
+        moved = float(np.max(np.abs(b - before)))
     return b
 
 
@@ -300,12 +336,14 @@ class CoxnetFit:
 
 
 def fit_coxnet(df: DataFrame, cols: Sequence[str], l1_ratio: float = 0.9, folds: int = 5, n_alphas: int = 20,
-               min_ratio: float = 0.01, passes: int = 2, key: str = KEY, duration: str = "duration",
+               min_ratio: float = 0.01, tol: float = 1e-4, key: str = KEY, duration: str = "duration",
                event: str = "event_observed", seed: int = 42) -> CoxnetFit:
     """Elastic-net path, with the penalty chosen by held-out concordance.
 
-    All folds and the full fit advance together, so the path costs n_alphas x passes jobs.
+    All folds and the full fit advance together, so a step of all of them is one job. A
+    penalty is done when no coefficient (per standard deviation) moves by more than ``tol``.
     """
+    passes = 0
     p = len(cols)
     means, stds = scaling(df, cols)
     assigned = df.join(ordered.folds(df, key, folds, "shuffled", seed).withColumnRenamed("fold", "_fold"), key)
@@ -325,10 +363,14 @@ def fit_coxnet(df: DataFrame, cols: Sequence[str], l1_ratio: float = 0.9, folds:
         alphas = top * np.geomspace(1.0, min_ratio, n_alphas)
         path = []
         for alpha in alphas:
-            for _ in range(passes):
+            moved = math.inf
+            while moved > tol:
+                before = {m: b.copy() for m, b in betas.items()}
                 for m in betas:
                     betas[m] = _soft_step(state[m][1] / n[m], state[m][2] / n[m], betas[m], alpha, l1_ratio)
                 state = evaluate()
+                passes += 1
+                moved = max(float(np.max(np.abs(betas[m] - before[m]))) for m in betas)
             path.append({m: b.copy() for m, b in betas.items()})
         # held-out risk for every penalty, scored together
         x = [F.col(f"z{i}") for i in range(p)]
@@ -348,11 +390,11 @@ def fit_coxnet(df: DataFrame, cols: Sequence[str], l1_ratio: float = 0.9, folds:
         score = {r.a: r.c or 0.0 for r in got}
         best = max(range(n_alphas), key=lambda a: (round(score.get(a, 0.0), 10), alphas[a]))
         beta = path[best][-1]
-        t, v = _day_sums(rows, {-1: beta}, p)[-1]
-        ll, g, info, hazard, risk_sums, d, ex = _likelihood(t, v, beta, p)
+        t, v, logs = _day_sums(rows, {-1: beta}, p)[-1]
+        ll, g, info, hazard, risk_sums, d, ex = _likelihood(t, v, logs, beta, p)
     finally:
         rows.unpersist()
     model = Cox(tuple(cols), tuple(means), tuple(stds), beta, info, g, tuple(t), tuple(np.cumsum(hazard)), float(ll),
-                n_alphas * passes, total)
+                passes, total)
     table = [(float(alphas[a]), float(score.get(a, float("nan"))), int(np.count_nonzero(path[a][-1]))) for a in range(n_alphas)]
     return CoxnetFit(model, float(alphas[best]), table)

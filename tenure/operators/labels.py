@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tenure.constants import CHURN_WINDOW, CHURN_WINDOWS, CONVERSION_WINDOW, CONVERSION_WINDOWS
 from tenure.functions.scalars import elapsed_days, minus_months, money_sum, month_of, shift_days
-from tenure.operators.ordered import previous_time, row_index
+from tenure.operators.ordered import previous_time, row_index, shuffled
 
 KEY = "customer_id"
 
@@ -147,7 +147,7 @@ def split(df: DataFrame, key: str = KEY, test: float = 0.2, seed: int = 42,
     Depends only on the keys, so it is the same under any partitioning.
     """
     by = [stratify] if stratify else []
-    hashed = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)).cast("decimal(20,0)"))
+    hashed = df.withColumn("_h", shuffled(key, seed))
     index = row_index(hashed.select(*by, "_h"), "_h", by)
     if by:
         total = df.groupBy(*by).agg(F.count("*").alias("_total"))

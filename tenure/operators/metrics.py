@@ -245,11 +245,11 @@ def error_spread(df: DataFrame, actual: str, pred: str) -> DataFrame:
 def feature_distribution(df: DataFrame, cols: Sequence[str], label: str, bins: int = 30,
                          few: int = 5) -> DataFrame:
     """Per label: shares per value for features with few values, else a histogram."""
-    distinct = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
     out = None
     for c in cols:
         rows = df.select(label, F.col(c).cast("double").alias("_v"))
-        if distinct[c] <= few:
+        # whether there is one value more than a few
+        if rows.where("_v IS NOT NULL").select("_v").distinct().limit(few + 1).count() <= few:
             counts = rows.where("_v IS NOT NULL").groupBy(label, F.col("_v").alias("bin")).agg(F.count("*").alias("n"))
         else:
             counts = histogram(rows, "_v", bins, by=[label]).withColumn("bin", F.col("bin").cast("double"))
@@ -267,7 +267,7 @@ def cindex(df: DataFrame, risk: str = "risk", duration: str = "duration", event:
     """Concordance of a risk score with the order of events.
 
     A pair counts when the event of i comes before j's time, or at it with j censored; it
-    is concordant when i has the higher risk, and half when risks are equal (to 8 digits).
+    is concordant when i has the higher risk, and half when risks are equal.
     Pairs are never listed: with the dense rank of the risk written in binary, two ranks
     first differ at one bit, so per bit the rows sharing the leading bits are reduced to
     counts per time and summed from the latest time back. Work is rows x bits.
@@ -275,7 +275,7 @@ def cindex(df: DataFrame, risk: str = "risk", duration: str = "duration", event:
     by = list(by)
     u = F.col(duration).cast("long") * 2 + (1 - F.col(event).cast("int"))
     w = F.col(weight) if weight else F.lit(1.0)
-    rows = df.select(*by, u.alias("_u"), F.round(F.col(risk).cast("double"), 8).alias("_r"),
+    rows = df.select(*by, u.alias("_u"), F.col(risk).cast("double").alias("_r"),
                      F.when(F.col(event) == 1, w).otherwise(0.0).alias("_w"))
     cuts, n = sketch(rows, "_r")
     index = prefix_sum(rows.select(*by, "_r").distinct(), "_r", {"n": F.lit(1)}, by=by, cuts=cuts)
@@ -347,7 +347,7 @@ def td_auc(train: DataFrame, test: DataFrame, times: Sequence[int], risk: str =
     for i, t in enumerate(times):
         vals[f"c{i}"] = F.when((F.col(event) == 1) & (F.col(duration) <= t), w).otherwise(0.0)
         vals[f"m{i}"] = F.when(F.col(duration) > t, 1.0).otherwise(0.0)
-    run = prefix_sum(weighted.withColumn("_r", F.round(F.col(risk).cast("double"), 8)), "_r", vals)
+    run = prefix_sum(weighted.withColumn("_r", F.col(risk).cast("double")), "_r", vals)
     aggs = []
     for i in range(len(times)):
         c, m, cum = F.col(f"c{i}"), F.col(f"m{i}"), F.col(f"cum_m{i}")

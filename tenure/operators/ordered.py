@@ -141,6 +141,13 @@ def previous_time(df: DataFrame, key: str = "customer_id", ts: str = "ts",
             .drop("_day", "_prev", "_carry"))
 
 
+def shuffled(key: str, seed: int) -> Column:
+    """A seeded order of keys: their hash, and where hashes are equal a second one."""
+    first = F.xxhash64(F.col(key), F.lit(seed)).cast("decimal(20,0)")
+    second = F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit("second")), F.lit(10**17)).cast("decimal(17,0)")
+    return (first * F.lit(10**17).cast("decimal(18,0)") + second).cast("decimal(38,0)")
+
+
 def folds(df: DataFrame, key: str, k: int, how: str = "contiguous", seed: int = 42,
           label: str | None = None) -> DataFrame:
     """Fold number 1..k per key: contiguous, shuffled or stratified.
@@ -153,8 +160,7 @@ def folds(df: DataFrame, key: str, k: int, how: str = "contiguous", seed: int =
     if how == "contiguous":
         order = key
     elif how in ("shuffled", "stratified"):
-        # 64-bit hash as the order; the key's low bits separate equal hashes
-        rows = rows.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)).cast("decimal(20,0)"))
+        rows = rows.withColumn("_h", shuffled(key, seed))
         order = "_h"
     else:
         raise ValueError(how)

@@ -80,4 +80,4 @@ def errors_by(df: DataFrame, seg: str, actual: str, preds: Mapping[str, str]) ->
     for m, c in preds.items():
         aggs.append(F.avg(F.abs(a - F.col(c))).alias(f"mae_{m}"))
         aggs.append(F.sqrt(F.avg((a - F.col(c)) * (a - F.col(c)))).alias(f"rmse_{m}"))
-    return df.where(F.col(seg).isNotNull()).groupBy(seg).agg(*aggs)
+    return df.groupBy(seg).agg(*aggs)

@@ -63,12 +63,14 @@ def forest_curves(df: DataFrame, forest: Forest, times: Sequence[int], key: str
     scored = forest.model.transform(_assemble(grid, [*forest.cols, "period"]))
     h = F.least(vector_to_array("_prob")[1], F.lit(1 - 1e-9))
     logs = scored.select(key, "period", F.log1p(-h).alias("_l"))
-    # a time covers the periods that end by it
-    aggs = [F.exp(F.coalesce(F.sum(F.when(F.col("period") < math.ceil((t + 1) / forest.width), F.col("_l"))), F.lit(0.0)))
-            .alias(f"{prefix}{t}") for t in times]
-    total = W.partitionBy(key).orderBy("period").rowsBetween(W.unboundedPreceding, 0)
-    cumulative = logs.withColumn("_h", -F.sum("_l").over(total))
-    out = cumulative.groupBy(key).agg(F.sum("_h").alias("risk"), *aggs)
+    # days 0..t have passed: whole periods count in full, the one that is running by its share
+    aggs = []
+    for t in times:
+        full, rest = divmod(t + 1, forest.width)
+        part = F.when(F.col("period") < full, F.col("_l")).when(F.col("period") == full, F.col("_l") * (rest / forest.width))
+        aggs.append(F.exp(F.coalesce(F.sum(part), F.lit(0.0))).alias(f"{prefix}{t}"))
+    # a period's hazard enters the cumulative hazard of all periods from it on
+    out = logs.groupBy(key).agg(F.sum(-F.col("_l") * (F.lit(forest.periods) - F.col("period"))).alias("risk"), *aggs)
     return df.join(out, key)
 
 
@@ -197,6 +199,11 @@ def aft_scores(df: DataFrame, model, cols: Sequence[str], out: str = "mu") -> Da
     return scored.withColumn(out, F.log("_scale")).withColumn("risk", -F.col(out)).drop("_features", "_scale")
 
 
+def weibull_curves(df: DataFrame, scale: float, times: Sequence[int], mu: str = "mu", prefix: str = "s_") -> DataFrame:
+    """S(t) of the fitted Weibull model: its own log scale per row and its own shape."""
+    return df.withColumns({f"{prefix}{t}": F.exp(-F.exp((math.log(t) - F.col(mu)) / scale)) for t in times})
+
+
 def lognormal_sigma(df: DataFrame, mu: str = "mu", duration: str = "duration", event: str = "event_observed") -> DataFrame:
     """Population deviation of the log residuals of observed events."""
     return df.where(F.col(event) == 1).agg(F.stddev_pop(F.log(duration) - F.col(mu)).alias("sigma"))
@@ -213,7 +220,7 @@ def lognormal_curves(df: DataFrame, sigma: Column, times: Sequence[int], mu: str
 
 def permuted(df: DataFrame, col: str, key: str = KEY, seed: int = 0) -> DataFrame:
     """Replace a column by its values in a seeded random order of the rows."""
-    hashed = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)).cast("decimal(20,0)"))
+    hashed = df.withColumn("_h", ordered.shuffled(key, seed))
     order = ordered.row_index(hashed.select("_h"), "_h")
     place = ordered.row_index(df.select(key), key)
     donors = hashed.select("_h", F.col(col).alias("_v")).join(order, "_h").select("rn", "_v")

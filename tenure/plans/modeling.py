@@ -131,7 +131,8 @@ def boosted_cox(spark, sf):
 def aft_fit(spark, sf):
     train, test = split_rows(spark, sf)
     fit = survmodels.fit_aft(train, SURVIVAL_FEATURES)
-    return survmodels.aft_scores(test, fit, SURVIVAL_FEATURES).select("customer_id", "mu", "risk")
+    scored = survmodels.weibull_curves(survmodels.aft_scores(test, fit, SURVIVAL_FEATURES), fit.scale, TIMES)
+    return scored.select("customer_id", "mu", "risk", *[f"s_{t}" for t in TIMES])
 
 
 CTES["logn"] = """SELECT customer_id, greatest(duration, 1) AS duration, event_observed, 5.0::DOUBLE + 0.2 * num_transactions AS mu FROM behave JOIN surv USING (customer_id)"""
@@ -151,16 +152,14 @@ def evaluate(spark, train, test):
     train = checkpointed(train)
     test = checkpointed(test)
     fit = _cox(train)
-    net = cox.fit_coxnet(train, SURVIVAL_FEATURES, folds=2, n_alphas=3, passes=1).model
+    net = cox.fit_coxnet(train, SURVIVAL_FEATURES, folds=2, n_alphas=3).model
     aft = survmodels.fit_aft(train, SURVIVAL_FEATURES)
-    aft_train = survmodels.aft_scores(train, aft, SURVIVAL_FEATURES)
-    sigma = float(survmodels.lognormal_sigma(aft_train).first()[0])
     scored = {
         "cox": cox.cox_curves(test, fit, TIMES).withColumn("risk", cox.linear_predictor(fit)),
         "coxnet": cox.cox_curves(test, net, TIMES).withColumn("risk", cox.linear_predictor(net)),
         "forest": survmodels.forest_curves(test, _forest(train), TIMES),
         "boosted": survmodels.boosted_curves(test, _boosted(train), TIMES),
-        "aft": survmodels.lognormal_curves(survmodels.aft_scores(test, aft, SURVIVAL_FEATURES), F.lit(sigma), TIMES),
+        "aft": survmodels.weibull_curves(survmodels.aft_scores(test, aft, SURVIVAL_FEATURES), aft.scale, TIMES),
     }
     keep = ["customer_id", "duration", "event_observed", "risk", *[f"s_{t}" for t in TIMES]]
     scored = {m: checkpointed(df.select(*keep)) for m, df in scored.items()}

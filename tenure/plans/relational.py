@@ -184,7 +184,7 @@ def case_when(spark, sf):
 
 
 def sql_bins(col, edges, names):
-    whens = " ".join(f"WHEN {col} > {lo} AND {col} <= {hi} THEN '{n}'"
+    whens = " ".join(f"WHEN {col} > {lo} THEN '{n}'" if hi == float("inf") else f"WHEN {col} > {lo} AND {col} <= {hi} THEN '{n}'"
                      for lo, hi, n in zip(edges, edges[1:], names))
     return f"CASE {whens} END"
 

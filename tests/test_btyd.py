@@ -95,3 +95,22 @@ def test_draws_centre_on_the_mode(customers):
 def test_digamma():
     assert btyd._digamma(np.array([1.0]))[0] == pytest.approx(-0.5772156649015329, abs=1e-10)
     assert btyd._digamma(np.array([1.0]), 1)[0] == pytest.approx(math.pi ** 2 / 6, abs=1e-9)
+
+
+def test_purchase_series_runs_to_convergence():
+    m = btyd.BgNbd.__new__(btyd.BgNbd)
+    for k, v in dict(r=0.3, alpha=5.0, a=2.5, b=3.4).items():
+        object.__setattr__(m, k, v)
+    got = btyd._purchases(m, 3650.0, np.array([0.0, 0.0, 2.0]), np.zeros(3), np.array([0.0, 100.0, 30.0]))
+
+    def long_sum(x, tx, T, t=3650.0):
+        z = t / (m.alpha + T + t)
+        A, B, C = m.a + m.b - 1 - m.r, m.a - 1, m.a + m.b + x - 1
+        k = np.arange(200_000)
+        terms = np.concatenate([[1.0], np.cumprod((A + k) * (B + k) / ((C + k) * (k + 1)) * z)])
+        gone = ((m.alpha + T) / (m.alpha + T + t)) ** B * terms.sum()
+        alive = 1.0 if x == 0 else 1 / (1 + m.a / (m.b + x - 1) * ((m.alpha + T) / (m.alpha + tx)) ** (m.r + x))
+        return C / B * (1 - gone) * alive
+
+    assert got == pytest.approx([long_sum(0, 0, 0), long_sum(0, 0, 100), long_sum(2, 0, 30)], rel=1e-10)
+    assert got[0] == pytest.approx(2.5469, abs=1e-4)

@@ -95,3 +95,17 @@ def test_interp_and_step(spark):
 def test_topk_overlap(spark):
     df = spark.createDataFrame([(i, float(i), float(-i)) for i in range(10)], "customer_id int, a double, b double")
     assert ordered.topk_overlap(df, "a", "b", 6, "customer_id").first().overlap == 2
+
+
+def test_equal_hashes_do_not_share_a_place(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from tenure.operators import survmodels
+
+    real = F.xxhash64
+    # the first hash of every key is the same; only the second tells keys apart
+    monkeypatch.setattr(F, "xxhash64", lambda *c: real(*c) if len(c) > 2 else real(c[0]) * 0 + 7)
+    df = spark.range(60).selectExpr("id AS customer_id", "id AS v")
+    sizes = [r["count"] for r in ordered.folds(df, "customer_id", 4, "shuffled").groupBy("fold").count().collect()]
+    assert sorted(sizes) == [15, 15, 15, 15]
+    mixed = survmodels.permuted(df, "v")
+    assert sorted(r.v for r in mixed.collect()) == list(range(60))

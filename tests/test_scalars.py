@@ -65,3 +65,20 @@ def test_one_hot_drops_first_level(spark):
 def test_first_token(spark):
     df = spark.createDataFrame([(" red  heart box",), ("",), (None,)], "d string")
     assert [r.t for r in df.select(S.first_token("d").alias("t")).collect()] == ["RED", None, None]
+
+
+def test_top_bins_are_open(spark):
+    from tenure import constants as c
+    from tenure.functions.scalars import bin_right_closed
+
+    df = spark.createDataFrame([(1500.0, 20000.0, 250.0, 900.0)], "f double, r double, cv double, b double")
+    row = df.select(*[bin_right_closed(x, *bins).alias(x) for x, bins in (
+        ("f", c.FREQUENCY_BINS), ("r", c.RECENCY_BINS), ("cv", c.CV_BINS), ("b", c.BUCKET_BINS))]).first()
+    assert tuple(row) == ("High Freq (10+)", "Dormant (>180d)", "Very High CV (>1.5)", "20+")
+
+
+def test_segment_errors_keep_every_customer(spark):
+    from tenure.operators import report
+
+    df = spark.createDataFrame([("High", 1.0, 2.0), (None, 3.0, 3.0)], "seg string, y double, p double")
+    assert sum(r.n for r in report.errors_by(df, "seg", "y", {"m": "p"}).collect()) == 2

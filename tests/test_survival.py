@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tenure.operators import cox, metrics, scorecard, survival
+from tenure.operators import survmodels, cox, metrics, scorecard, survival
 
 
 def frame(spark, rows):
@@ -72,13 +72,62 @@ def cohort(spark):
     return spark.createDataFrame(rows, "customer_id int, duration int, event_observed int, x1 double, x2 double").cache()
 
 
-def test_cox_recovers_effects(cohort, spark):
+def efron(x, t, e, beta):
+    """Log-likelihood, gradient and information, row by row."""
+    w = np.exp(x @ beta)
+    ll, g, info = 0.0, np.zeros(x.shape[1]), np.zeros((x.shape[1],) * 2)
+    for day in np.unique(t[e == 1]):
+        risk, dead = t >= day, (t == day) & (e == 1)
+        d = dead.sum()
+        ll += (x[dead] @ beta).sum()
+        g += x[dead].sum(0)
+        for c in range(d):
+            v = w * risk - c / d * w * dead
+            s0, s1 = v.sum(), v @ x
+            ll -= math.log(s0)
+            g -= s1 / s0
+            info += (x.T * v) @ x / s0 - np.outer(s1, s1) / s0**2
+    return ll, g, info
+
+
+def test_cox_equals_a_written_out_fit(cohort, spark):
     m = cox.fit_cox(cohort, ["x1", "x2"])
-    coef = m.beta / np.array(m.stds)
-    assert coef == pytest.approx([0.8, -0.5], abs=0.12)
-    assert np.max(np.abs(m.gradient)) < 1e-3
+    rows = cohort.toPandas()
+    x, t, e = rows[["x1", "x2"]].to_numpy(), rows["duration"].to_numpy(), rows["event_observed"].to_numpy()
+    beta = np.zeros(2)
+    for _ in range(20):
+        ll, g, info = efron(x, t, e, beta)
+        beta = beta + np.linalg.solve(info, g)
+    assert m.converged and m.beta / np.array(m.stds) == pytest.approx(beta, abs=1e-6)
     table = {r.feature: r for r in cox.cox_summary(spark, m).collect()}
-    assert table["x1"].p_value < 1e-6 and table["x1"].lower < 0.8 < table["x1"].upper
+    assert [table[c].se for c in ("x1", "x2")] == pytest.approx(np.sqrt(np.diag(np.linalg.inv(info))), rel=1e-5)
+    centred = efron(x - x.mean(0), t, e, beta)[0]
+    assert m.loglik == pytest.approx(centred, rel=1e-9)
+
+
+def test_cox_takes_any_spread_of_risks(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, int(d), 1, float(1000 * z)) for i, (d, z) in enumerate(zip(rng.integers(1, 60, 200), rng.normal(size=200)))]
+    df = spark.createDataFrame(rows, "customer_id int, t double, e double, z0 double".replace("t double", "t int").replace("e double", "e int"))
+    df = df.selectExpr("cast(t AS double) AS t", "cast(e AS double) AS e", "-1 AS fold", "z0")
+    x, t, e = np.array([[r[3]] for r in rows]), np.array([r[1] for r in rows]), np.ones(200)
+    beta = np.array([0.11])  # scores up to about 300: far beyond a clamp at 50
+    got = cox._likelihood(*cox._day_sums(df, {-1: beta}, 1)[-1], beta, 1)
+    want = efron(x, t, e, beta)
+    assert got[0] == pytest.approx(want[0], rel=1e-9)
+    assert got[1] == pytest.approx(want[1], rel=1e-6)
+
+
+@pytest.mark.parametrize("d,s0,e0", [(1, 5.0, 2.0), (16, 20.0, 20.0), (17, 30.0, 11.0), (2000, 9e4, 2e3), (100_000, 1e5, 1e5), (100_000, 1e9, 7.0)])
+def test_tie_sums_equal_the_written_out_sums(d, s0, e0):
+    c = np.arange(d) / d
+    den = s0 - c * e0
+    want = [np.log(den).sum(), (1 / den).sum(), (c / den).sum(), (1 / den**2).sum(), (c / den**2).sum(), (c * c / den**2).sum()]
+    got = cox._tie_sums(s0, e0, d)
+    # what enters the likelihood is each sum times its powers of s0 and e0; d is the scale
+    scale = [1, s0, e0, s0**2, s0 * e0, e0**2]
+    for g, w, k in zip(got, want, scale):
+        assert abs(g - w) * k <= 1e-10 * max(abs(w) * k, d)
 
 
 def test_efron_gradient_vanishes_with_ties(spark):
@@ -135,3 +184,25 @@ def test_risk_edges(spark):
 def test_brier_of_a_perfect_forecast_is_zero(spark):
     df = frame(spark, [(10, 1, 0.0), (20, 1, 0.0), (40, 1, 0.0)]).withColumn("s_15", (F.col("duration") > 15).cast("double"))
     assert metrics.brier(df, df, [15]).first().brier == pytest.approx(0)
+
+
+def test_forest_curve_does_not_anticipate_a_period(spark):
+    rows = [(i, 100 if i < 400 else 200, int(i < 400), 0.0) for i in range(410)]
+    df = spark.createDataFrame(rows, "customer_id int, duration int, event_observed int, x double")
+    fit = survmodels.fit_forest(df, ["x"], trees=5, depth=3, width=90)
+    row = survmodels.forest_curves(df.limit(1), fit, [0, 89, 90, 134, 179]).first()
+    assert row.s_0 == row.s_89 == pytest.approx(1.0)
+    assert 0.95 < row.s_90 < 1 and row.s_90 > row.s_134 > row.s_179 and row.s_179 < 0.06
+    assert row.s_134 == pytest.approx(math.sqrt(row.s_179), rel=1e-6)
+
+
+def test_aft_curves_are_those_of_the_fitted_family(spark):
+    rng = np.random.default_rng(5)
+    t = 150 * rng.weibull(1.4, 4000)
+    c = rng.uniform(50, 500, 4000)
+    rows = [(i, float(min(a, b)), int(a <= b), 0.0) for i, (a, b) in enumerate(zip(t, c))]
+    df = spark.createDataFrame(rows, "customer_id int, duration double, event_observed int, x double")
+    fit = survmodels.fit_aft(df, ["x"])
+    got = survmodels.weibull_curves(survmodels.aft_scores(df.limit(1), fit, ["x"]), fit.scale, [60, 90, 180, 360]).first()
+    for day in (60, 90, 180, 360):
+        assert got[f"s_{day}"] == pytest.approx(math.exp(-((day / 150) ** 1.4)), abs=0.02)
