@@ -38,7 +38,7 @@ from pyspark.sql import Window as W
 
 from tenure.llm.common import broadcast_if_small, only_rows, release, row_name, stored, text_slices, written
 
-VOCAB_BITS = 20
+VOCAB_BITS = 18
 #: Bigrams kept beside the arrays, and bits of the filter (16 MB).
 HEAD, FILTER_BITS = 1 << 18, 27
 #: Quantile of held-out perplexity, its least number of documents, and cells per unit of log perplexity.
@@ -217,6 +217,7 @@ def log_perplexities(docs: DataFrame, grams: DataFrame) -> DataFrame:
     """(rid, words, loss): words and mean negative log probability of a word, per distinct row."""
     spark = docs.sparkSession
     model = Model(grams)
+    release(spark)
     shared = spark.sparkContext.broadcast(model)
     gains = model.tail(grams).mapInArrow(_gains(shared), "key long, gain float")
     asked = docs.select(row_name(docs).alias("rid"), "text").mapInArrow(_ask(shared), "rid long, key long, times int, known double, words long")
