@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tenure.constants import CAP_QUANTILE, IQR_FACTOR
 from tenure.functions.scalars import finite
 from tenure.operators.ordered import quantiles
+from tenure.session import written
 
 
 def drop_null_key(df: DataFrame, key: str = "customer_id") -> DataFrame:
@@ -63,10 +64,11 @@ def clean(df: DataFrame, dedup_rows: bool = True, outlier: str = "quantile") ->
     """Identified, uncancelled, positive, distinct lines with totals and the outlier rule."""
     out = positive_lines(drop_cancelled(cast_key(drop_null_key(df))))
     out = line_total(dedup(out, dedup_rows))
+    # the rules read the lines for their quantiles and again for the result
     if outlier == "quantile":
-        return quantile_cap(out)
+        return quantile_cap(written(out))
     if outlier == "iqr":
-        return line_total(iqr_fence(out))
+        return line_total(iqr_fence(written(out)))
     if outlier == "none":
         return out
     raise ValueError(outlier)

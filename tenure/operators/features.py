@@ -73,16 +73,27 @@ def first_invoice_lines(tx: DataFrame) -> DataFrame:
     return tx.join(ids.select(KEY, "invoice"), [KEY, "invoice"], "left_semi")
 
 
+def per_customer(tx: DataFrame, distinct: Mapping[str, str]) -> DataFrame:
+    """Dates, invoices, lines, spend and quantity per customer, with counts of distinct values.
+
+    Lines roll up to invoices first, so invoices are counted and not made distinct; every other
+    count is a roll-up of its own to (customer, value). No line is multiplied before a shuffle.
+    """
+    bills = tx.groupBy(KEY, "invoice").agg(
+        F.min("invoice_date").alias("_from"), F.max("invoice_date").alias("_to"), F.count("invoice").alias("_lines"),
+        F.sum(F.col("line_total").cast("decimal(18,4)")).alias("_spend"), F.sum("quantity").alias("_quantity"))
+    out = bills.groupBy(KEY).agg(
+        F.min("_from").alias("first_purchase"), F.max("_to").alias("last_purchase"), F.count("invoice").alias("num_invoices"),
+        F.sum("_lines").alias("num_line_items"), F.sum("_spend").cast("double").alias("total_spend"), F.sum("_quantity").alias("total_quantity"))
+    for name, col in distinct.items():
+        kinds = tx.where(F.col(col).isNotNull()).select(KEY, col).distinct().groupBy(KEY).agg(F.count("*").alias(name))
+        out = out.join(kinds, KEY, "left").fillna(0, [name])
+    return out
+
+
 def customer_summary(tx: DataFrame, obs_end: Column) -> DataFrame:
     """First and last purchase, invoices, spend, quantity, products and derived ratios."""
-    agg = tx.groupBy(KEY).agg(
-        F.min("invoice_date").alias("first_purchase"),
-        F.max("invoice_date").alias("last_purchase"),
-        F.count_distinct("invoice").alias("num_invoices"),
-        money_sum("line_total").alias("total_spend"),
-        F.sum("quantity").alias("total_quantity"),
-        F.count_distinct("stock_code").alias("unique_products"),
-    )
+    agg = per_customer(tx, {"unique_products": "stock_code"}).drop("num_line_items")
     return agg.withColumns({
         "recency": elapsed_days(F.col("last_purchase"), obs_end),
         "T": elapsed_days(F.col("first_purchase"), obs_end),
@@ -107,16 +118,7 @@ def churn_dataset(tx: DataFrame, obs_end: Column) -> DataFrame:
 
 def clv_base(tx: DataFrame, cutoff: Column) -> DataFrame:
     """Training-period customer aggregates with line counts and countries."""
-    agg = tx.groupBy(KEY).agg(
-        F.min("invoice_date").alias("first_purchase"),
-        F.max("invoice_date").alias("last_purchase"),
-        F.count_distinct("invoice").alias("num_invoices"),
-        F.count("invoice").alias("num_line_items"),
-        money_sum("line_total").alias("total_spend"),
-        F.sum("quantity").alias("total_quantity"),
-        F.count_distinct("stock_code").alias("unique_products"),
-        F.count_distinct("country").alias("num_countries"),
-    )
+    agg = per_customer(tx, {"unique_products": "stock_code", "num_countries": "country"})
     out = agg.withColumns({
         "recency": elapsed_days(F.col("last_purchase"), cutoff),
         "T": elapsed_days(F.col("first_purchase"), cutoff),

@@ -218,27 +218,34 @@ def lognormal_curves(df: DataFrame, sigma: Column, times: Sequence[int], mu: str
 # Importance and samples ------------------------------------------------------------------
 
 
-def permuted(df: DataFrame, col: str, key: str = KEY, seed: int = 0) -> DataFrame:
-    """Replace a column by its values in a seeded random order of the rows."""
+def with_donors(df: DataFrame, cols: Sequence[str], key: str = KEY, seed: int = 0) -> DataFrame:
+    """Give every row the values of another row, drawn by a seeded permutation, as the struct ``_donor``."""
     hashed = df.withColumn("_h", ordered.shuffled(key, seed))
     order = ordered.row_index(hashed.select("_h"), "_h")
     place = ordered.row_index(df.select(key), key)
-    donors = hashed.select("_h", F.col(col).alias("_v")).join(order, "_h").select("rn", "_v")
-    return (df.drop(col).join(place, key).join(donors, "rn").withColumnRenamed("_v", col).drop("rn"))
+    donors = hashed.select("_h", F.struct(*cols).alias("_donor")).join(order, "_h").select("rn", "_donor")
+    return df.join(place, key).join(donors, "rn").drop("rn")
+
+
+def permuted(df: DataFrame, col: str, key: str = KEY, seed: int = 0) -> DataFrame:
+    """Replace a column by its values in a seeded random order of the rows."""
+    return with_donors(df, [col], key, seed).withColumn(col, F.col(f"_donor.{col}")).drop("_donor")
 
 
 def permutation_importance(df: DataFrame, cols: Sequence[str], score, repeats: int = 15, seed: int = 42, key: str = KEY) -> DataFrame:
     """Fall of the concordance when a feature's values are shuffled; mean and deviation.
 
-    ``score`` adds the column ``risk``; all shuffles are scored in one concordance job.
+    ``score`` adds the column ``risk``. A repeat draws one permutation for all features, so it
+    costs one join; all shuffles are scored and ranked in one job.
     """
-    base = score(df).select("duration", "event_observed", "risk", F.lit("").alias("feature"), F.lit(0).alias("repeat"))
-    stacked = base
-    for c in cols:
-        for r in range(repeats):
-            mixed = score(permuted(df, c, key, seed * 1000 + r))
-            stacked = stacked.unionByName(mixed.select("duration", "event_observed", "risk", F.lit(c).alias("feature"), F.lit(r).alias("repeat")))
-    cs = metrics.cindex(stacked, by=["feature", "repeat"]).select("feature", "repeat", "c_index")
+    rows = df.select(key, "duration", "event_observed", *cols)
+    stacked = rows.withColumns({"feature": F.lit(""), "repeat": F.lit(0)})
+    for r in range(repeats):
+        pairs = with_donors(rows, cols, key, seed * 1000 + r).withColumn("feature", F.explode(F.array(*[F.lit(c) for c in cols])))
+        mixed = pairs.withColumns({c: F.when(F.col("feature") == c, F.col(f"_donor.{c}")).otherwise(F.col(c)) for c in cols})
+        stacked = stacked.unionByName(mixed.drop("_donor").withColumn("repeat", F.lit(r)))
+    scored = checkpointed(score(stacked).select("duration", "event_observed", "risk", "feature", "repeat"))
+    cs = checkpointed(metrics.cindex(scored, by=["feature", "repeat"]).select("feature", "repeat", "c_index"))
     whole = cs.where("feature = ''").select("c_index").scalar()
     drops = cs.where("feature <> ''").withColumn("drop", whole - F.col("c_index"))
     return drops.groupBy("feature").agg(F.avg("drop").alias("importance_mean"), F.stddev_pop("drop").alias("importance_std"))

@@ -240,7 +240,7 @@ def posterior_summary(spark, sf):
     base = rfm(spark, sf)
     m = btyd.fit_bgnbd(base, prior_sigma=10.0)
     g = btyd.fit_gamma_gamma(base, penalty=0.001)
-    out = btyd.posterior(base, btyd.draws(m, g, n=20))
+    out = btyd.posterior(base, btyd.draws(m, g))
     return out.select("customer_id", *[f"{k}_{s}" for k in ("purchases", "p_alive", "spend", "clv") for s in ("mean", "std")])
 
 
@@ -370,7 +370,7 @@ def pca3(spark, sf):
 
 
 def _segments(spark, sf):
-    return segment.segment_repeat(rfm(spark, sf), CLUSTER_FEATURES, restarts=3)
+    return segment.segment_repeat(rfm(spark, sf), CLUSTER_FEATURES)
 
 
 @query("i03_kmeans3")

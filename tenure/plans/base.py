@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenure.operators import clean, features
+from tenure.session import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -169,8 +170,8 @@ def raw(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Cleaned lines before the outlier rule."""
-    return clean.clean(raw(spark, sf), outlier="none")
+    """Cleaned lines before the outlier rule; written once, as queries read them several times."""
+    return written(clean.clean(raw(spark, sf), outlier="none"))
 
 
 def capped(spark: SparkSession, sf: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from tenure.constants import CHURN_FEATURES, CLV_FEATURES, HORIZONS, SURVIVAL_FEATURES
+from tenure.constants import CHURN_FEATURES, CHURN_WINDOWS, CLV_FEATURES, HORIZONS, SURVIVAL_FEATURES
 from tenure.operators import btyd, clean, cox, features, labels, metrics, models, scorecard, survival, survmodels
 from tenure.plans.analytics import _step_sql, tiered
 from tenure.plans.base import CTES, GROUPS, HOME, PATTERNS, lines, query, rounded
@@ -185,10 +185,9 @@ def survival_comparison(spark, sf):
 
 @query("k31_permutation_importance")
 def permutation_importance(spark, sf):
-    rows = repeat_rows(spark, sf)
-    fit = _cox(rows)
-    return survmodels.permutation_importance(rows, ["num_transactions", "avg_gap", "last_gap"],
-                                             lambda df: df.withColumn("risk", cox.linear_predictor(fit)), repeats=2)
+    train, test = split_rows(spark, sf)
+    fit = _boosted(train)
+    return survmodels.permutation_importance(checkpointed(test), SURVIVAL_FEATURES, lambda df: survmodels.boosted_scores(df, fit))
 
 
 @query("k32_sample_curves")
@@ -285,7 +284,7 @@ def churn_rows(spark, sf):
 
 @query("m01_cv_classifier")
 def cv_classifier(spark, sf):
-    return models.cv_classify(churn_rows(spark, sf), CHURN_FEATURES, windows=(30, 45, 60), k=2, rounds=3, depth=3)
+    return models.cv_classify(churn_rows(spark, sf), CHURN_FEATURES, windows=CHURN_WINDOWS, k=2, rounds=3)
 
 
 def conversion_rows(spark, sf):
@@ -302,7 +301,7 @@ def conversion_rows(spark, sf):
 @query("m02_logistic")
 def logistic(spark, sf):
     train, test, cols = conversion_rows(spark, sf)
-    fit = models.logistic(train, cols, max_iter=100)
+    fit = models.logistic(train, cols)
     return models.importance(spark, fit, cols, len(cols))
 
 
@@ -323,7 +322,7 @@ def boosted_classifier(spark, sf):
 @query("f03_consensus_features")
 def consensus_features(spark, sf):
     train, _, cols = conversion_rows(spark, sf)
-    fits = {"logistic": models.logistic(train, cols, max_iter=50), "forest": models.forest(train, cols, trees=5, depth=5),
+    fits = {"logistic": models.logistic(train, cols), "forest": models.forest(train, cols, trees=5, depth=5),
             "boosted": models.boosted(train, cols, rounds=3, depth=3)}
     return models.consensus({n: models.importance(spark, m, cols, 10) for n, m in fits.items()})
 
@@ -339,7 +338,7 @@ def clv_rows(spark, sf):
 _KINDS = {"linear": {}, "forest": {"trees": 5}, "boosted": {"rounds": 3}}
 
 
-def clv_predictions(spark, sf, k=3):
+def clv_predictions(spark, sf, k=5):
     rows = clv_rows(spark, sf)
     out = rows.select("customer_id", "actual_clv_6m", "returned", "frequency")
     for kind, params in _KINDS.items():
@@ -356,7 +355,7 @@ def clv_regressors(spark, sf):
 @query("m19_clv_export")
 def clv_export(spark, sf):
     rows = clv_rows(spark, sf)
-    linear = models.oof_regress(rows, CLV_FEATURES, "actual_clv_6m", "linear", k=3).withColumnRenamed("pred", "pred_linear")
+    linear = models.oof_regress(rows, CLV_FEATURES, "actual_clv_6m", "linear").withColumnRenamed("pred", "pred_linear")
     scored = metrics.attach_predictions(rows, linear, ["pred_linear"])
     tx, _ = labels.cutoff_split(lines(spark, sf))
     rfm = btyd.rfm(tx)

@@ -40,3 +40,10 @@ def test_entry(spark):
 def test_previous_time_plan_is_never_one_partition(spark):
     plan = entry.queries()["e01_lag_gap"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+@pytest.mark.parametrize("name", ["b09_clean", "d01_customer_summary", "k04_kaplan_meier"])
+def test_log_is_cleaned_once(spark, name):
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    # what is left reads the written lines
+    assert "lineitem.parquet" not in plan and "Expand" not in plan
