@@ -23,18 +23,21 @@ import hashlib
 import struct
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tenure.llm.common import text_slices
+
 #: Entries after which a worker's caches start anew, and the longest cached piece.
 MAX_STATES = 100_000
 MAX_PAIRS = 1_000_000
-MAX_PIECES = 400_000
+MAX_PIECES = 250_000
 LONG_PIECE = 64
-#: Tokens decoded at a time.
-DECODE_BLOCK = 65_536
+#: Tokens decoded, and documents handed on, at a time.
+DECODE_BLOCK, SLICE = 65_536, 1_000
 
 
 def parse_ranks(data: bytes) -> list[bytes]:
@@ -304,27 +307,29 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(shared.value, pattern)
         for batch in batches:
-            cols: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}
-            for cell in batch.column("text"):
-                ids = enc.ids(cell.as_py() or "")
-                digest, kept = hashlib.sha256(), []
-                for part in decode(enc.tokens, unpack(ids)):
-                    digest.update(part.encode())
+            for part in text_slices(batch, SLICE):
+                counts, digests, decoded, packed, texts = [], [], [], [], []
+                for cell in part.column("text"):
+                    ids = enc.ids(cell.as_py() or "")
+                    digest, kept = hashlib.sha256(), []
+                    for piece in decode(enc.tokens, unpack(ids)):
+                        digest.update(piece.encode())
+                        if with_text:
+                            kept.append(piece)
+                    counts.append(len(ids) // 4)
+                    digests.append(hashlib.sha256(ids).hexdigest())
+                    decoded.append(digest.hexdigest())
+                    if with_ids:
+                        packed.append(ids)
                     if with_text:
-                        kept.append(part)
-                cols["n_tokens"].append(len(ids) // 4)
-                cols["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
-                cols["decoded_sha256"].append(digest.hexdigest())
+                        texts.append("".join(kept))
+                columns = {"doc_id": part.column("doc_id"), "n_tokens": pa.array(counts, pa.int64()),
+                           "ids_sha256": pa.array(digests, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
                 if with_ids:
-                    cols["ids"].append(memoryview(ids).cast("I").tolist())
-                cols["decoded"].append("".join(kept))
-            arrays = [batch.column("doc_id"), pa.array(cols["n_tokens"], pa.int64()), pa.array(cols["ids_sha256"], pa.string()),
-                      pa.array(cols["decoded_sha256"], pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                arrays, names = [*arrays, pa.array(cols["ids"], pa.list_(pa.int32()))], [*names, "ids"]
-            if with_text:
-                arrays, names = [*arrays, pa.array(cols["decoded"], pa.string())], [*names, "decoded"]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+                    offsets = np.append(0, np.cumsum(counts)).astype(np.int32)
+                    columns["ids"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+                if with_text:
+                    columns["decoded"] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + extra)
