@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenure.session import checkpointed
+from tenure.session import checkpointed, written  # noqa: F401  (used by the operators)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,33 +52,6 @@ def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Like ``stored``, as Parquet: smaller on disk, and readers prune its columns.
-
-    The files lie in the shared checkpoint folder and go when the program ends.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tenure-checkpoint-"))
-    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def _remove_written() -> None:
-    for spark, path in _WRITTEN:
-        with contextlib.suppress(Exception):  # the session may have ended before
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def text_slices(batch: pa.RecordBatch, rows: int, size: int = 6_000_000) -> Iterator[pa.RecordBatch]:
     """Pieces of a batch of at most ``rows`` rows and about ``size`` bytes of text, one row at least."""
     ends = np.cumsum(np.nan_to_num(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)))
