@@ -7,9 +7,7 @@ size, whatever the vocabulary. Bigrams are not bounded: their counts are summed
 documents, stay a distributed table, and reach the documents by a join on the bigram.
 
 A document's log probability is a sum over its words of what the arrays give, plus a gain for
-every bigram that trusted text has more than once. Bigrams seen once say little beyond naming the
-document they stand in; as usual in pruned models, all their weight goes to the back-off
-(their counts still enter every statistic). The most frequent bigrams (at most ``HEAD``) are kept beside the
+every bigram that trusted text has, those seen once included. The most frequent bigrams (at most ``HEAD``) are kept beside the
 arrays: they are most of what a text asks for, and asked of a join they would be its hot keys. All
 others are looked up in the table, sharded by bigram; a Bloom filter of fixed size first removes
 requests for bigrams that no trusted text has, without error, since what passes is joined exactly.
@@ -121,7 +119,6 @@ class Model:
         times = grams.groupBy(F.least("n", F.lit(1 << 30)).alias("n")).agg(F.count("*").alias("c"))
         sizes = times.agg(*[F.sum(F.when(F.col("n") == i, F.col("c")).otherwise(0)) for i in (1, 2, 3, 4)]).first()
         self.d = _discounts([x or 0 for x in sizes])
-        self.d[1] = 1.0
         left = grams.groupBy(F.floor(F.col("key") / SPAN).alias("v")).agg(F.sum("n").alias("all"), *[m.alias(f"n{i}") for i, m in enumerate(many, 1)]).toArrow()
         right = grams.groupBy(F.pmod("key", F.lit(SPAN)).alias("w")).agg(F.count("*").alias("kinds")).toArrow()
         v = left["v"].to_numpy()
@@ -139,7 +136,7 @@ class Model:
         w = W.orderBy(F.desc("n"))
         fits = times.withColumn("up_to", F.sum("c").over(w)).where(F.col("up_to") <= HEAD).agg(F.min("n")).first()[0]
         self.cut = fits if fits is not None else 1 << 62
-        head = grams.where((F.col("n") > 1) & (F.col("n") >= self.cut)).toArrow()
+        head = grams.where(F.col("n") >= self.cut).toArrow()
         order = np.argsort(head["key"].to_numpy())
         self.head = head["key"].to_numpy()[order]
         self.head_gain = self.gain(self.head, head["n"].to_numpy()[order])
@@ -148,7 +145,7 @@ class Model:
         self.filter[bits["word"].to_numpy()] = bits["bits"].to_numpy().view(np.uint64)
 
     def tail(self, grams: DataFrame) -> DataFrame:
-        return grams.where((F.col("n") > 1) & (F.col("n") < self.cut))
+        return grams.where(F.col("n") < self.cut)
 
     def gain(self, key: np.ndarray, n: np.ndarray) -> np.ndarray:
         """What having been seen ``n`` times adds to a bigram's log probability."""
