@@ -2,15 +2,17 @@
 
 The model is a bigram model, interpolated with word continuation counts, with the three
 discounts of modified Kneser-Ney. Words (runs of letters and digits, or of other signs, in lower
-case) fall into 2^VOCAB_BITS hash classes, so what is kept per word is a pair of arrays of fixed
-size, whatever the vocabulary. Bigrams are not bounded: their counts are summed over all trusted
-documents, stay a distributed table, and reach the documents by a join on the bigram.
-
-A document's log probability is a sum over its words of what the arrays give, plus a gain for
-every bigram that trusted text has, those seen once included. The most frequent bigrams (at most ``HEAD``) are kept beside the
-arrays: they are most of what a text asks for, and asked of a join they would be its hot keys. All
-others are looked up in the table, sharded by bigram; a Bloom filter of fixed size first removes
-requests for bigrams that no trusted text has, without error, since what passes is joined exactly.
+case) are told apart by 64-bit hashes, whatever the size of the vocabulary; what is left for words that
+were never seen is shared evenly by the vocabulary and one word more. Nothing is bounded: counts of
+bigrams, of contexts and of words are summed over all trusted documents, stay distributed tables, and
+reach the documents by a join.
+
+A document's log probability is a sum over its words of a context's back-off, a word's continuation
+and a gain for every bigram that trusted text has, those seen once included. The most frequent
+contexts, words and bigrams (at most ``HEAD`` each) are kept in sorted arrays in every task: they are
+most of what a text asks for, and asked of a join they would be its hot keys. All others are looked up in
+one table, sharded by key; a Bloom filter of fixed size first removes requests for what no
+trusted text has, without error, since what passes is joined exactly.
 
 The model learns from four fifths of the trusted documents and the fifth that it has not seen sets,
 per language, the quantile of perplexity beyond which documents are rejected.
@@ -30,14 +32,13 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tenure.llm.common import broadcast_if_small, only_rows, release, row_name, stored, text_slices, written
 
-VOCAB_BITS = 18
-#: Bigrams kept beside the arrays, and bits of the filter (16 MB).
+#: Contexts, words and bigrams kept in every task, and bits of the filter (16 MB).
 HEAD, FILTER_BITS = 1 << 18, 27
 #: Quantile of held-out perplexity, its least number of documents, and cells per unit of log perplexity.
 QUANTILE, LEAST, CELLS = 0.998, 20, 256
@@ -46,59 +47,78 @@ FOLDS = 5
 #: Ids that are broadcast at most (16 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 #: Documents taken at a time; bigrams summed before they are handed on.
-SLICE, MAX_GRAMS = 2_000, 3_000_000
+SLICE, MAX_GRAMS = 2_000, 1_000_000
 
-WORDS = 1 << VOCAB_BITS
-START = WORDS
-#: A bigram is first * SPAN + second.
-SPAN = 1 << (VOCAB_BITS + 1)
+#: The context of a text's first word: the hash of the empty word, which no text has.
+START = pd.util.hash_array(np.array([""], object)).view(np.int64)[0]
+#: What a key of the joined table stands for.
+BIGRAM, CONTEXT, WORD = 0, 1, 2
 #: Runs of signs are set apart from the words around them.
 SIGNS = r"([^\s\p{L}\p{M}\p{N}]+)"
 
 
-def bigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Preceding class, own class and document of every word, and words per document."""
+def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct words and of the start, and of every word its predecessor, itself (places in them) and its document; words per document."""
     spaced = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), SIGNS, r" \1 ")
     lists = pc.utf8_split_whitespace(spaced)
     flat = lists.flatten().dictionary_encode()
     offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-    ids = flat.indices.to_numpy(zero_copy_only=False)
+    ids = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     words = flat.dictionary.to_numpy(zero_copy_only=False)
-    classes = (pd.util.hash_array(words.astype(object)) >> np.uint64(64 - VOCAB_BITS)).astype(np.int64)
+    hashes = np.append(pd.util.hash_array(words.astype(object)).view(np.int64), START)
     doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
     full = (words != "")[ids] if len(words) else np.zeros(0, bool)
-    own, doc = classes[ids][full], doc[full]
-    before = np.append(START, own[:-1]) if len(own) else own
+    own, doc = ids[full], doc[full]
+    before = np.append(len(words), own[:-1]) if len(own) else own
     if len(own):
-        before[np.append(True, doc[1:] != doc[:-1])] = START
-    return before, own, doc, np.bincount(doc, minlength=len(texts))
+        before[np.append(True, doc[1:] != doc[:-1])] = len(words)
+    return hashes, before, own, doc, np.bincount(doc, minlength=len(texts))
+
+
+def bigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the preceding and the own word and document of every word, and words per document."""
+    hashes, before, own, doc, words = coded(texts)
+    return hashes[before], hashes[own], doc, words
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+def keys_of(kind: np.ndarray | int, v: np.ndarray, w: np.ndarray | int = 0) -> np.ndarray:
+    """64-bit keys of bigrams (v, w), contexts v or words v."""
+    salt = np.asarray(kind, np.int64).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    first = _mixed(v.view(np.uint64) ^ salt) * np.uint64(0x9E3779B97F4A7C15)
+    return _mixed(first + np.asarray(w, np.int64).view(np.uint64)).view(np.int64)
 
 
 def count_bigrams(docs: DataFrame) -> DataFrame:
-    """(key, n): how often each bigram occurs in the texts."""
+    """(v, w, n): how often each bigram occurs in the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, size = [], [], 0
+        held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            n = np.bincount(inverse, np.concatenate(counts)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
+            v, w, n = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((w, v))
+            v, w, n = v[order], w[order], n[order]
+            at = np.flatnonzero(np.append(True, (v[1:] != v[:-1]) | (w[1:] != w[:-1])))
+            return pa.RecordBatch.from_arrays([pa.array(v[at]), pa.array(w[at]), pa.array(np.add.reduceat(n, at))], names=["v", "w", "n"])
 
         for batch in batches:
             for part in text_slices(batch, SLICE):
-                before, own, _, _ = bigrams(part.column("text"))
-                key, n = np.unique(before * SPAN + own, return_counts=True)
-                keys.append(key)
-                counts.append(n)
-                size += len(key)
+                hashes, before, own, _, _ = coded(part.column("text"))
+                pair, n = np.unique(before * len(hashes) + own, return_counts=True)
+                held.append((hashes[pair // len(hashes)], hashes[pair % len(hashes)], n))
+                size += len(pair)
                 if size > MAX_GRAMS:
                     yield flush()
-                    keys, counts, size = [], [], 0
+                    held, size = [], 0
         if size:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "v long, w long, n long").groupBy("v", "w").agg(F.sum("n").alias("n"))
 
 
 def _discounts(n: list[float]) -> np.ndarray:
@@ -111,47 +131,107 @@ def _discounts(n: list[float]) -> np.ndarray:
     return np.where((d > 0) & (d <= np.arange(4)), d, usual)
 
 
-class Model:
-    """What every task holds: arrays of the word classes, the head bigrams, the filter. All of fixed size."""
+def _cut(times: DataFrame) -> int:
+    """The count from which on there are at most HEAD items, given how many (c) have each count (n)."""
+    w = W.orderBy(F.desc("n"))
+    fits = times.withColumn("up_to", F.sum("c").over(w)).where(F.col("up_to") <= HEAD).agg(F.min("n")).first()[0]
+    return fits if fits is not None else 1 << 62
+
+
+def _times(items: DataFrame, col: str) -> DataFrame:
+    return items.groupBy(F.least(col, F.lit(1 << 30)).alias("n")).agg(F.count("*").alias("c"))
+
+
+def _ones(times: DataFrame) -> list[float]:
+    """How many items occur 1 to 4 times."""
+    sizes = times.agg(*[F.sum(F.when(F.col("n") == i, F.col("c")).otherwise(0)) for i in (1, 2, 3, 4)]).first()
+    return [float(x or 0) for x in sizes]
+
+
+def _off(n: str, d: np.ndarray) -> Column:
+    return F.when(F.col(n) == 1, float(d[1])).when(F.col(n) == 2, float(d[2])).otherwise(float(d[3]))
+
+
+def _sorted(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(table["key"].to_numpy())
+    return table["key"].to_numpy()[order], table["value"].to_numpy()[order].astype(np.float32)
+
+
+class Tables:
+    """The distributed tables of a model, each with the count that makes an item one of the head."""
 
     def __init__(self, grams: DataFrame):
-        many = [F.count_if(F.col("n") == i) for i in (1, 2, 3)] + [F.count_if(F.col("n") >= 4)]
-        times = grams.groupBy(F.least("n", F.lit(1 << 30)).alias("n")).agg(F.count("*").alias("c"))
-        sizes = times.agg(*[F.sum(F.when(F.col("n") == i, F.col("c")).otherwise(0)) for i in (1, 2, 3, 4)]).first()
-        self.d = _discounts([x or 0 for x in sizes])
-        left = grams.groupBy(F.floor(F.col("key") / SPAN).alias("v")).agg(F.sum("n").alias("all"), *[m.alias(f"n{i}") for i, m in enumerate(many, 1)]).toArrow()
-        right = grams.groupBy(F.pmod("key", F.lit(SPAN)).alias("w")).agg(F.count("*").alias("kinds")).toArrow()
-        v = left["v"].to_numpy()
-        total, weight = np.zeros(WORDS + 1), np.ones(WORDS + 1)
-        total[v] = left["all"].to_numpy()
-        saved = self.d[1] * left["n1"].to_numpy() + self.d[2] * left["n2"].to_numpy() + self.d[3] * (left["n3"].to_numpy() + left["n4"].to_numpy())
-        weight[v] = saved / left["all"].to_numpy()
-        kinds = np.zeros(WORDS)
-        kinds[right["w"].to_numpy()] = right["kinds"].to_numpy()
-        d = _discounts([float((kinds == i).sum()) for i in (1, 2, 3, 4)])
-        off = d[np.minimum(kinds, 3).astype(int)]
-        share = (kinds - off) / max(kinds.sum(), 1) + (off.sum() / kinds.sum() if kinds.any() else 1) / WORDS
-        self.total, self.back, self.word = total.astype(np.float32), np.log(weight).astype(np.float32), np.log(share).astype(np.float32)
-        # the count from which on there are at most HEAD bigrams
-        w = W.orderBy(F.desc("n"))
-        fits = times.withColumn("up_to", F.sum("c").over(w)).where(F.col("up_to") <= HEAD).agg(F.min("n")).first()[0]
-        self.cut = fits if fits is not None else 1 << 62
-        head = grams.where(F.col("n") >= self.cut).toArrow()
-        order = np.argsort(head["key"].to_numpy())
-        self.head = head["key"].to_numpy()[order]
-        self.head_gain = self.gain(self.head, head["n"].to_numpy()[order])
+        times = _times(grams, "n")
+        d = _discounts(_ones(times))
+        self.grams, self.off, self.cut = grams, _off("n", d), _cut(times)
+        contexts = grams.groupBy("v").agg(F.count("*").alias("kinds"), F.sum("n").alias("all"), F.sum(self.off).alias("saved"))
+        self.contexts = written(contexts.select("v", "kinds", "saved", F.log(F.col("saved") / F.col("all")).alias("back")))
+        self.context_cut = _cut(_times(self.contexts, "kinds"))
+        kinds = written(grams.groupBy("w").agg(F.count("*").alias("kinds")))
+        times = _times(kinds, "kinds")
+        self.word_cut = _cut(times)
+        off = _off("kinds", _discounts(_ones(times)))
+        size, every, saved = kinds.agg(F.count("*"), F.sum("kinds"), F.sum(off)).first()
+        # what is left is shared by all words and one that was never seen
+        spare = (saved / every if size else 1.0) / (size + 1)
+        self.unseen = float(np.log(spare))
+        self.words = kinds.select("w", "kinds", ((F.col("kinds") - off) / float(every or 1) + spare).alias("share"))
+
+    def gains(self, grams: DataFrame) -> DataFrame:
+        """(v, w, value): what having been seen adds to a bigram's log probability."""
+
+        def beside(rows: DataFrame, facts: DataFrame, key: str, value: str, cut: int) -> DataFrame:
+            # at most HEAD rows, the hot keys of the join; the others are joined by a shuffle
+            facts = facts.select(key, "kinds", value)
+            near = rows.join(F.broadcast(facts.where(F.col("kinds") >= cut).drop("kinds")), key, "left")
+            far = near.where(F.col(value).isNull()).drop(value).join(facts.where(F.col("kinds") < cut).drop("kinds"), key)
+            return near.where(F.col(value).isNotNull()).unionByName(far)
+
+        both = beside(beside(grams, self.contexts, "v", "saved", self.context_cut), self.words, "w", "share", self.word_cut)
+        return both.select("v", "w", F.log1p((F.col("n") - self.off) / (F.col("saved") * F.col("share"))).alias("value"))
+
+    def tail(self) -> DataFrame:
+        """(key, value) of all bigrams, contexts and words outside the head."""
+        grams = self.gains(self.grams.where(F.col("n") < self.cut))
+        contexts = self.contexts.where(F.col("kinds") < self.context_cut).select("v", F.lit(0).cast("long").alias("w"), F.col("back").alias("value"))
+        words = self.words.where(F.col("kinds") < self.word_cut).select(
+            F.col("w").alias("v"), F.lit(0).cast("long").alias("w"), (F.log("share") - self.unseen).alias("value"))
+        named = [df.select(F.lit(kind).alias("kind"), "v", "w", "value") for kind, df in ((BIGRAM, grams), (CONTEXT, contexts), (WORD, words))]
+        return named[0].unionByName(named[1]).unionByName(named[2]).mapInArrow(_keyed, "key long, value float")
+
+
+class Model:
+    """What every task holds: the head's contexts, words and bigrams, and the filter. All of fixed size."""
+
+    def __init__(self, tables: Tables, tail: DataFrame):
+        self.unseen = tables.unseen
+        self.contexts = _sorted(tables.contexts.where(F.col("kinds") >= tables.context_cut).select(F.col("v").alias("key"), F.col("back").alias("value")).toArrow())
+        self.words = _sorted(tables.words.where(F.col("kinds") >= tables.word_cut).select(F.col("w").alias("key"), F.log("share").alias("value")).toArrow())
+        top = tables.gains(tables.grams.where(F.col("n") >= tables.cut)).select(F.lit(BIGRAM).alias("kind"), "v", "w", "value")
+        self.head = _sorted(top.mapInArrow(_keyed, "key long, value float").toArrow())
         self.filter = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-        bits = self.tail(grams).mapInArrow(_filter_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        bits = tail.select("key").mapInArrow(_filter_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
         self.filter[bits["word"].to_numpy()] = bits["bits"].to_numpy().view(np.uint64)
 
-    def tail(self, grams: DataFrame) -> DataFrame:
-        return grams.where(F.col("n") < self.cut)
+    def open(self, key: np.ndarray) -> np.ndarray:
+        """Which keys the table may have."""
+        word, bits = _filter_place(key)
+        return (self.filter[word] & bits) == bits
 
-    def gain(self, key: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """What having been seen ``n`` times adds to a bigram's log probability."""
-        v, w = key // SPAN, key % SPAN
-        seen = (n - self.d[np.minimum(n, 3)]) / self.total[v]
-        return np.log1p(seen / np.exp(self.back[v].astype(np.float64) + self.word[w])).astype(np.float32)
+
+def _look(arrays: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each key is in a sorted array, and its value."""
+    known, values = arrays
+    if not len(known):
+        return np.zeros(len(keys), bool), np.zeros(len(keys))
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return known[at] == keys, values[at].astype(np.float64)
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        kind, v, w, value = (batch.column(c).to_numpy() for c in ("kind", "v", "w", "value"))
+        yield pa.RecordBatch.from_arrays([pa.array(keys_of(kind, v, w)), pa.array(value.astype(np.float32))], names=["key", "value"])
 
 
 def _filter_place(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,40 +251,39 @@ def _filter_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(word[order][at]), pa.array(joined.view(np.int64))], names=["word", "bits"])
 
 
-def _gains(shared: Broadcast):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            gain = shared.value.gain(batch.column("key").to_numpy(), batch.column("n").to_numpy())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(gain)], names=["key", "gain"])
-
-    return run
-
-
 def _ask(shared: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         for batch in batches:
             for part in text_slices(batch, SLICE):
                 rid = part.column("rid").to_numpy()
-                before, own, doc, words = bigrams(part.column("text"))
-                known = model.back[before].astype(np.float64) + model.word[own]
-                key = before * SPAN + own
-                at = np.minimum(np.searchsorted(model.head, key), max(len(model.head) - 1, 0))
-                top = model.head[at] == key if len(model.head) else np.zeros(len(key), bool)
-                known[top] += model.head_gain[at[top]]
-                sums = np.bincount(doc, known, minlength=len(rid))
-                word, bits = _filter_place(key)
-                open_ = ~top & ((model.filter[word] & bits) == bits)
-                # the same bigram of a document is asked once
-                pairs, times = np.unique(doc[open_] << 42 | key[open_], return_counts=True)
-                asked = pairs & ((1 << 42) - 1)
-                # a document's own row has a key that no bigram has
                 n = len(rid)
+                hashes, before, own, doc, words = coded(part.column("text"))
+                size = len(hashes)
+                # the same bigram of a document is asked once
+                pairs, times = np.unique((doc * size + before) * size + own, return_counts=True)
+                pairs, second = np.divmod(pairs, size)
+                at, first = np.divmod(pairs, size)
+                key = keys_of(BIGRAM, hashes[first], hashes[second])
+                near, back = _look(model.contexts, hashes)
+                usual, word = _look(model.words, hashes)
+                top, gain = _look(model.head, key)
+                known = np.where(near, back, 0)[first] + np.where(usual, word, model.unseen)[second] + np.where(top, gain, 0)
+                sums = np.bincount(at, known * times, minlength=n)
+                asked = [(at, key, times, ~top & model.open(key))]
+                for kind, have, part_of in ((CONTEXT, near, first), (WORD, usual, second)):
+                    one = keys_of(kind, hashes)
+                    wanted = (~have & model.open(one))[part_of]
+                    place, inverse = np.unique(at[wanted] * size + part_of[wanted], return_inverse=True)
+                    asked.append((place // size, one[place % size], np.bincount(inverse, times[wanted], minlength=len(place)), np.ones(len(place), bool)))
+                docs = np.concatenate([a[f] for a, _, _, f in asked])
+                # a document's own row asks for nothing, so its key may be any
+                m = n + len(docs)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate([rid, rid[pairs >> 42]])), pa.array(np.concatenate([-1 - np.abs(rid // 2), asked])),
-                    pa.array(np.concatenate([np.zeros(n, np.int32), times.astype(np.int32)])),
-                    pa.array(np.concatenate([sums, np.zeros(len(asked))]), mask=np.arange(n + len(asked)) >= n),
-                    pa.array(np.concatenate([words, np.zeros(len(asked), np.int64)]), mask=np.arange(n + len(asked)) >= n),
+                    pa.array(np.concatenate([rid, rid[docs]])), pa.array(np.concatenate([rid, *[k[f] for _, k, _, f in asked]])),
+                    pa.array(np.concatenate([np.zeros(n, np.int32), *[t[f].astype(np.int32) for _, _, t, f in asked]])),
+                    pa.array(np.concatenate([sums, np.zeros(len(docs))]), mask=np.arange(m) >= n),
+                    pa.array(np.concatenate([words, np.zeros(len(docs), np.int64)]), mask=np.arange(m) >= n),
                 ], names=["rid", "key", "times", "known", "words"])
 
     return run
@@ -213,13 +292,16 @@ def _ask(shared: Broadcast):
 def log_perplexities(docs: DataFrame, grams: DataFrame) -> DataFrame:
     """(rid, words, loss): words and mean negative log probability of a word, per distinct row."""
     spark = docs.sparkSession
-    model = Model(grams)
+    tables = Tables(grams)
+    # written before anything is asked, so that no task holds both steps
+    tail = written(tables.tail())
+    release(spark)
+    model = Model(tables, tail)
     release(spark)
     shared = spark.sparkContext.broadcast(model)
-    gains = model.tail(grams).mapInArrow(_gains(shared), "key long, gain float")
     asked = docs.select(row_name(docs).alias("rid"), "text").mapInArrow(_ask(shared), "rid long, key long, times int, known double, words long")
-    found = asked.join(gains, "key", "left")
-    sums = found.groupBy("rid").agg(F.sum("known").alias("known"), F.sum(F.col("times") * F.col("gain")).alias("gained"), F.sum("words").alias("words"))
+    found = asked.join(tail, "key", "left")
+    sums = found.groupBy("rid").agg(F.sum("known").alias("known"), F.sum(F.col("times") * F.col("value")).alias("gained"), F.sum("words").alias("words"))
     return sums.select("rid", "words", F.when(F.col("words") > 0, -(F.col("known") + F.coalesce("gained", F.lit(0.0))) / F.col("words")).alias("loss"))
 
 
@@ -243,7 +325,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     ids = broadcast_if_small(stored(trusted_ids(labels)), BROADCAST_ROWS)
     fold = F.pmod(F.xxhash64("label_id", F.lit(5)), F.lit(FOLDS))
     learned = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("label_id")).where(fold != 0)
-    grams = written(count_bigrams(learned).sortWithinPartitions("key"))
+    grams = written(count_bigrams(learned).sortWithinPartitions("v", "w"))
     release(docs.sparkSession)
     loss = stored(log_perplexities(docs, grams))
     release(docs.sparkSession)

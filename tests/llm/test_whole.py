@@ -68,4 +68,16 @@ def test_bigrams_seen_once_count(spark, monkeypatch, head):
     words = made_words(40)
     train = [" ".join(rnd.choice(words) for _ in range(50)) for _ in range(60)]
     texts = [*train[:3], " ".join(rnd.choice(words) for _ in range(30)), words[0]]
-    assert losses(spark, train, texts) == pytest.approx(full_kneser_ney(train, texts, lambda kinds: quality.WORDS), rel=1e-5)
+    assert losses(spark, train, texts) == pytest.approx(full_kneser_ney(train, texts, lambda kinds: len(kinds) + 1), rel=1e-5)
+
+
+@pytest.mark.parametrize("head", [4, 1 << 18])
+def test_words_keep_apart(spark, monkeypatch, head):
+    # 20,000 words in 2^18 or 2^20 classes would share some
+    monkeypatch.setattr(quality, "HEAD", head)
+    words = made_words(30_000)[:20_000]
+    assert len(words) == 20_000
+    rnd = random.Random(3)
+    train = [" ".join(rnd.choices(words, k=500)) for _ in range(100)]
+    texts = [train[0], " ".join(rnd.choices(words, k=300)), " ".join(made_words(50, seed=9)), *words[:40]]
+    assert losses(spark, train, texts) == pytest.approx(full_kneser_ney(train, texts, lambda kinds: len(kinds) + 1), rel=1e-5)
