@@ -40,12 +40,22 @@ KNOTS = (0.0, 0.5, 1.0)
 RATES = {3: (1.5, 1.0, 0.5), 1: (1.0, 1.0, 1.0), 2: (0.5, 1.0, 1.5)}
 
 
-def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size, ord, bucket) of every row."""
-    ord_key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """(doc_id, source, size, ord, bucket) of every row.
+
+    With ``row_col``, a number that no other row has, also ``row`` and ``name`` (hash of id, text and source);
+    rows without an id are then ordered by their name, so that they spread over the buckets.
+    """
+    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    more = []
+    if row_col:
+        name = F.xxhash64(id_col, text_col, source_col)
+        key = F.coalesce(F.col(id_col).cast("string"), name.cast("string"))
+        more = [F.col(row_col).alias("row"), name.alias("name")]
+    ord_key = F.md5(key.cast("binary"))
     return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
                        F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-                       ord_key.alias("ord"), F.substring(ord_key, 1, DIGITS).alias("bucket"))
+                       ord_key.alias("ord"), F.substring(ord_key, 1, DIGITS).alias("bucket"), *more)
 
 
 def targets(rows: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
@@ -74,7 +84,8 @@ def placed(rows: DataFrame) -> DataFrame:
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("s"))
     before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = sums.select(F.col("source").alias("o_source"), F.col("bucket").alias("o_bucket"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("offset"))
-    inside = W.partitionBy("source", "bucket").orderBy("ord", "size").rowsBetween(W.unboundedPreceding, -1)
+    ties = [c for c in ("name", "row") if c in rows.columns]
+    inside = W.partitionBy("source", "bucket").orderBy("ord", "size", *ties).rowsBetween(W.unboundedPreceding, -1)
     local = rows.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     return (local.join(offsets, common.same(F.col("source"), F.col("o_source")) & (F.col("bucket") == F.col("o_bucket")))
             .withColumn("start", F.col("offset") + F.col("before")).drop("o_source", "o_bucket", "offset", "before"))
@@ -132,18 +143,17 @@ def epochs(docs: DataFrame) -> DataFrame:
     """The mixed training set: the rows of ``docs``, whole, once for each lap that reads them.
 
     A reading is in if its middle word is inside the target, so a source is off by half a
-    document at most. Rows come in training order. Ids must be distinct (repeated ids would
-    share their laps); rows without an id are read by no lap.
+    document at most. Rows come in training order. Every row is read for itself: rows without an
+    id, rows that share one and equal rows are told apart by a number that is written with them.
     """
-    m = mix(docs).where(F.col("doc_id").isNotNull() & (F.col("target") > 0))
+    keyed = common.written(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")))
+    m = mix(keyed.select("row", "doc.doc_id", "doc.text", "doc.source"), row_col="row").where(F.col("target") > 0)
     lap = F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1)))
-    readings = m.select("doc_id", "size", "source_size", "target", "start", "weight", lap.alias("lap"))
+    readings = m.select("row", "name", "size", "source_size", "target", "start", "weight", lap.alias("lap"))
     first = F.col("start") + F.col("lap") * F.col("source_size")
     at = position(F.least(first / F.col("target"), F.lit(1.0)), F.col("weight"))
-    readings = readings.where(first + F.col("size") / 2 <= F.col("target")).select(
-        F.col("doc_id").alias("__id"), at.alias("__position"), F.col("lap").alias("__lap")).dropDuplicates(["__id", "__lap"])
-    joined = docs.join(readings, docs["doc_id"] == readings["__id"])
-    return joined.orderBy("__position", "__id", "__lap").select(*[docs[c] for c in docs.columns])
+    readings = readings.where(first + F.col("size") / 2 <= F.col("target")).select("row", "name", at.alias("position"), "lap")
+    return keyed.join(readings, "row").orderBy("position", "doc.doc_id", "lap", "name").select("doc.*")
 
 
 def mix_query(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tenure.llm import quality
+from tenure.llm import jaccard, mixing, quality
 
 DISCOUNTS = [0, 0.5, 1.0, 1.5]
 
@@ -81,3 +81,30 @@ def test_words_keep_apart(spark, monkeypatch, head):
     train = [" ".join(rnd.choices(words, k=500)) for _ in range(100)]
     texts = [train[0], " ".join(rnd.choices(words, k=300)), " ".join(made_words(50, seed=9)), *words[:40]]
     assert losses(spark, train, texts) == pytest.approx(full_kneser_ney(train, texts, lambda kinds: len(kinds) + 1), rel=1e-5)
+
+
+def test_every_row_is_mixed(spark):
+    rnd = random.Random(5)
+    words = made_words(200)
+    text = lambda: " ".join(rnd.choices(words, k=20))
+    # a third without an id, a third that share ids, equal rows
+    rows = [(None if i % 3 == 0 else i // 30 if i % 3 == 1 else i, text(), "abc"[i // 3 % 3]) for i in range(594)]
+    rows += [(None, "same " * 20, "a"), (None, "same " * 20, "a"), (7, "same " * 20, "b"), (7, "same " * 20, "b"), (8, "same " * 20, "c"), (8, "same " * 20, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.epochs(docs)
+    assert out.columns == docs.columns
+    got = Counter(tuple(r) for r in out.collect())
+    per = Counter(s for (_, _, s), n in got.items() for _ in range(n))
+    # 200 documents of each source, 900 readings shared 3 : 1 : 2, at most two of each
+    assert [per[s] for s in "abc"] == [pytest.approx(x, abs=1) for x in (400, 500 / 3, 1000 / 3)]
+    assert all(got[r] == 2 * n for r, n in Counter(rows).items() if r[2] == "a")
+    assert Counter(tuple(r) for r in mixing.epochs(docs.repartition(5)).collect()) == got
+
+
+def test_one_of_a_class_without_ids(spark):
+    words = made_words(400)
+    near = [" ".join(words[:100] + [w]) for w in words[200:204]]
+    rows = [(None, t) for t in near] + [(3, " ".join(words[100:200])), (3, " ".join(words[100:200] + ["more"])), (None, "other"), (None, None)]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r.text in near for r in kept) == 1 and sum(r.doc_id == 3 for r in kept) == 1
+    assert len(kept) == 4
