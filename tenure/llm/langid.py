@@ -4,8 +4,8 @@ A language's model covers the characters of its words: every letter and the spac
 word, given up to ``ORDER - 1`` characters back to the space before the word. Counts are sums over
 all learning documents; probabilities are joins over the table of n-grams. What a task loads is, per
 language and order, a sorted array of n-gram hashes with log probabilities and one of contexts
-with back-off weights. Hashes have ``BITS`` bits, so an array has at most 2^BITS entries however
-much text was read: the broadcast is bounded by languages x orders x 2^BITS x 16 bytes.
+with back-off weights. Hashes have 64 bits and n-grams are never merged or capped: the broadcast has
+12 bytes for every distinct n-gram and context of a language, and grows with their number.
 
 A document gets the language with the lowest cross-entropy per character. Rejection is calibrated:
 per language and length class, a document is rejected if its cross-entropy lies further above the
@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 
 from tenure.llm.common import only_rows, row_name, stored, text_slices
 
-ORDER, BITS = 4, 20
+ORDER = 4
 #: Robust standard deviations and bits above the median at which a document is rejected, and the least
 #: number of learning documents for which a length class has its own limit.
 SPREAD, SLACK, CLASS_ROWS = 12.0, 0.5, 50
@@ -167,12 +167,11 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFr
     return every, contexts.select("lang", "n", "ctx", "bow", "kinds")
 
 
-def load(counts: DataFrame, order: int = ORDER, bits: int = BITS) -> dict:
-    """Sorted hash arrays of all languages, at most 2^bits entries each."""
+def load(counts: DataFrame, order: int = ORDER) -> dict:
+    """Sorted arrays of the 64-bit hashes of all languages, with log probabilities and back-off weights."""
     probs, contexts = kneser_ney(counts, order)
-    short = lambda c: F.shiftrightunsigned(c, 64 - bits).cast("int")
-    p = probs.groupBy("lang", "n", short("h").alias("k")).agg(F.max(F.log("p")).cast("float").alias("v")).toArrow()
-    b = contexts.where("n > 1").groupBy("lang", "n", short("ctx").alias("k")).agg(F.max(F.log("bow")).cast("float").alias("v")).toArrow()
+    p = probs.select("lang", "n", F.col("h").alias("k"), F.log("p").cast("float").alias("v")).toArrow()
+    b = contexts.where("n > 1").select("lang", "n", F.col("ctx").alias("k"), F.log("bow").cast("float").alias("v")).toArrow()
     unseen = {r.lang: float(np.log(r.u)) for r in contexts.where("n = 1").select("lang", (F.col("bow") / (F.col("kinds") + 1)).alias("u")).collect()}
     langs = sorted(unseen)
 
@@ -180,7 +179,7 @@ def load(counts: DataFrame, order: int = ORDER, bits: int = BITS) -> dict:
         part = table.filter(pc.and_(pc.equal(table["lang"], lang), pc.equal(table["n"], n))).sort_by("k")
         return part["k"].to_numpy(), part["v"].to_numpy()
 
-    return {"langs": langs, "order": order, "bits": bits, "unseen": [unseen[x] for x in langs],
+    return {"langs": langs, "order": order, "unseen": [unseen[x] for x in langs],
             "p": [[arrays(p, x, n) for n in range(1, order + 1)] for x in langs], "bow": [[arrays(b, x, n) for n in range(2, order + 1)] for x in langs]}
 
 
@@ -196,8 +195,7 @@ def _look(arrays: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.n
 def word_scores(words: list[str], model: dict) -> np.ndarray:
     """Log probability of each word under each language."""
     hashes, back, word, _ = grams(words, model["order"])
-    shift = np.uint64(64 - model["bits"])
-    keys = [(h >> shift).astype(np.int32) for h in hashes]
+    keys = [h.view(np.int64) for h in hashes]
     out = np.empty((len(words), len(model["langs"])), np.float64)
     for j in range(len(model["langs"])):
         found, value = _look(model["p"][j][0], keys[0][1:])
@@ -288,7 +286,7 @@ def limits(scored: DataFrame, learned: Column, spread: float = SPREAD, slack: fl
     return stats.where((F.col("n") >= CLASS_ROWS) | (F.col("size_class") == -1)).select("pred", "size_class", (F.col("mid") + F.greatest(spread * sigma, F.lit(slack))).alias("limit"))
 
 
-def identify(docs: DataFrame, learn: Column | None = None, order: int = ORDER, bits: int = BITS) -> DataFrame:
+def identify(docs: DataFrame, learn: Column | None = None, order: int = ORDER) -> DataFrame:
     """(doc_id, lang_pred, score, bits, rejected, learned) of every row of documents.
 
     ``learn`` says which rows may be learned from (those with a language, unless narrowed).
@@ -296,7 +294,7 @@ def identify(docs: DataFrame, learn: Column | None = None, order: int = ORDER, b
     rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"), F.coalesce(learn if learn is not None else F.lit(True), F.lit(False)).alias("learned"))
     learned = F.col("learned") & F.col("lang").isNotNull()
     counts = stored(count(rows.where(learned), order))
-    model = load(counts, order, bits)
+    model = load(counts, order)
     judged = stored(score(rows.select("doc_id", "text", (learned & (F.col("lang") != "")).alias("learned")), model))
     lim = limits(judged, F.col("learned"))
     own = lim.where("size_class >= 0").withColumnRenamed("limit", "own_limit")

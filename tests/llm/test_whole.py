@@ -4,10 +4,11 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tenure.llm import jaccard, mixing, quality
+from tenure.llm import jaccard, langid, mixing, quality
 
 DISCOUNTS = [0, 0.5, 1.0, 1.5]
 
@@ -108,3 +109,21 @@ def test_one_of_a_class_without_ids(spark):
     kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sum(r.text in near for r in kept) == 1 and sum(r.doc_id == 3 for r in kept) == 1
     assert len(kept) == 4
+
+
+def test_ngrams_keep_apart(spark):
+    # 2^20 classes would merge some of these n-grams
+    letters = "".join(map(chr, range(0x4E00, 0x4E00 + 300)))
+    rnd = random.Random(2)
+    text = " ".join("".join(rnd.choices(letters, k=8)) for _ in range(12_000))
+    counts = langid.count(spark.createDataFrame([(text, "zh")], "text string, lang string")).cache()
+    model = langid.load(counts)
+    for n, (keys, values) in enumerate(model["p"][0], 1):
+        want = {f"{a}"[i:i + n] for a in (f" {w} " for w in set(text.split())) for i in range(len(a) - n + 1)} - {" "} | ({" "} if n == 1 else set())
+        assert len(keys) == len(values) == len(want) and (np.diff(keys) > 0).all()
+    # an n-gram that was not seen is not found
+    words = ["".join(rnd.choices(letters, k=4)) for _ in range(3000)]
+    hashes, back, _, _ = langid.grams(words, 4)
+    found, _ = langid._look(model["p"][0][3], hashes[3][back == 4].view(np.int64))
+    seen = {w[i:i + 4] for w in text.split() for i in range(5)}
+    assert found.sum() == sum(w in seen for w in words)
