@@ -9,7 +9,8 @@ A token that crosses a boundary goes, by ``rule``, to the section of its first c
 (``first``), of its last (``last``), or is split by characters (``split``).
 
 Defined results: a token that no section takes is counted in a row whose section is null; a section
-without tokens has a row with 0; a null text has no tokens; sections of a document must not
+without tokens has a row with 0; a document without sections (a null or empty text has no lines) has one
+row, whose section is null; a null text has no tokens; sections of a document must not
 overlap (where they do, the one that starts last before the character takes it); null ids and
 repeated rows give rows of their own; other columns are not read.
 """
@@ -100,7 +101,8 @@ def count(docs: DataFrame, ranks_path: str, pattern: str, sections: str | None =
         first, end = char_spans(text.encode(), sizes[ids]) if len(ids) else (np.zeros(0, np.int64),) * 2
         n = attribute(first, end, starts, ends, rule)
         out = [(names[k], int(starts[k]), int(ends[k]), float(n[k])) for k in range(len(starts))]
-        return out + ([(None, None, None, float(n[-1]))] if n[-1] else [])
+        # a document without sections has a row too
+        return out + ([(None, None, None, float(n[-1]))] if n[-1] or not out else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = bpe.encoder(shared.value, pattern)

@@ -5,10 +5,11 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tenure.llm import jaccard, langid, mixing, quality
+from tenure.llm import jaccard, langid, mixing, quality, tokencounts
 
 DISCOUNTS = [0, 0.5, 1.0, 1.5]
 
@@ -127,3 +128,10 @@ def test_ngrams_keep_apart(spark):
     found, _ = langid._look(model["p"][0][3], hashes[3][back == 4].view(np.int64))
     seen = {w[i:i + 4] for w in text.split() for i in range(5)}
     assert found.sum() == sum(w in seen for w in words)
+
+
+def test_documents_without_lines_count(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "one\n\ntwo"), (None, None)], "doc_id long, text string")
+    out = tokencounts.count(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    assert Counter(r.doc_id for r in out) == Counter({1: 1, 2: 1, 3: 3, None: 1})
+    assert all(r.section is None and r.start is None and r.n_tokens == 0 for r in out if r.doc_id != 3)
