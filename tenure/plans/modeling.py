@@ -308,7 +308,7 @@ def logistic(spark, sf):
 @query("m03_forest_classifier")
 def forest_classifier(spark, sf):
     train, test, cols = conversion_rows(spark, sf)
-    scored = models.tree_scores(test, models.forest(train, cols, trees=10, depth=5), cols, "score")
+    scored = models.tree_scores(test, models.forest(train, cols, trees=500, depth=5), cols, "score")
     return scored.select("customer_id", "label", "score")
 
 
@@ -366,5 +366,5 @@ def clv_export(spark, sf):
 
 @query("m20_importance_rank")
 def importance_rank(spark, sf):
-    fit = models.refit(clv_rows(spark, sf), CLV_FEATURES, "actual_clv_6m", "forest", trees=10)
+    fit = models.refit(clv_rows(spark, sf), CLV_FEATURES, "actual_clv_6m", "forest")
     return models.importance(spark, fit, CLV_FEATURES, 15)
