@@ -68,3 +68,20 @@ def text_slices(batch: pa.RecordBatch, rows: int, size: int = 6_000_000) -> Iter
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast a narrow table of at most ``rows`` rows; a larger one is left to a shuffle join."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+#: Keys that ``join_facts`` broadcasts at most.
+HOT_KEYS = 100_000
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, times: str) -> DataFrame:
+    """Join one table row per key to ``rows``; ``times`` counts the rows of a key.
+
+    A key with over a ``HOT_KEYS``-th of all rows would meet in one task: there are fewer than ``HOT_KEYS`` of them, so
+    their facts are broadcast. All other keys shuffle. ``facts`` is read several times and should be stored.
+    """
+    total = facts.agg(F.sum(times)).first()[0] or 0
+    limit = max(10_000, total // HOT_KEYS + 1)
+    hot, cold = facts.where(F.col(times) >= limit), facts.where(F.col(times) < limit)
+    return (rows.join(F.broadcast(hot), key)
+            .unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)))

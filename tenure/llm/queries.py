@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenure.llm import ann, bpe, jaccard, langid, mixing, quality, sharding, sql, tokencounts, urlfilter, vectordups
+from tenure.llm import (
+    ann, bpe, divergence, filteraudit, jaccard, langid, mixing, quality, secrets, sharding, sql, tokencounts, urlfilter, vectordups,
+)
 from tenure.llm.common import table
 
 
@@ -62,6 +64,18 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_query(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_url_filter": op2_url_filter,
@@ -73,9 +87,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_quality": op9_quality,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 ORACLES: dict[str, str] = {
     "op2_url_filter": sql.URL_FILTER,
     "op7_mixing": sql.MIXING,
+    "op11_source_divergence": sql.SOURCE_DIVERGENCE,
+    "op12_filter_audit": sql.FILTER_AUDIT,
+    "op13_secret_scan": sql.SECRET_SCAN,
 }
