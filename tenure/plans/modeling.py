@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tenure.constants import CHURN_FEATURES, CHURN_WINDOWS, CLV_FEATURES, HORIZONS, SURVIVAL_FEATURES
-from tenure.operators import btyd, clean, cox, features, labels, metrics, models, scorecard, survival, survmodels
+from tenure.operators import aft, btyd, clean, cox, features, labels, metrics, models, scorecard, survival, survmodels
 from tenure.plans.analytics import _step_sql, tiered
 from tenure.plans.base import CTES, GROUPS, HOME, PATTERNS, lines, query, rounded
 from tenure.plans.relational import conversion_labels, sql_norm_cdf
@@ -129,6 +129,14 @@ def boosted_cox(spark, sf):
 
 @query("k22_aft_fit")
 def aft_fit(spark, sf):
+    train, test = split_rows(spark, sf)
+    fit = aft.fit_aft(train, SURVIVAL_FEATURES)
+    scored = aft.aft_curves(aft.aft_scores(test, fit), fit, TIMES)
+    return scored.select("customer_id", "mu", "risk", *[f"s_{t}" for t in TIMES])
+
+
+@query("k22b_aft_weibull")
+def aft_weibull(spark, sf):
     train, test = split_rows(spark, sf)
     fit = survmodels.fit_aft(train, SURVIVAL_FEATURES)
     scored = survmodels.weibull_curves(survmodels.aft_scores(test, fit, SURVIVAL_FEATURES), fit.scale, TIMES)
@@ -153,13 +161,13 @@ def evaluate(spark, train, test):
     test = checkpointed(test)
     fit = _cox(train)
     net = cox.fit_coxnet(train, SURVIVAL_FEATURES, folds=2, n_alphas=3).model
-    aft = survmodels.fit_aft(train, SURVIVAL_FEATURES)
+    times = aft.fit_aft(train, SURVIVAL_FEATURES)
     scored = {
         "cox": cox.cox_curves(test, fit, TIMES).withColumn("risk", cox.linear_predictor(fit)),
         "coxnet": cox.cox_curves(test, net, TIMES).withColumn("risk", cox.linear_predictor(net)),
         "forest": survmodels.forest_curves(test, _forest(train), TIMES),
         "boosted": survmodels.boosted_curves(test, _boosted(train), TIMES),
-        "aft": survmodels.weibull_curves(survmodels.aft_scores(test, aft, SURVIVAL_FEATURES), aft.scale, TIMES),
+        "aft": aft.aft_curves(aft.aft_scores(test, times), times, TIMES),
     }
     keep = ["customer_id", "duration", "event_observed", "risk", *[f"s_{t}" for t in TIMES]]
     scored = {m: checkpointed(df.select(*keep)) for m, df in scored.items()}
