@@ -1,9 +1,8 @@
 """Cox regression from per-day sufficient sums, its ridge and elastic-net fits.
 
-Each Newton step is one pass: tasks reduce their rows to weighted sums per distinct
-duration (numpy over Arrow batches), a shuffle adds them up, and the driver receives one
-row per day of the observed period. Risk-set totals are suffix sums over those days.
-Several models (cross-validation folds) share a pass.
+Rows are ranged by duration once. Each Newton step is one pass: tasks reduce the rows of a day to
+weighted sums by one matrix product (numpy over Arrow batches), and the sums of a model's days are added up. Risk-set
+totals are suffix sums over days. All models of a path (penalties times cross-validation folds) share a pass.
 """
 
 from __future__ import annotations
@@ -14,12 +13,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenure.operators import metrics, ordered, survival
 
 KEY = "customer_id"
+#: (model, day) rows that a task holds before it hands them on.
+DAY_ROWS = 20_000
 
 
 @dataclass(frozen=True)
@@ -51,8 +53,10 @@ def scaling(df: DataFrame, cols: Sequence[str]) -> tuple[list[float], list[float
 
 def _scaled(df: DataFrame, cols, means, stds, duration, event, fold: Column | None = None) -> DataFrame:
     z = [((F.col(c) - m) / s).cast("double").alias(f"z{i}") for i, (c, m, s) in enumerate(zip(cols, means, stds))]
-    return df.select(F.col(duration).cast("double").alias("t"), F.col(event).cast("double").alias("e"),
+    rows = df.select(F.col(duration).cast("double").alias("t"), F.col(event).cast("double").alias("e"),
                      (fold if fold is not None else F.lit(-1)).cast("int").alias("fold"), *z)
+    # a day with many rows is cut by their hash
+    return rows.withColumn("cut", F.xxhash64(*[f"z{i}" for i in range(len(cols))])).repartitionByRange("t", "cut").sortWithinPartitions("t").drop("cut")
 
 
 def _reduce(keys: np.ndarray, vals: np.ndarray, logs: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,65 +69,97 @@ def _reduce(keys: np.ndarray, vals: np.ndarray, logs: np.ndarray, q: int) -> tup
     return k[starts], np.add.reduceat(v, starts, axis=0), top
 
 
-def _day_sums(rows: DataFrame, betas: dict[int, np.ndarray], p: int) -> dict[int, pd.DataFrame]:
-    """Per model (its held-out fold excluded) and duration, the sums the likelihood needs."""
+def _day_rows(rows: DataFrame, models: dict[int, tuple[int, np.ndarray]], p: int) -> DataFrame:
+    """(m, t, v, s): per task, day and model the sums the likelihood needs; a model leaves its held-out fold out.
+
+    ``models`` gives fold and coefficients by number. All models share the pass: a day's rows meet the weights of all
+    models in one matrix product, and products with features of events take event rows only. A task that gets its rows in the order of days
+    emits each day once.
+    """
     iu = np.triu_indices(p)
-    q = 1 + p + len(iu[0])
-    width = 1 + 2 * q + p
     names = [f"z{i}" for i in range(p)]
+    numbers = np.array(list(models), np.int32)
+    folds = np.array([f for f, _ in models.values()])
+    betas = np.column_stack([b for _, b in models.values()])
 
-    def features(pdf: pd.DataFrame, fold: int, beta: np.ndarray):
-        keep = pdf["fold"].to_numpy() != fold if fold >= 0 else np.ones(len(pdf), bool)
-        x, e, t = pdf[names].to_numpy()[keep], pdf["e"].to_numpy()[keep], pdf["t"].to_numpy()[keep]
+    def one_day(x: np.ndarray, full: np.ndarray, e: np.ndarray, score: np.ndarray, has: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         # weights are relative to the largest of their day, whose logarithm is kept
-        score = x @ beta
-        order = np.argsort(t, kind="stable")
-        x, e, t, score = x[order], e[order], t[order], score[order]
-        starts = np.append(0, np.flatnonzero(np.diff(t)) + 1) if len(t) else np.zeros(0, int)
-        top = np.maximum.reduceat(score, starts) if len(t) else score
-        shift = np.repeat(top, np.diff(np.append(starts, len(t))))
-        w = np.exp(score - shift)
-        base = np.empty((len(w), q))
-        base[:, 0] = w
-        base[:, 1:1 + p] = w[:, None] * x
-        base[:, 1 + p:] = w[:, None] * x[:, iu[0]] * x[:, iu[1]]
-        vals = np.hstack([e[:, None], base, e[:, None] * base, e[:, None] * x])
-        return t[starts], np.add.reduceat(vals, starts, axis=0) if len(t) else vals, top
-
-    def per_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = {m: None for m in betas}
-        for pdf in batches:
-            if not len(pdf):
+        top = score.max(0)
+        w = np.exp(score - np.where(np.isfinite(top), top, 0.0))
+        seen = np.flatnonzero(e > 0)
+        with_event = has[seen].astype(np.float64)
+        return np.hstack([with_event.sum(0)[:, None], w.T @ full, w[seen].T @ full[seen], with_event.T @ x[seen]]), top
+
+    def join(old: tuple[np.ndarray, np.ndarray], new: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        top = np.maximum(old[1], new[1])
+        base = np.where(np.isfinite(top), top, 0.0)
+        out = np.zeros_like(old[0])
+        for v, s in (old, new):
+            scaled = v.copy()
+            scaled[:, 1:v.shape[1] - p] *= np.exp(s - base)[:, None]
+            out += scaled
+        return out, top
+
+    def packed(days: list[tuple[float, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        has = [np.isfinite(s) for _, _, s in days]
+        values = np.concatenate([v[k] for (_, v, _), k in zip(days, has)])
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.concatenate([numbers[k] for k in has])), pa.array(np.concatenate([np.full(k.sum(), t) for (t, _, _), k in zip(days, has)])),
+            pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), pa.array(values.ravel())),
+            pa.array(np.concatenate([s[k] for (_, _, s), k in zip(days, has)]))], names=["m", "t", "v", "s"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple[float, np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            for m, beta in betas.items():
-                got = features(pdf, m, beta)
-                if len(got[0]):
-                    held[m] = _reduce(*got, q) if held[m] is None else _reduce(*(np.concatenate(pair) for pair in zip(held[m], got)), q)
-        for m, got in held.items():
-            if got is not None:
-                yield pd.DataFrame({"m": m, "t": got[0], "v": list(got[1]), "s": got[2]})
-
-    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            keys = pdf["m"].to_numpy() * 1e9 + pdf["t"].to_numpy()
-            got = keys, np.stack(pdf["v"].to_numpy()), pdf["s"].to_numpy()
-            held = _reduce(*got, q) if held is None else _reduce(*(np.concatenate(pair) for pair in zip(held, got)), q)
-        if held is not None:
-            m = np.floor((held[0] + 5e8) / 1e9).astype(int)
-            yield pd.DataFrame({"m": m, "t": held[0] - m * 1e9, "v": list(held[1]), "s": held[2]})
-
-    schema = "m int, t double, v array<double>, s double"
-    out = (rows.mapInPandas(per_partition, schema).repartition("m", "t")
-           .mapInPandas(add_up, schema).toPandas().sort_values(["m", "t"]))
-    result = {}
-    for m, part in out.groupby("m"):
-        v = np.stack(part["v"].to_numpy())
-        assert v.shape[1] == width
-        result[int(m)] = (part["t"].to_numpy(), v, part["s"].to_numpy())
-    return result
+            t, e, fold = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("t", "e", "fold"))
+            order = np.argsort(t, kind="stable")
+            t, e, fold = t[order], e[order], fold[order]
+            x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names])[order]
+            full = np.hstack([np.ones((len(t), 1)), x, x[:, iu[0]] * x[:, iu[1]]])
+            has = (fold[:, None] != folds[None, :]) | (folds < 0)[None, :]
+            score = np.where(has, x @ betas, -np.inf)
+            starts = np.append(0, np.flatnonzero(np.diff(t)) + 1)
+            for at, to in zip(starts, np.append(starts[1:], len(t))):
+                new = one_day(x[at:to], full[at:to], e[at:to], score[at:to], has[at:to])
+                if done and done[-1][0] == t[at]:
+                    done[-1] = (t[at], *join(done[-1][1:], new))
+                else:
+                    if len(done) * len(numbers) >= DAY_ROWS:
+                        yield packed(done)
+                        done = []
+                    done.append((t[at], *new))
+        if done:
+            yield packed(done)
+
+    return rows.mapInArrow(run, "m int, t double, v array<double>, s double")
+
+
+def _one_model(pdf: pd.DataFrame, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    q = 1 + p + p * (p + 1) // 2
+    return _reduce(pdf["t"].to_numpy(), np.stack(pdf["v"].to_numpy()), pdf["s"].to_numpy(), q)
+
+
+def _day_sums(rows: DataFrame, betas: dict[int, np.ndarray], p: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per model (its held-out fold excluded) the days, their sums and the logarithms these are relative to."""
+    out = _day_rows(rows, {m: (m, b) for m, b in betas.items()}, p).toPandas()
+    return {int(m): _one_model(part, p) for m, part in out.groupby("m")}
+
+
+def _states(rows: DataFrame, models: dict[int, tuple[int, np.ndarray]], p: int) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+    """Log-likelihood, gradient and information of many models in one job.
+
+    The days of a model meet in one task, which hands on its p x p numbers only.
+    """
+    betas = {m: b for m, (_, b) in models.items()}
+
+    def finish(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        ll, grad, info, *_ = _likelihood(*_one_model(pdf, p), betas[key[0]], p)
+        return pd.DataFrame({"m": [key[0]], "ll": [ll], "grad": [grad], "info": [info.ravel()]})
+
+    got = _day_rows(rows, models, p).groupBy("m").applyInPandas(finish, "m int, ll double, grad array<double>, info array<double>").collect()
+    return {r.m: (r.ll, np.array(r.grad), np.array(r.info).reshape(p, p)) for r in got}
 
 
 def _log_gamma_fall(x: float, n: float) -> float:
@@ -314,9 +350,9 @@ def ph_test(spark, df: DataFrame, model: Cox, duration: str = "duration", event:
     return spark.createDataFrame(rows, "feature string, statistic double, p_value double, violated int")
 
 
-def _soft_step(g: np.ndarray, info: np.ndarray, beta: np.ndarray, alpha: float, l1: float) -> np.ndarray:
-    """Coordinate descent on the quadratic model of the penalised likelihood."""
-    b = beta.copy()
+def _soft_step(g: np.ndarray, info: np.ndarray, beta: np.ndarray, alpha: float, l1: float, start: np.ndarray | None = None) -> np.ndarray:
+    """Coordinate descent on the quadratic model of the penalised likelihood at ``beta``."""
+    b = (beta if start is None else start).copy()
     r = g + info @ beta
     moved = math.inf
     while moved > 1e-10 * max(1.0, float(np.max(np.abs(b)))):
@@ -333,68 +369,101 @@ class CoxnetFit:
     model: Cox
     alpha: float
     path: list[tuple[float, float, int]]
+    passes: int = 0
+    converged: bool = True
+
+
+def _violation(grad: np.ndarray, beta: np.ndarray, alpha: float, l1: float) -> float:
+    """How far the elastic net's optimality conditions are from holding, largest coefficient."""
+    slope = grad - alpha * (1 - l1) * beta
+    return float(np.max(np.where(beta != 0, np.abs(slope - alpha * l1 * np.sign(beta)), np.maximum(np.abs(slope) - alpha * l1, 0))))
+
+
+def coxnet_path(rows: DataFrame, sizes: dict[int, int], p: int, l1: float, n_alphas: int, min_ratio: float, tol: float,
+                max_passes: int = 60) -> tuple[np.ndarray, dict[tuple[int, int], np.ndarray], int, bool]:
+    """Coefficients of every fold (-1: all rows) and penalty.
+
+    Models start from the path of the quadratic model at zero, and all that are not done take a proximal Newton
+    step in one job. A step that does not lower a model's penalised loss is halved. A model is done
+    when its optimality conditions hold to ``tol`` times the largest penalty.
+    """
+    folds = list(sizes)
+    start = _states(rows, {k: (k, np.zeros(p)) for k in folds}, p)
+    top = max(np.max(np.abs(start[-1][1])) / sizes[-1] / l1, 1e-12)
+    alphas = top * np.geomspace(1.0, min_ratio, n_alphas)
+
+    def loss(state, beta, k, alpha):
+        return -state[0] / sizes[k] + alpha * (l1 * np.abs(beta).sum() + (1 - l1) / 2 * beta @ beta)
+
+    keys = [(k, a) for k in folds for a in range(n_alphas)]
+    accepted, trial = {}, {}
+    for k in folds:
+        beta = np.zeros(p)
+        for a in range(n_alphas):
+            accepted[k, a] = (np.zeros(p), start[k], loss(start[k], np.zeros(p), k, alphas[a]))
+            beta = trial[k, a] = _soft_step(start[k][1] / sizes[k], start[k][2] / sizes[k], np.zeros(p), alphas[a], l1, beta)
+    passes = 1
+    while trial and passes < max_passes:
+        tried = {keys.index(key): (key[0], beta) for key, beta in trial.items()}
+        states = _states(rows, tried, p)
+        passes += 1
+        for i, (k, beta) in tried.items():
+            key, alpha = keys[i], alphas[keys[i][1]]
+            old, _, old_loss = accepted[key]
+            new_loss = loss(states[i], beta, k, alpha)
+            if not new_loss <= old_loss + 1e-12 * abs(old_loss):
+                trial[key] = (beta + old) / 2
+                if np.max(np.abs(beta - old)) > 1e-12:
+                    continue
+                del trial[key]
+                continue
+            accepted[key] = (beta, states[i], new_loss)
+            grad, info = states[i][1] / sizes[k], states[i][2] / sizes[k]
+            if _violation(grad, beta, alpha, l1) <= tol * top:
+                del trial[key]
+            else:
+                trial[key] = _soft_step(grad, info, beta, alpha, l1, beta)
+    return alphas, {key: accepted[key][0] for key in keys}, passes, not trial
 
 
 def fit_coxnet(df: DataFrame, cols: Sequence[str], l1_ratio: float = 0.9, folds: int = 5, n_alphas: int = 20,
-               min_ratio: float = 0.01, tol: float = 1e-4, key: str = KEY, duration: str = "duration",
+               min_ratio: float = 0.01, tol: float = 1e-6, key: str = KEY, duration: str = "duration",
                event: str = "event_observed", seed: int = 42) -> CoxnetFit:
     """Elastic-net path, with the penalty chosen by held-out concordance.
 
-    All folds and the full fit advance together, so a step of all of them is one job. A
-    penalty is done when no coefficient (per standard deviation) moves by more than ``tol``.
+    The whole path of the full fit and of every fold is found in as many jobs as the slowest model needs steps.
     """
-    passes = 0
     p = len(cols)
     means, stds = scaling(df, cols)
     assigned = df.join(ordered.folds(df, key, folds, "shuffled", seed).withColumnRenamed("fold", "_fold"), key)
     rows = _scaled(assigned, cols, means, stds, duration, event, F.col("_fold")).persist()
     try:
-        total = rows.count()
-        betas = {m: np.zeros(p) for m in [-1, *range(1, folds + 1)]}
-        sizes = {r.fold: r.n for r in rows.groupBy("fold").agg(F.count("*").alias("n")).collect()}
-        n = {m: total - (sizes.get(m, 0) if m >= 0 else 0) for m in betas}
-
-        def evaluate():
-            sums = _day_sums(rows, betas, p)
-            return {m: _likelihood(*sums[m], betas[m], p) for m in betas}
-
-        state = evaluate()
-        top = max(np.max(np.abs(state[-1][1])) / n[-1] / l1_ratio, 1e-12)
-        alphas = top * np.geomspace(1.0, min_ratio, n_alphas)
-        path = []
-        for alpha in alphas:
-            moved = math.inf
-            while moved > tol:
-                before = {m: b.copy() for m, b in betas.items()}
-                for m in betas:
-                    betas[m] = _soft_step(state[m][1] / n[m], state[m][2] / n[m], betas[m], alpha, l1_ratio)
-                state = evaluate()
-                passes += 1
-                moved = max(float(np.max(np.abs(betas[m] - before[m]))) for m in betas)
-            path.append({m: b.copy() for m, b in betas.items()})
+        held = {r.fold: r.n for r in rows.groupBy("fold").agg(F.count("*").alias("n")).collect()}
+        total = sum(held.values())
+        sizes = {-1: total} | {k: total - held.get(k, 0) for k in range(1, folds + 1)}
+        alphas, betas, passes, converged = coxnet_path(rows, sizes, p, l1_ratio, n_alphas, min_ratio, tol)
         # held-out risk for every penalty, scored together
         x = [F.col(f"z{i}") for i in range(p)]
 
-        def risk(a: int) -> Column:
-            out = None
-            for m in range(1, folds + 1):
-                eta = sum((x[i] * float(path[a][m][i]) for i in range(p)), F.lit(0.0))
-                out = F.when(F.col("fold") == m, eta) if out is None else out.when(F.col("fold") == m, eta)
-            return out
+        def risk(k: int) -> Column:
+            return F.array(*[F.struct(F.lit(a).alias("a"), sum((c * float(b) for c, b in zip(x, betas[k, a]) if b), F.lit(0.0)).alias("risk"))
+                             for a in range(n_alphas)])
 
-        scored = rows.select(F.col("t").alias(duration), F.col("e").cast("int").alias(event), "fold", F.explode(F.array(*[
-            F.struct(F.lit(a).alias("a"), risk(a).alias("risk")) for a in range(n_alphas)])).alias("s")).select(
+        own = risk(1)
+        for k in range(2, folds + 1):
+            own = F.when(F.col("fold") == k, risk(k)).otherwise(own)
+        scored = rows.select(F.col("t").alias(duration), F.col("e").cast("int").alias(event), "fold", F.explode(own).alias("s")).select(
             duration, event, "fold", "s.a", "s.risk")
         got = metrics.cindex(scored, "risk", duration, event, by=["a", "fold"]).groupBy("a").agg(
             F.avg("c_index").alias("c")).collect()
         score = {r.a: r.c or 0.0 for r in got}
         best = max(range(n_alphas), key=lambda a: (round(score.get(a, 0.0), 10), alphas[a]))
-        beta = path[best][-1]
+        beta = betas[-1, best]
         t, v, logs = _day_sums(rows, {-1: beta}, p)[-1]
         ll, g, info, hazard, risk_sums, d, ex = _likelihood(t, v, logs, beta, p)
     finally:
         rows.unpersist()
     model = Cox(tuple(cols), tuple(means), tuple(stds), beta, info, g, tuple(t), tuple(np.cumsum(hazard)), float(ll),
-                passes, total)
-    table = [(float(alphas[a]), float(score.get(a, float("nan"))), int(np.count_nonzero(path[a][-1]))) for a in range(n_alphas)]
-    return CoxnetFit(model, float(alphas[best]), table)
+                passes, total, converged=converged)
+    table = [(float(alphas[a]), float(score.get(a, float("nan"))), int(np.count_nonzero(betas[-1, a]))) for a in range(n_alphas)]
+    return CoxnetFit(model, float(alphas[best]), table, passes, converged)

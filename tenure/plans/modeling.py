@@ -96,7 +96,7 @@ def ph_test(spark, sf):
 
 @query("k19_coxnet_path")
 def coxnet_path(spark, sf):
-    fit = cox.fit_coxnet(repeat_rows(spark, sf), SURVIVAL_FEATURES, folds=3, n_alphas=5)
+    fit = cox.fit_coxnet(repeat_rows(spark, sf), SURVIVAL_FEATURES)
     rows = [(i, a, c, n, int(a == fit.alpha)) for i, (a, c, n) in enumerate(fit.path)]
     return spark.createDataFrame(rows, "step int, alpha double, c_index double, nonzero int, chosen int")
 
@@ -160,7 +160,7 @@ def evaluate(spark, train, test):
     train = checkpointed(train)
     test = checkpointed(test)
     fit = _cox(train)
-    net = cox.fit_coxnet(train, SURVIVAL_FEATURES, folds=2, n_alphas=3).model
+    net = cox.fit_coxnet(train, SURVIVAL_FEATURES).model
     times = aft.fit_aft(train, SURVIVAL_FEATURES)
     scored = {
         "cox": cox.cox_curves(test, fit, TIMES).withColumn("risk", cox.linear_predictor(fit)),
