@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -14,7 +16,7 @@ from tenure.functions.scalars import bin_right_closed, clip
 from tenure.operators import survival
 from tenure.operators.features import histogram
 from tenure.operators.ordered import (
-    prefix_sum, quantiles, rank_average, row_index, sketch, topk_overlap,
+    prefix_sum, quantiles, sketch, topk_overlap, with_range, with_rank,
 )
 from tenure.operators.report import stack_predictions
 
@@ -150,18 +152,11 @@ def regression(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFra
 
 def spearman(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
     """Correlation of average ranks."""
-    both = df.select(*by, F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"))
-    ranked = both.join(rank_average(both, "_a", "_ra", by=by), [*by, "_a"]).join(
-        rank_average(both, "_b", "_rb", by=by), [*by, "_b"])
+    both = df.select(*by, F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b")).where("_a IS NOT NULL AND _b IS NOT NULL")
+    ranked = with_rank(with_rank(both, "_a", "_ra", by=by), "_b", "_rb", by=by)
     return ranked.groupBy(*by).agg(F.corr("_ra", "_rb").alias("spearman"))
 
 
-def kolmogorov_sf(x: float) -> float:
-    if x <= 0:
-        return 1.0
-    return min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 101))))
-
-
 def ks(df: DataFrame, a: str, b: str) -> DataFrame:
     """Largest distance of the distributions of two columns, with its asymptotic p-value."""
     both = df.select(F.explode(F.array(
@@ -262,43 +257,95 @@ def feature_distribution(df: DataFrame, cols: Sequence[str], label: str, bins: i
 # Censored outcomes -------------------------------------------------------------------
 
 
+#: Distinct (risk, time) cells that a task of the concordance counts together, about.
+BLOCK_ROWS = 200_000
+
+
+def _inside_block(r: np.ndarray, u: np.ndarray, n: np.ndarray, w: np.ndarray) -> tuple[float, float]:
+    """Concordant and tied weight of the pairs among some cells.
+
+    Ranks in binary first differ at one bit: per bit, cells that share the leading bits are in one run by falling time.
+    """
+    k = np.unique(r, return_inverse=True)[1]
+
+    def later(group: np.ndarray, count: np.ndarray, weight: np.ndarray) -> float:
+        """Sum of weights times the count at later times of the same group."""
+        order = np.lexsort((-u, group))
+        g, t, c = group[order], u[order], np.concatenate([[0], np.cumsum(count[order])])
+        new_group = np.concatenate([[True], g[1:] != g[:-1]])
+        new_time = new_group | np.concatenate([[True], t[1:] != t[:-1]])
+        at = np.arange(len(g))
+        start, same = np.maximum.accumulate(np.where(new_group, at, 0)), np.maximum.accumulate(np.where(new_time, at, 0))
+        return float(weight[order] @ (c[same] - c[start]))
+
+    concordant = 0.0
+    for bit in range(int(k.max()).bit_length()):
+        one = (k >> bit) & 1 == 1
+        concordant += later(k >> (bit + 1), np.where(one, 0, n), np.where(one, w, 0.0))
+    return concordant, later(k, n, w)
+
+
 def cindex(df: DataFrame, risk: str = "risk", duration: str = "duration", event: str = "event_observed",
            weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Concordance of a risk score with the order of events.
 
     A pair counts when the event of i comes before j's time, or at it with j censored; it
     is concordant when i has the higher risk, and half when risks are equal.
-    Pairs are never listed: with the dense rank of the risk written in binary, two ranks
-    first differ at one bit, so per bit the rows sharing the leading bits are reduced to
-    counts per time and summed from the latest time back. Work is rows x bits.
+    Pairs are never listed. Risks are cut into blocks: pairs of different blocks are counted on the histogram of
+    (block, time), pairs of one block in the task that has the block's cells, so a row is used twice.
     """
     by = list(by)
     u = F.col(duration).cast("long") * 2 + (1 - F.col(event).cast("int"))
     w = F.col(weight) if weight else F.lit(1.0)
     rows = df.select(*by, u.alias("_u"), F.col(risk).cast("double").alias("_r"),
-                     F.when(F.col(event) == 1, w).otherwise(0.0).alias("_w"))
-    cuts, n = sketch(rows, "_r")
-    index = prefix_sum(rows.select(*by, "_r").distinct(), "_r", {"n": F.lit(1)}, by=by, cuts=cuts)
-    index = index.select(*by, "_r", F.col("cum_n").alias("_k"))
-    cells = rows.groupBy(*by, "_r", "_u").agg(F.count("*").alias("_n"), F.sum("_w").alias("_w")).join(index, [*by, "_r"])
-    bits = max(1, int(n).bit_length())
+                     F.when(F.col(event) == 1, w).otherwise(0.0).cast("double").alias("_w")).where("_r IS NOT NULL")
+    blocks = max(1, math.ceil(rows.count() / BLOCK_ROWS))
+    cuts = sketch(rows, "_r", blocks)[0] if blocks > 1 else []
+    cells = with_range(rows.groupBy(*by, "_r", "_u").agg(F.count("*").alias("_n"), F.sum("_w").alias("_w")), "_r", cuts, "_k")
+    coarse = _block_pairs(cells.groupBy(*by, "_k", "_u").agg(F.sum("_n").alias("_n"), F.sum("_w").alias("_w")), by, len(cuts) + 2)
+    names = [f"_by{i}" for i in range(len(by))]
+    kinds = "".join(f"{n} {rows.schema[c].dataType.simpleString()}, " for n, c in zip(names, by))
+
+    def inside(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        got = _inside_block(*(pdf[c].to_numpy() for c in ("_r", "_u", "_n", "_w")))
+        return pd.DataFrame([[*key[:-1], *got]], columns=[*names, "_c", "_t"])
+
+    fine = cells.groupBy(*by, "_k").applyInPandas(inside, f"{kinds}_c double, _t double").groupBy(*names).agg(F.sum("_c").alias("_c"), F.sum("_t").alias("_t"))
+    if by:
+        same = None
+        for n, c in zip(names, by):
+            one = F.col(c).eqNullSafe(F.col(n))
+            same = one if same is None else same & one
+        both = coarse.join(fine, same)
+    else:
+        # one row each
+        both = coarse.withColumn("_f", fine.select(F.struct("_c", "_t")).scalar()).select("*", "_f.*")
+    out = both.select(*by, (F.col("concordant") + F.coalesce("_c", F.lit(0.0))).alias("concordant"), F.coalesce("_t", F.lit(0.0)).alias("tied"), "comparable")
+    return out.withColumn("c_index", F.try_divide(F.col("concordant") + F.col("tied") / 2, F.col("comparable")))
+
+
+def _block_pairs(cells: DataFrame, by: list[str], blocks: int) -> DataFrame:
+    """Concordant pairs of different blocks, and all comparable pairs, from the histogram of (block, time).
+
+    With the block's number in binary, two blocks first differ at one bit, so per bit the cells sharing
+    the leading bits are reduced to counts per time and summed from the latest time back.
+    """
+    bits = max(1, blocks.bit_length())
     level = F.col("_b")
-    marked = cells.withColumn("_b", F.explode(F.sequence(F.lit(-1), F.lit(bits))))
+    marked = cells.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(bits))))
     bit = F.expr("shiftright(_k, _b) & 1")
     spread = marked.select(
         *by, "_b", "_u",
-        F.when(level < 0, F.col("_k")).when(level == bits, 0).otherwise(F.expr("shiftright(_k, _b + 1)")).alias("_p"),
-        F.when((level < 0) | (level == bits) | (bit == 0), F.col("_n")).otherwise(0).alias("_n"),
-        F.when((level < 0) | (level == bits) | (bit == 1), F.col("_w")).otherwise(0.0).alias("_w"))
+        F.when(level == bits, 0).otherwise(F.expr("shiftright(_k, _b + 1)")).alias("_p"),
+        F.when((level == bits) | (bit == 0), F.col("_n")).otherwise(0).alias("_n"),
+        F.when((level == bits) | (bit == 1), F.col("_w")).otherwise(0.0).alias("_w"))
     per_time = spread.groupBy(*by, "_b", "_p", "_u").agg(F.sum("_n").alias("_n"), F.sum("_w").alias("_w"))
     later = W.partitionBy(*by, "_b", "_p").orderBy(F.col("_u").desc()).rowsBetween(W.unboundedPreceding, -1)
     pairs = per_time.withColumn("_pairs", F.col("_w") * F.coalesce(F.sum("_n").over(later), F.lit(0)))
     # censored rows carry no event weight, so only events open a pair
-    out = pairs.groupBy(*by).agg(
-        F.sum(F.when(level.between(0, bits - 1), F.col("_pairs")).otherwise(0.0)).alias("concordant"),
-        F.sum(F.when(level < 0, F.col("_pairs")).otherwise(0.0)).alias("tied"),
+    return pairs.groupBy(*by).agg(
+        F.sum(F.when(level < bits, F.col("_pairs")).otherwise(0.0)).alias("concordant"),
         F.sum(F.when(level == bits, F.col("_pairs")).otherwise(0.0)).alias("comparable"))
-    return out.withColumn("c_index", F.try_divide(F.col("concordant") + F.col("tied") / 2, F.col("comparable")))
 
 
 def eval_times(df: DataFrame, grid: tuple[int, int, int] = EVAL_GRID, duration: str = "duration",

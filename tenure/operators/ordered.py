@@ -118,9 +118,53 @@ def rank_average(df: DataFrame, col: str, out: str, descending: bool = False,
     return counts.select(*by, col, (F.col("cum_n") - (F.col("n") - 1) / 2.0).alias(out))
 
 
-def with_rank(df: DataFrame, col: str, out: str, descending: bool = False) -> DataFrame:
-    """Attach the average rank of ``col`` to every row."""
-    return df.join(rank_average(df, col, out, descending), col, "left")
+def ranges_and_heavy(df: DataFrame, col: str) -> tuple[list[float], list[float]]:
+    """Range edges, and the values that fill a range or more on their own.
+
+    A value that so many rows share stands at two or more of the sketch's quantiles. There are at most
+    as many of them as ranges. Only types in which equal doubles mean equal values are looked at.
+    """
+    n = n_ranges(df)
+    probs = [i / n for i in range(n + 1)]
+    value = F.col(col).cast("double")
+    found = df.where(value.isNotNull()).agg(F.percentile_approx(value, probs, 20 * n).alias("cuts")).first().cuts or []
+    points = [float(c) for c in found if math.isfinite(c)]
+    exact = df.schema[col].dataType.typeName() in ("double", "float", "byte", "short", "integer", "long")
+    heavy = sorted({a for a, b in zip(points, points[1:]) if a == b and abs(a) < 2**53}) if exact else []
+    return sorted({*points[1:-1], *heavy}), heavy
+
+
+def with_rank(df: DataFrame, col: str, out: str, descending: bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """Attach the average rank of ``col`` to every row; null values have none.
+
+    Rows are ranked where they are: a window inside each value range, shifted by the totals of
+    the ranges before it. Rows of a value that would fill a range take their rank from that value's totals, one row
+    per range, and are not moved. ``by`` must have few distinct values.
+    """
+    by = list(by)
+    cuts, heavy = ranges_and_heavy(df, col)
+    is_heavy = F.coalesce(F.col(col).cast("double").isin(heavy), F.lit(False)) if heavy else F.lit(False)
+    rows = with_range(df.withColumn("_heavy", is_heavy), col, cuts)
+    known = rows.where(F.col(col).isNotNull())
+    # groups x ranges rows: a heavy value is the first of its range
+    sizes = known.groupBy(*by, "_range").agg(F.count("*").alias("_n"), F.count_if("_heavy").alias("_h"))
+    before = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = F.broadcast(sizes.select(
+        *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_range").alias("_at"), "_h",
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"), F.sum("_n").over(W.partitionBy(*by)).alias("_all")))
+    same = F.col("_range") == F.col("_at")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    inside = W.partitionBy(*by, "_range").orderBy(col)
+    peers = F.count(F.lit(1)).over(inside.rangeBetween(W.currentRow, W.currentRow)) if heavy or cuts else F.count(F.lit(1)).over(W.partitionBy(*by, "_range", col))
+    light = known.where(~F.col("_heavy")).withColumn("_r", F.rank().over(inside) + (peers - 1) / 2.0).join(offsets, same)
+    light = light.withColumn(out, F.col("_o") + F.col("_h") + F.col("_r")).drop("_r")
+    full = known.where("_heavy").join(offsets, same).withColumn(out, F.col("_o") + (F.col("_h") + 1) / 2.0)
+    ranked = light.unionByName(full)
+    if descending:
+        ranked = ranked.withColumn(out, F.col("_all") + 1 - F.col(out))
+    none = df.where(F.col(col).isNull()).withColumn(out, F.lit(None).cast("double"))
+    return ranked.select(*df.columns, F.col(out).cast("double").alias(out)).unionByName(none)
 
 
 def previous_time(df: DataFrame, key: str = "customer_id", ts: str = "ts",
@@ -229,6 +273,56 @@ def interp(df: DataFrame, col: str, xs: Sequence[float], ys: Sequence[float], ou
     return placed.withColumn(out, value).drop("_seg")
 
 
+def asof(df: DataFrame, col: str, points: DataFrame, x: str, before: str = "before", after: str = "after") -> DataFrame:
+    """Attach the last point at or before ``col`` and the first one after it, as structs of the points' columns.
+
+    Points and rows go into value ranges together and meet in a window inside each range; the last and first
+    points of the other ranges, one row per range, are carried over its borders. So both sides may have any size.
+    Rows of a value that would fill a range are looked up once for the value. Points must differ in ``x``; null
+    points are left out, and rows with a null value find none.
+    """
+    cuts, heavy = ranges_and_heavy(df.select(F.col(col).cast("double").alias("_x")).unionByName(points.select(F.col(x).cast("double").alias("_x"))), "_x")
+    fields = F.struct(*points.columns)
+    kind = points.select(fields.alias("p")).schema["p"].dataType
+    placed = points.where(F.col(x).isNotNull()).select(F.col(x).cast("double").alias("_x"), fields.alias("_p"))
+    rows = df.select(F.struct(*df.columns).alias("_row"), F.col(col).cast("double").alias("_x"))
+    row_type = rows.schema["_row"].dataType
+    is_heavy = F.coalesce(F.col("_x").isin(heavy), F.lit(False)) if heavy else F.lit(False)
+    light = rows.where(F.col("_x").isNotNull() & ~is_heavy)
+    asked = light.withColumn("_p", F.lit(None).cast(kind))
+    if heavy:
+        asked = asked.unionByName(df.sparkSession.createDataFrame([(v,) for v in heavy], "_x double").select(
+            F.lit(None).cast(row_type).alias("_row"), "_x", F.lit(None).cast(kind).alias("_p")))
+    both = asked.withColumn("_is", F.lit(1)).unionByName(placed.select(F.lit(None).cast(row_type).alias("_row"), "_x", "_p").withColumn("_is", F.lit(0)))
+    ranged = with_range(both, "_x", cuts)
+    # one row per range
+    ends = with_range(placed, "_x", cuts).groupBy("_range").agg(F.min_by("_p", "_x").alias("_low"), F.max_by("_p", "_x").alias("_high"))
+    every = df.sparkSession.range(len(cuts) + 2).select(F.col("id").cast("int").alias("_range")).join(ends, "_range", "left")
+    w = W.orderBy("_range")
+    borders = F.broadcast(every.select("_range", F.last("_high", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)).alias("_from"),
+                                       F.first("_low", ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing)).alias("_to")))
+    # a point comes before the rows at its own value
+    inside = W.partitionBy("_range").orderBy("_x", "_is")
+    found = (ranged.withColumn(before, F.last("_p", ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, 0)))
+             .withColumn(after, F.first("_p", ignorenulls=True).over(inside.rowsBetween(1, W.unboundedFollowing)))
+             .where("_is = 1").join(borders, "_range")
+             .select("_row", "_x", F.coalesce(before, "_from").alias(before), F.coalesce(after, "_to").alias(after)))
+    out = found
+    if heavy:
+        near = F.broadcast(found.where("_row IS NULL").select("_x", before, after))
+        out = found.where("_row IS NOT NULL").unionByName(rows.where(is_heavy).join(near, "_x").select("_row", "_x", before, after))
+    null = rows.where("_x IS NULL").select("_row", "_x", F.lit(None).cast(kind).alias(before), F.lit(None).cast(kind).alias(after))
+    return out.unionByName(null).select("_row.*", before, after)
+
+
+def interp_table(df: DataFrame, col: str, curve: DataFrame, x: str, y: str, out: str) -> DataFrame:
+    """Piecewise linear lookup in a curve that is a table of any size; the ends extend."""
+    met = asof(df, col, curve.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")), "x", "_b", "_a")
+    share = F.try_divide(F.col(col).cast("double") - F.col("_b.x"), F.col("_a.x") - F.col("_b.x"))
+    value = F.when(F.col("_b").isNull(), F.col("_a.y")).when(F.col("_a").isNull(), F.col("_b.y")).otherwise(F.col("_b.y") + (F.col("_a.y") - F.col("_b.y")) * share)
+    return met.withColumn(out, value).drop("_a", "_b")
+
+
 def step(df: DataFrame, col: str, xs: Sequence[float], ys: Sequence[float], out: str,
          before: float = 1.0) -> DataFrame:
     """Value of a fitted step curve at the last point at or before ``col``."""

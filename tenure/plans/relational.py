@@ -324,10 +324,9 @@ SELECT customer_id, round(CASE WHEN q >= (SELECT max(x) FROM curve) THEN (SELECT
 FROM (SELECT customer_id, age_days / 180.0::DOUBLE AS q FROM summary) LEFT JOIN seg ON q >= x0 AND q < x1""")
 def linear_interp(spark, sf):
     base = summary(spark, sf)
-    # one point per purchase count
-    points = sorted(base.groupBy("frequency").agg(F.avg("total_spend").alias("y")).collect())
-    at = base.select("customer_id", (F.col("T") / 180.0).alias("q"))
-    out = ordered.interp(at, "q", [r.frequency for r in points], [r.y for r in points], "spend_at")
+    # one point per purchase count, a table of any size
+    points = base.groupBy("frequency").agg(F.avg("total_spend").alias("y"))
+    out = ordered.interp_table(base.select("customer_id", (F.col("T") / 180.0).alias("q")), "q", points, "frequency", "y", "spend_at")
     return rounded(out.drop("q"), 4)
 
 

@@ -109,3 +109,64 @@ def test_equal_hashes_do_not_share_a_place(spark, monkeypatch):
     assert sorted(sizes) == [15, 15, 15, 15]
     mixed = survmodels.permuted(df, "v")
     assert sorted(r.v for r in mixed.collect()) == list(range(60))
+
+
+def exchanges_keyed_by(df, *cols):
+    """Whether a shuffle of the plan is keyed by one of the columns alone."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if any(f"hashpartitioning({c}#" in line for c in cols)]
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_ranks_of_a_value_most_rows_share(spark, descending):
+    rng = random.Random(8)
+    values = [0] * 9000 + [rng.randrange(-500, 500) for _ in range(1000)] + [None] * 5
+    df = spark.createDataFrame([(i, v, f"x{i}") for i, v in enumerate(values)], "id int, v long, kept string").repartition(6)
+    out = ordered.with_rank(df, "v", "r", descending)
+    got = out.toPandas().set_index("id").sort_index()
+    want = pd.Series(values, dtype="float").rank(ascending=not descending)
+    assert list(out.columns) == ["id", "v", "kept", "r"] and len(got) == len(values)
+    assert (got["r"].isna() == want.isna()).all() and np.allclose(got["r"].dropna(), want.dropna())
+    assert not exchanges_keyed_by(out, "v")
+    # rows of the hot value stay where they are; the others are ranked in ranges of bounded size
+    cuts, heavy = ordered.ranges_and_heavy(df, "v")
+    assert heavy == [0.0]
+    light = ordered.with_range(df.where("v IS NOT NULL AND v <> 0"), "v", cuts).groupBy("_range").count().agg(F.max("count")).first()[0]
+    assert light <= 1000
+
+
+def test_ranks_by_group_and_of_other_types(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice("ab"), float(rng.choice([0, 0, 0, rng.random()])), str(rng.randrange(1000)) + ".5") for _ in range(800)]
+    df = spark.createDataFrame(rows, "g string, v double, d string").selectExpr("g", "v", "cast(d as decimal(20,2)) AS d")
+    pdf = df.toPandas()
+    got = ordered.with_rank(df, "v", "r", by=["g"]).toPandas()
+    want = pdf.assign(r=pdf.groupby("g")["v"].rank())
+    assert sorted(map(tuple, got[["g", "v", "r"]].values)) == sorted(map(tuple, want[["g", "v", "r"]].values))
+    assert sorted(ordered.with_rank(df, "d", "r").toPandas()["r"]) == sorted(pdf["d"].astype(float).rank())
+    assert ordered.with_rank(df.limit(0), "v", "r").count() == 0
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_asof_finds_the_points_beside_a_row(spark, hot):
+    rng = random.Random(4)
+    values = ([50.0] * 3000 if hot else []) + [rng.uniform(-10, 120) for _ in range(400)] + [10.0, 90.0, None]
+    xs = sorted({round(rng.uniform(0, 100), 1) for _ in range(60)} | {10.0, 90.0})
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, q double").repartition(5)
+    points = spark.createDataFrame([(x, x * x, "p") for x in xs], "x double, y double, name string").repartition(3)
+    out = ordered.asof(df, "q", points, "x")
+    got = {r.id: (r.q, r.before and r.before.x, r.after and r.after.x) for r in out.collect()}
+    assert len(got) == len(values)
+    for i, v in enumerate(values):
+        low = max((x for x in xs if v is not None and x <= v), default=None)
+        high = min((x for x in xs if v is not None and x > v), default=None)
+        assert got[i] == (v, low, high)
+    curve = ordered.interp_table(df, "q", points, "x", "y", "z").where("q IS NOT NULL").toPandas()
+    assert np.allclose(curve["z"], np.interp(curve["q"], xs, [x * x for x in xs]))
+
+
+def test_asof_without_points_or_rows(spark):
+    df = spark.createDataFrame([(1, 2.0), (2, None)], "id int, q double")
+    none = spark.createDataFrame([], "x double, y double")
+    assert [(r.before, r.after) for r in ordered.asof(df, "q", none, "x").collect()] == [(None, None)] * 2
+    assert ordered.asof(df.limit(0), "q", none, "x").collect() == []

@@ -43,7 +43,9 @@ def test_concordance_extremes(spark, risks, want):
     assert metrics.cindex(df).first().c_index == pytest.approx(want)
 
 
-def test_concordance_matches_pairs(spark):
+@pytest.mark.parametrize("block", [200_000, 40])
+def test_concordance_matches_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(metrics, "BLOCK_ROWS", block)
     rng = np.random.default_rng(1)
     rows = [(int(t), int(e), float(r)) for t, e, r in zip(rng.integers(1, 30, 300), rng.integers(0, 2, 300), rng.integers(0, 40, 300))]
     # a third of the rows share one risk
