@@ -9,7 +9,7 @@ column expressions.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tenure.functions.scalars import money_sum
-from tenure.operators.ordered import quantiles
+from tenure.operators.ordered import n_ranges, quantiles
 
 KEY = "customer_id"
 
@@ -456,38 +456,161 @@ def score_grid(df: DataFrame, m: BgNbd, t: float = 30.0) -> DataFrame:
 
     Both axes run to the largest observed value, at the largest observed age.
     """
-    span = df.agg(F.max("frequency").cast("int").alias("max_x"), F.max("recency").cast("int").alias("max_r"),
-                  F.max("T").alias("T"))
-    rows = span.select(F.explode(F.sequence(F.lit(0), F.col("max_x"))).alias("x"), "max_r", "T")
-    cells = rows.select("x", F.explode(F.sequence(F.lit(0), F.col("max_r"))).alias("r"), "T")
-    grid = cells.select(F.col("x").cast("double").alias("frequency"), F.col("r").cast("double").alias("recency"), "T")
+    span = df.agg(F.max("frequency").cast("int").alias("x"), F.max("recency").cast("int").alias("r"), F.max("T").alias("T")).first()
+    if span["x"] is None:
+        span = {"x": -1, "r": 0, "T": None}
+    # the frequencies are dealt to tasks before a row of recencies grows from each
+    rows = df.sparkSession.range(span["x"] + 1).repartition(n_ranges(df), "id")
+    cells = rows.select("id", F.explode(F.sequence(F.lit(0), F.lit(span["r"]))).alias("r"))
+    grid = cells.select(F.col("id").cast("double").alias("frequency"), F.col("r").cast("double").alias("recency"), F.lit(span["T"]).cast("double").alias("T"))
     return expected_purchases(p_alive(grid, m), m, t)
 
 
 # Posterior --------------------------------------------------------------------------
 
 
-def _gaussian_draws(mode: Sequence[float], hessian: Sequence[Sequence[float]], n: int, seed: int) -> np.ndarray:
-    """Draws of positive parameters from the normal approximation on the log scale."""
+#: Degrees of freedom of the proposal, and its widest standard deviation on the log scale.
+PROPOSAL_DF, WIDEST = 5, 20.0
+
+
+def _proposal(mode: Sequence[float], hessian: Sequence[Sequence[float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Centre, axes and widths of the normal approximation on the log scale, as the curvature has them.
+
+    A direction without curvature gets the widest spread there is: most draws along it are then far off, which
+    their weights show.
+    """
     w, q = np.linalg.eigh(-np.array(hessian))
-    # flat directions are kept within e**2 of the mode
-    w = np.maximum(w, 0.25)
-    sd = 1 / np.sqrt(w)
-    noise = np.random.default_rng(seed).standard_normal((n, len(mode)))
-    return np.exp(np.log(np.array(mode)) + (noise * sd) @ q.T)
+    return np.log(np.array(mode)), q, 1 / np.sqrt(np.maximum(np.abs(w), WIDEST**-2))
+
+
+def _propose(mode: Sequence[float], hessian: Sequence[Sequence[float]], n: int, seed: int, df: int | None = PROPOSAL_DF) -> tuple[np.ndarray, np.ndarray]:
+    """Draws of positive parameters around the mode, and the log density (up to a constant) of their logs.
+
+    Tails are those of Student's t, so that no part of a longer-tailed posterior is out of reach; ``df`` None is the normal.
+    """
+    centre, q, sd = _proposal(mode, hessian)
+    rng = np.random.default_rng(seed)
+    noise = rng.standard_normal((n, len(mode)))
+    if df is None:
+        density = -0.5 * (noise**2).sum(1)
+    else:
+        noise /= np.sqrt(rng.chisquare(df, n) / df)[:, None]
+        density = -0.5 * (df + len(mode)) * np.log1p((noise**2).sum(1) / df)
+    return np.exp(centre + (noise * sd) @ q.T), density
 
 
 def draws(m: BgNbd, g: GammaGamma | None, n: int = 500, seed: int = 42) -> list[dict[str, float]]:
-    """Approximate posterior draws around the fitted modes: a small parameter table."""
-    bg = _gaussian_draws((m.r, m.alpha, m.a, m.b), m.hessian, n, seed)
+    """Draws of the normal approximation around the fitted modes: a small parameter table."""
+    return _table(_propose((m.r, m.alpha, m.a, m.b), m.hessian, n, seed, None)[0],
+                  _propose((g.p, g.q, g.v), g.hessian, n, seed + 1, None)[0] if g is not None else None)
+
+
+def _table(bg: np.ndarray, gg: np.ndarray | None) -> list[dict[str, float]]:
     out = [dict(draw=i, r=float(v[0]), alpha=float(v[1]), a=float(v[2]), b=float(v[3])) for i, v in enumerate(bg)]
-    if g is not None:
-        gg = _gaussian_draws((g.p, g.q, g.v), g.hessian, n, seed + 1)
+    if gg is not None:
         for d, v in zip(out, gg):
             d.update(p=float(v[0]), q=float(v[1]), v=float(v[2]))
     return out
 
 
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    """log Gamma by upward recurrence and Stirling's series."""
+    x = np.array(x, dtype=float)
+    shift = np.zeros_like(x)
+    for _ in range(12):
+        low = x < 12
+        shift -= np.where(low, np.log(np.where(low, x, 1.0)), 0.0)
+        x = np.where(low, x + 1, x)
+    i = 1 / x
+    return shift + (x - 0.5) * np.log(x) - x + 0.9189385332046727 + i * (1 / 12 - i * i * (1 / 360 - i * i * (1 / 1260 - i * i / 1680)))
+
+
+def _bg_loglik(theta: np.ndarray, x: np.ndarray, tx: np.ndarray, T: np.ndarray) -> np.ndarray:
+    """BG/NBD log-likelihood of a history (rows) at parameters (columns)."""
+    r, alpha, a, b = theta.T[:, None, :]
+    # gamma terms depend on the purchase count alone
+    counts, of = np.unique(x, return_inverse=True)
+    k = counts[:, None]
+    gammas = (_lgamma(r + k) - _lgamma(r) + r * np.log(alpha) + _lgamma(a + b) + _lgamma(b + k) - _lgamma(b) - _lgamma(a + b + k))[of]
+    x, tx, T = x[:, None], tx[:, None], T[:, None]
+    alive = -(r + x) * np.log(alpha + T)
+    gone = np.where(x > 0, np.log(a) - np.log(np.where(x > 0, b + x - 1, 1.0)) - (r + x) * np.log(alpha + tx), -np.inf)
+    return gammas + np.logaddexp(alive, gone)
+
+
+def _gg_loglik(theta: np.ndarray, x: np.ndarray, money: np.ndarray) -> np.ndarray:
+    """Gamma-gamma log-likelihood of a customer's mean spend (rows) at parameters (columns)."""
+    p, q, v = theta.T[:, None, :]
+    counts, of = np.unique(x, return_inverse=True)
+    k = counts[:, None]
+    gammas = (_lgamma(p * k + q) - _lgamma(p * k) - _lgamma(q) + q * np.log(v) + p * k * np.log(k))[of]
+    x, money = x[:, None], money[:, None]
+    return gammas + (p * x - 1) * np.log(money) - (p * x + q) * np.log(x * money + v)
+
+
+def draw_logliks(rows: DataFrame, theta: np.ndarray, loglik: Callable, cols: Sequence[str]) -> np.ndarray:
+    """Log-likelihood of all rows at every draw, in one pass; ``n`` counts a row's copies.
+
+    A task works on slices of its rows and hands on one number for each draw.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(len(theta))
+        for pdf in batches:
+            for at in range(0, len(pdf), 1000):
+                part = pdf.iloc[at:at + 1000]
+                with np.errstate(all="ignore"):
+                    total += part["n"].to_numpy(float) @ loglik(theta, *(part[c].to_numpy(float) for c in cols))
+        yield pd.DataFrame({"i": np.arange(len(theta)), "f": total})
+
+    sums = rows.select("n", *cols).mapInPandas(run, "i int, f double").groupBy("i").agg(F.sum("f").alias("f")).collect()
+    out = np.full(len(theta), -np.inf)
+    for r in sums:
+        out[r.i] = r.f
+    return out
+
+
+@dataclass(frozen=True)
+class Posterior:
+    """Equally weighted draws, and how many independent draws each of the two models' weights are worth."""
+
+    rows: list[dict[str, float]]
+    ess_purchases: float
+    ess_spend: float | None
+
+
+def _resample(theta: np.ndarray, target: np.ndarray, density: np.ndarray, n: int, seed: int) -> tuple[np.ndarray, float]:
+    """Draws in proportion to target over density (systematic resampling), and the effective sample size."""
+    logs = np.where(np.isfinite(target), target, -np.inf) - density
+    w = np.exp(logs - logs.max())
+    w /= w.sum()
+    at = (np.arange(n) + np.random.default_rng(seed).random()) / n
+    picked = theta[np.minimum(np.searchsorted(np.cumsum(w), at), len(theta) - 1)]
+    return np.random.default_rng(seed + 1).permutation(picked), float(1 / (w @ w))
+
+
+def posterior_draws(df: DataFrame, m: BgNbd, g: GammaGamma | None, n: int = 500, proposals: int = 2000, seed: int = 42,
+                    prior_sigma: float = 10.0) -> Posterior:
+    """Draws from the posterior itself: proposals around the mode, weighted by their exact likelihood and prior.
+
+    Parameters have half-normal priors. The likelihood of all proposals is one aggregate over the distinct histories (and one over repeat customers' spend, in units of
+    its mean). The effective sample size says what the draws are worth: it is low where the mode's curvature does not
+    describe the posterior, as along a flat direction.
+    """
+    theta, density = _propose((m.r, m.alpha, m.a, m.b), m.hessian, proposals, seed)
+    cells = df.groupBy("frequency", "recency", "T").agg(F.count("*").alias("n"))
+    prior = -(theta**2).sum(1) / (2 * prior_sigma**2) + np.log(theta).sum(1)
+    bg, ess = _resample(theta, draw_logliks(cells, theta, _bg_loglik, ("frequency", "recency", "T")) + prior, density, n, seed)
+    if g is None:
+        return Posterior(_table(bg, None), ess, None)
+    spenders = df.where((F.col("frequency") > 0) & (F.col("monetary_value") > 0))
+    unit = spenders.agg(F.avg("monetary_value")).first()[0] or 1.0
+    theta, density = _propose((g.p, g.q, g.v / unit), g.hessian, proposals, seed + 1)
+    spend = spenders.select("frequency", (F.col("monetary_value") / unit).alias("m"), F.lit(1).alias("n"))
+    prior = -(theta**2).sum(1) / (2 * prior_sigma**2) + np.log(theta).sum(1)
+    gg, ess_spend = _resample(theta, draw_logliks(spend, theta, _gg_loglik, ("frequency", "m")) + prior, density, n, seed + 2)
+    return Posterior(_table(bg, gg * [1.0, 1.0, unit]), ess, ess_spend)
+
+
 def thin(rows: Sequence[dict], k: int = 2) -> list[dict]:
     """Every k-th draw."""
     return [d for d in rows if d["draw"] % k == 0]

@@ -353,14 +353,19 @@ def ph_test(spark, df: DataFrame, model: Cox, duration: str = "duration", event:
 def _soft_step(g: np.ndarray, info: np.ndarray, beta: np.ndarray, alpha: float, l1: float, start: np.ndarray | None = None) -> np.ndarray:
     """Coordinate descent on the quadratic model of the penalised likelihood at ``beta``."""
     b = (beta if start is None else start).copy()
-    r = g + info @ beta
+    left = g + info @ (beta - b)
+    diagonal = np.diag(info).tolist()
     moved = math.inf
     while moved > 1e-10 * max(1.0, float(np.max(np.abs(b)))):
-        before = b.copy()
-        for j in range(len(b)):
-            rho = r[j] - info[j] @ b + info[j, j] * b[j]
-            b[j] = math.copysign(max(abs(rho) - alpha * l1, 0.0), rho) / (info[j, j] + alpha * (1 - l1) + 1e-12)
-        moved = float(np.max(np.abs(b - before)))
+        moved = 0.0
+        for j, h in enumerate(diagonal):
+            old = float(b[j])
+            rho = float(left[j]) + h * old
+            new = math.copysign(max(abs(rho) - alpha * l1, 0.0), rho) / (h + alpha * (1 - l1) + 1e-12)
+            if new != old:
+                left -= info[:, j] * (new - old)
+                b[j] = new
+                moved = max(moved, abs(new - old))
     return b
 
 

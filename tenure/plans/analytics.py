@@ -239,9 +239,11 @@ def bgnbd_map(spark, sf):
 def posterior_summary(spark, sf):
     base = rfm(spark, sf)
     m = btyd.fit_bgnbd(base, prior_sigma=10.0)
-    g = btyd.fit_gamma_gamma(base, penalty=0.001)
-    out = btyd.posterior(base, btyd.draws(m, g))
-    return out.select("customer_id", *[f"{k}_{s}" for k in ("purchases", "p_alive", "spend", "clv") for s in ("mean", "std")])
+    g = btyd.fit_gamma_gamma(base, prior_sigma=10.0)
+    drawn = btyd.posterior_draws(base, m, g)
+    out = btyd.posterior(base, drawn.rows)
+    return out.select("customer_id", *[f"{k}_{s}" for k in ("purchases", "p_alive", "spend", "clv") for s in ("mean", "std")],
+                      F.lit(drawn.ess_purchases).alias("ess_purchases"), F.lit(drawn.ess_spend).alias("ess_spend"))
 
 
 # A fixed table of draws, shared with the SQL of the queries below.

@@ -114,3 +114,61 @@ def test_purchase_series_runs_to_convergence():
 
     assert got == pytest.approx([long_sum(0, 0, 0), long_sum(0, 0, 100), long_sum(2, 0, 30)], rel=1e-10)
     assert got[0] == pytest.approx(2.5469, abs=1e-4)
+
+
+def test_posterior_draws_match_a_grid_posterior(spark, customers):
+    """Means and deviations of the log parameters against a grid over the same likelihood and priors."""
+    few = customers.where("customer_id < 250").cache()
+    m = btyd.fit_bgnbd(few, prior_sigma=10.0)
+    got = btyd.posterior_draws(few, m, None, n=4000, proposals=6000)
+    logs = np.log([[d[k] for k in ("r", "alpha", "a", "b")] for d in got.rows])
+
+    centre, axes, sd = btyd._proposal((m.r, m.alpha, m.a, m.b), m.hessian)
+    steps = np.linspace(-4, 4, 15)
+    mesh = np.stack(np.meshgrid(*[steps] * 4, indexing="ij"), -1).reshape(-1, 4)
+    phi = centre + (mesh * np.minimum(sd, 2)) @ axes.T
+    theta = np.exp(phi)
+    pdf = few.toPandas()
+    x, tx, T = (pdf[c].to_numpy() for c in ("frequency", "recency", "T"))
+    post = sum(btyd._bg_loglik(theta, x[i:i + 25], tx[i:i + 25], T[i:i + 25]).sum(0) for i in range(0, len(x), 25))
+    post += -(theta**2).sum(1) / 200 + phi.sum(1)
+    w = np.exp(post - post.max())
+    w /= w.sum()
+    mean = w @ phi
+    spread = np.sqrt(w @ (phi - mean) ** 2)
+    assert got.ess_purchases > 600
+    assert logs.mean(0) == pytest.approx(mean, abs=0.15 * spread.max())
+    assert logs.std(0) == pytest.approx(spread, rel=0.2)
+
+
+def test_likelihood_of_draws_is_that_of_the_column(spark, customers):
+    m = btyd.BgNbd(0.8, 40.0, 0.7, 2.0)
+    cells = customers.groupBy("frequency", "recency", "T").agg(F.count("*").alias("n"))
+    got = btyd.draw_logliks(cells, np.array([[0.8, 40.0, 0.7, 2.0], [1.1, 30.0, 0.5, 3.0]]), btyd._bg_loglik, ("frequency", "recency", "T"))
+    want = [btyd.loglik(customers, btyd.BgNbd(*v)).first().loglik for v in ((0.8, 40.0, 0.7, 2.0), (1.1, 30.0, 0.5, 3.0))]
+    assert got == pytest.approx(want, rel=1e-9) and m.r == 0.8
+    g = btyd.fit_gamma_gamma(customers, scale_spend=False)
+    spend = customers.where("frequency > 0 AND monetary_value > 0").select("frequency", "monetary_value", F.lit(1).alias("n"))
+    at = btyd.draw_logliks(spend, np.array([[g.p, g.q, g.v]]), btyd._gg_loglik, ("frequency", "monetary_value"))
+    assert at[0] == pytest.approx(g.loglik, rel=1e-8)
+
+
+def test_a_flat_direction_has_a_low_effective_size(spark):
+    """Customers who bought once say nothing about dropping out; a wide prior leaves that direction open."""
+    once = spark.createDataFrame([(i, 0.0, 0.0, float(50 + i % 300), 0.0) for i in range(400)],
+                                 "customer_id int, frequency double, recency double, T double, monetary_value double")
+    m = btyd.BgNbd(0.1, 50.0, 1.0, 1.0, hessian=((-40.0, 20.0, 0, 0), (20.0, -15.0, 0, 0), (0, 0, 0.0, 0), (0, 0, 0, 0.0)))
+    got = btyd.posterior_draws(once, m, None, proposals=2000, prior_sigma=1e6)
+    assert len(got.rows) == 500 and got.ess_purchases < 200
+
+
+def test_grid_is_dealt_to_tasks(spark, customers):
+    out = btyd.score_grid(customers, btyd.BgNbd(0.8, 40.0, 0.7, 2.0))
+    span = customers.agg(F.max("frequency"), F.max("recency").cast("int")).first()
+    assert out.count() == (span[0] + 1) * (span[1] + 1) and out.rdd.getNumPartitions() > 1
+    assert btyd.score_grid(customers.limit(0), btyd.BgNbd(0.8, 40.0, 0.7, 2.0)).count() == 0
+
+
+def test_lgamma():
+    x = np.array([1e-3, 0.5, 1.0, 2.0, 7.3, 11.99, 12.0, 300.0, 1e6])
+    assert btyd._lgamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-12, abs=1e-12)
