@@ -427,7 +427,7 @@ def test_foreign_text_is_rejected(spark):
 
 
 def brute_perplexity(train, texts):
-    """Modified Kneser-Ney on the operator's own classes, from plain counts."""
+    """Modified Kneser-Ney on the operator's own words, from plain counts."""
     import pyarrow as pa
 
     def grams(t):
@@ -446,9 +446,8 @@ def brute_perplexity(train, texts):
         return [x if 0 < x <= i else u for i, (x, u) in enumerate(zip(d, [0, 0.5, 1.0, 1.5]))]
 
     d2, d1 = discounts(big), discounts(kinds)
-    d2[1] = 1.0
     all_kinds = sum(kinds.values())
-    spare = sum(d1[min(v, 3)] for v in kinds.values()) / all_kinds / quality.WORDS
+    spare = sum(d1[min(v, 3)] for v in kinds.values()) / all_kinds / (len(kinds) + 1)
     total, saved = Counter(), defaultdict(float)
     for (v, _), c in big.items():
         total[v] += c
