@@ -308,7 +308,7 @@ def cindex(df: DataFrame, risk: str = "risk", duration: str = "duration", event:
 
     def inside(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         got = _inside_block(*(pdf[c].to_numpy() for c in ("_r", "_u", "_n", "_w")))
-        return pd.DataFrame([[*key[:-1], *got]], columns=[*names, "_c", "_t"])
+        return pd.DataFrame({n: pd.Series([k], dtype=object) for n, k in zip(names, key)} | {"_c": [got[0]], "_t": [got[1]]})
 
     fine = cells.groupBy(*by, "_k").applyInPandas(inside, f"{kinds}_c double, _t double").groupBy(*names).agg(F.sum("_c").alias("_c"), F.sum("_t").alias("_t"))
     if by:

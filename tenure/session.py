@@ -51,9 +51,17 @@ def written(df: DataFrame) -> DataFrame:
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
+def written_so_far() -> int:
+    """A mark for ``remove_written``."""
+    return len(_WRITTEN)
+
+
 @atexit.register
-def _remove_written() -> None:
-    for spark, path in _WRITTEN:
+def remove_written(since: int = 0, keep: int = 0) -> None:
+    """Remove the tables written since a mark, but the last ``keep``; nothing may read them any more."""
+    gone = _WRITTEN[since:len(_WRITTEN) - keep]
+    _WRITTEN[since:len(_WRITTEN) - keep] = []
+    for spark, path in gone:
         with contextlib.suppress(Exception):  # the session may have ended before
             target = spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
