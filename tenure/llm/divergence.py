@@ -8,9 +8,10 @@ term holds, so being complete is a prefix too).
 
 Distinct documents are counted without document ids. A task sorts the distinct terms of each document; a term is
 the document's first with a prefix of length L exactly if it shares fewer than L bytes with the term before it.
-So each task emits (language, source, term, bytes shared, documents, occurrences), summed over the documents of a
-slice of its input, and the documents with a prefix are the sum over rows that share fewer than L bytes. What all
-levels read is this table; a frequent term is one row for each slice, whatever its number of documents.
+So each task emits (language, term, bytes shared, documents), summed over the documents of a slice of its input, and
+the documents with a prefix are the sum over rows that share fewer than L bytes. What all levels read is this
+table; a frequent term is one row for each slice, whatever its number of documents. Rows meet the kept prefixes of the last
+level by a 64-bit hash: a chance hit is counted again, exactly, at the next. Occurrences per source come from a second scan, which hands on kept terms only.
 
 Rates are exact: integer division of decimals of 38 digits in Spark, sums of whole numbers in the tasks. Pairs of
 sources are summed in buckets of a language's terms with a bounded number of (term, source) cells; a bucket
@@ -41,10 +42,10 @@ MIN_DOCS, SMOOTH, SCALE = 30, 5, 1_000_000_000
 TOP = 50
 #: Prefix lengths in bytes of the first levels; later ones are half as long again.
 LEVELS = (3, 5, 7, 9, 12, 16)
-#: Kept prefixes or terms that are broadcast at most, and (term, source) cells of a bucket.
-BROADCAST_ROWS, CELLS = 1_000_000, 500_000
-
-ROWS = "lang string, source string, term binary, shared int, docs long, n long"
+#: Hashes of kept prefixes that are broadcast at most (a long each), and (term, source) cells of a bucket, about.
+BROADCAST_ROWS, CELLS = 500_000, 20_000
+#: Text that a task takes at a time (one document at least).
+SLICE_BYTES = 8_000_000
 
 _FOLD = np.zeros(256, np.uint8)
 _FOLD[0x80:] = np.arange(0x80, 0x100)
@@ -107,47 +108,68 @@ def shared_bytes(words: pa.Array, left: np.ndarray, right: np.ndarray) -> np.nda
     return out
 
 
-def _slice_rows(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-    doc, words = terms(pc.fill_null(batch.column("text"), ""))
-    if not len(doc):
-        return None
+def _sorted_terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Document, word and number of occurrences of every distinct term of a document, sorted; and the words, sorted by bytes."""
+    doc, words = terms(pc.fill_null(texts, ""))
     coded = words.dictionary_encode()
     by_bytes = pc.sort_indices(coded.dictionary)
     words = coded.dictionary.take(by_bytes)
     rank = np.empty(len(words), np.int64)
     rank[by_bytes.to_numpy()] = np.arange(len(words))
-    # distinct terms of each document, sorted
-    key, times = np.unique(doc * len(words) + rank[coded.indices.to_numpy()], return_counts=True)
-    doc, word = key // len(words), key % len(words)
-    shared = np.zeros(len(key), np.int64)
+    key, times = np.unique(doc * max(1, len(words)) + rank[coded.indices.to_numpy()], return_counts=True)
+    return key // max(1, len(words)), key % max(1, len(words)), times, words
+
+
+def _summed(keys: list[np.ndarray], values: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Sums of values over rows whose keys are all equal; the last key varies slowest."""
+    if not len(values):
+        return keys, values
+    order = np.lexsort(keys)
+    keys = [k[order] for k in keys]
+    new = np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])
+    at = np.flatnonzero(new)
+    return [k[at] for k in keys], np.add.reduceat(values[order], at)
+
+
+def document_counts(batch: pa.RecordBatch) -> pa.Table:
+    """(lang, term, shared, docs) of a slice."""
+    doc, word, _, words = _sorted_terms(batch.column("text"))
+    shared = np.zeros(len(doc), np.int64)
     follows = np.flatnonzero(doc[1:] == doc[:-1]) + 1
     shared[follows] = shared_bytes(words, word[follows - 1], word[follows])
-    # summed over the documents of a group
-    names = pa.StructArray.from_arrays([batch.column("lang"), batch.column("source")], ["lang", "source"])
-    groups: dict[tuple[str, str], int] = {}
-    group = np.array([groups.setdefault((x["lang"], x["source"]), len(groups)) for x in names.to_pylist()])[doc]
-    order = np.lexsort((shared, word, group))
-    group, word, shared, times = group[order], word[order], shared[order], times[order]
-    new = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (word[1:] != word[:-1]) | (shared[1:] != shared[:-1])]))
-    docs, n = np.diff(np.concatenate([new, [len(group)]])), np.add.reduceat(times, new)
-    langs, sources = (pa.array([k[i] for k in groups], pa.string()) for i in (0, 1))
-    return pa.RecordBatch.from_arrays(
-        [langs.take(pa.array(group[new])), sources.take(pa.array(group[new])), words.take(pa.array(word[new])).cast(pa.binary()),
-         pa.array(shared[new], pa.int32()), pa.array(docs, pa.int64()), pa.array(n, pa.int64())],
-        names=["lang", "source", "term", "shared", "docs", "n"])
-
-
-def _task_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in common.text_slices(batch, rows=20_000, size=16_000_000):
-            rows = _slice_rows(part)
-            if rows is not None:
-                yield rows
+    langs = batch.column("lang").dictionary_encode()
+    (shared, word, lang), docs = _summed([shared, word, langs.indices.to_numpy()[doc]], np.ones(len(doc), np.int64))
+    return pa.table({"lang": langs.dictionary.take(pa.array(lang)), "term": words.take(pa.array(word)), "shared": pa.array(shared, pa.int32()), "docs": docs})
+
+
+def occurrences(batch: pa.RecordBatch) -> pa.Table:
+    """(lang, source, term, n) of a slice."""
+    doc, word, times, words = _sorted_terms(batch.column("text"))
+    langs, sources = (batch.column(c).dictionary_encode() for c in ("lang", "source"))
+    (word, source, lang), n = _summed([word, sources.indices.to_numpy()[doc], langs.indices.to_numpy()[doc]], times)
+    return pa.table({"lang": langs.dictionary.take(pa.array(lang)), "source": sources.dictionary.take(pa.array(source)), "term": words.take(pa.array(word)), "n": n})
+
+
+def _by_slices(rows_of):
+    """The rows of each slice of a task's input, in batches of bounded size."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.text_slices(batch, rows=20_000, size=SLICE_BYTES):
+                rows = rows_of(part)
+                rows = rows.set_column(rows.column_names.index("term"), "term", rows["term"].cast(pa.binary()))
+                yield from rows.to_batches(max_chunksize=100_000)
+
+    return run
 
 
 def term_rows(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, shared, docs, n) of ``docs`` (lang, source, text), summed inside slices."""
-    return docs.select("lang", "source", "text").mapInArrow(_task_rows, ROWS)
+    """(lang, term, shared, docs) of ``docs`` (lang, text), summed inside slices."""
+    return docs.select("lang", "text").mapInArrow(_by_slices(document_counts), "lang string, term binary, shared int, docs long")
+
+
+def source_rows(docs: DataFrame) -> DataFrame:
+    """(lang, source, term, n) of ``docs``, summed inside slices."""
+    return docs.select("lang", "source", "text").mapInArrow(_by_slices(occurrences), "lang string, source string, term binary, n long")
 
 
 def _prefix(length: int) -> Column:
@@ -155,16 +177,18 @@ def _prefix(length: int) -> Column:
     return F.substring(F.concat(F.col("term"), F.lit(b"\0")), 1, length)
 
 
+def with_prefixes(rows: DataFrame, kept: DataFrame, length: int) -> DataFrame:
+    """The rows whose prefix may be in ``kept`` (lang, prefix): none that is gets lost."""
+    names = kept.select(F.xxhash64("lang", "prefix").alias("kept_hash")).distinct()
+    return rows.join(common.broadcast_if_small(names, BROADCAST_ROWS), F.xxhash64("lang", _prefix(length)) == F.col("kept_hash"), "left_semi")
+
+
 def kept_terms(rows: DataFrame, min_docs: int = MIN_DOCS, levels=LEVELS) -> DataFrame:
     """(lang, term) of the terms in at least ``min_docs`` documents of their language."""
     found, alive, level, length = None, None, 0, 0
     while True:
         longer = levels[level] if level < len(levels) else length * 3 // 2
-        here = rows
-        if alive is not None:
-            here = rows.where(F.octet_length("term") >= length).join(
-                common.broadcast_if_small(alive.withColumnsRenamed({"lang": "a_lang", "prefix": "a_prefix"}), BROADCAST_ROWS),
-                (F.col("lang") == F.col("a_lang")) & (_prefix(length) == F.col("a_prefix")), "left_semi")
+        here = rows if alive is None else with_prefixes(rows.where(F.octet_length("term") >= length), alive, length)
         counts = here.where(F.col("shared") < longer).groupBy("lang", _prefix(longer).alias("prefix")).agg(F.sum("docs").alias("docs"))
         large = common.stored(counts.where(F.col("docs") >= min_docs).select("lang", "prefix"))
         whole = F.substring("prefix", -1, 1) == F.lit(b"\0")
@@ -195,7 +219,8 @@ def _pair_sums(key, cells: pd.DataFrame, sources: pd.DataFrame) -> pd.DataFrame:
         left += [names[i]] * (len(names) - 1 - i)
         right += list(names[i + 1:])
         value += np.abs(table[i + 1:] - table[i]).sum(axis=1).tolist()
-    return pd.DataFrame({"lang": key[0], "source": left, "item": right, "value": np.array(value, np.int64)})
+    texts = {c: pd.Series(v, dtype=object) for c, v in (("lang", [key[0]] * len(left)), ("source", left), ("item", right))}
+    return pd.DataFrame({**texts, "value": np.array(value, np.int64)})
 
 
 def divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
@@ -203,9 +228,9 @@ def divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     named = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
     rows = common.written(term_rows(named))
     kept = common.stored(kept_terms(rows, min_docs))
-    few = common.broadcast_if_small(kept.select(F.col("lang").alias("k_lang"), F.col("term").alias("k_term")), BROADCAST_ROWS)
-    counts = common.written(rows.join(few, (F.col("lang") == F.col("k_lang")) & (F.col("term") == F.col("k_term")), "left_semi")
-                            .groupBy("lang", "source", "term").agg(F.sum("n").alias("n")))
+    likely = with_prefixes(source_rows(named), kept.select("lang", F.concat("term", F.lit(b"\0")).alias("prefix")), 1 << 30)
+    counts = common.written(likely.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")).join(kept, ["lang", "term"], "left_semi")
+                            .select("lang", "source", "term", "n"))
 
     # one row for each group, and for each language
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
@@ -213,8 +238,10 @@ def divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     kept_in = kept.groupBy("lang").agg(F.count("*").alias("kept"))
     groups = groups.join(kept_in, "lang", "left").fillna(0, "kept")
     of_lang = W.partitionBy("lang")
-    groups = (groups.withColumn("lang_total", F.sum("total").over(of_lang))
-              .withColumn("buckets", F.ceil(F.col("kept") * F.count("*").over(of_lang) / CELLS)).withColumn("buckets", F.greatest(F.lit(1), F.col("buckets"))))
+    # a bucket emits a number for each pair of sources, so it has at least as many cells
+    sources = F.count("*").over(of_lang)
+    buckets = F.ceil(F.col("kept") * sources / F.greatest(F.lit(CELLS), sources * sources))
+    groups = groups.withColumn("lang_total", F.sum("total").over(of_lang)).withColumn("buckets", F.greatest(F.lit(1).cast("long"), buckets))
     groups = common.stored(groups.withColumn("none", F.lit(0).cast("long")).withColumn("p_none", rate("none", "total", "kept")))
 
     rated = counts.join(groups.select("lang", "source", "total", "lang_total", "kept", "buckets"), ["lang", "source"]).withColumn("p", rate("n", "total", "kept"))
