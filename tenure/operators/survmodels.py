@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import AFTSurvivalRegression, DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tenure.functions.scalars import clip, norm_cdf
 from tenure.operators import metrics, ordered
@@ -57,21 +59,39 @@ def fit_forest(df: DataFrame, cols: Sequence[str], trees: int = 200, depth: int
     return Forest(model, tuple(cols), width, periods)
 
 
-def forest_curves(df: DataFrame, forest: Forest, times: Sequence[int], key: str = KEY, prefix: str = "s_") -> DataFrame:
-    """S(t) columns and the risk (total cumulative hazard) per customer."""
-    grid = df.select(key, *forest.cols).withColumn("period", F.explode(F.sequence(F.lit(0), F.lit(forest.periods - 1))))
-    scored = forest.model.transform(_assemble(grid, [*forest.cols, "period"]))
+def forest_curves(df: DataFrame, forest: Forest, times: Sequence[int], prefix: str = "s_") -> DataFrame:
+    """S(t) columns and the risk (total cumulative hazard) per customer.
+
+    A customer's rows, one for each period, leave the explode side by side in the task that has the customer, and are folded
+    there: nothing is shuffled, grouped or joined back. The customer's own columns travel with the first period only.
+    """
+    periods, width = forest.periods, forest.width
+    grid = df.select(F.struct(*df.columns).alias("_row"), *[F.col(c).alias(f"_x{i}") for i, c in enumerate(forest.cols)]).withColumn(
+        "_period", F.explode(F.sequence(F.lit(0), F.lit(periods - 1))))
+    scored = forest.model.transform(_assemble(grid, [*[f"_x{i}" for i in range(len(forest.cols))], "_period"]))
     h = F.least(vector_to_array("_prob")[1], F.lit(1 - 1e-9))
-    logs = scored.select(key, "period", F.log1p(-h).alias("_l"))
+    logs = scored.select(F.when(F.col("_period") == 0, F.col("_row")).alias("_row"), F.log1p(-h).alias("_l"))
     # days 0..t have passed: whole periods count in full, the one that is running by its share
-    aggs = []
-    for t in times:
-        full, rest = divmod(t + 1, forest.width)
-        part = F.when(F.col("period") < full, F.col("_l")).when(F.col("period") == full, F.col("_l") * (rest / forest.width))
-        aggs.append(F.exp(F.coalesce(F.sum(part), F.lit(0.0))).alias(f"{prefix}{t}"))
+    at = np.arange(periods)
+    shares = [np.clip((t + 1) / width - at, 0.0, 1.0) for t in times]
     # a period's hazard enters the cumulative hazard of all periods from it on
-    out = logs.groupBy(key).agg(F.sum(-F.col("_l") * (F.lit(forest.periods) - F.col("period"))).alias("risk"), *aggs)
-    return df.join(out, key)
+    weights = np.column_stack([-(periods - at).astype(float), *shares])
+    names = [*df.columns, "risk", *[f"{prefix}{t}" for t in times]]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch] if left is None else [*left.to_batches(), batch])
+            n = rows.num_rows // periods
+            left = rows.slice(n * periods)
+            if n:
+                full = rows.slice(0, n * periods)
+                sums = full["_l"].to_numpy().reshape(n, periods) @ weights
+                own = full["_row"].combine_chunks().take(pa.array(np.arange(n) * periods)).flatten()
+                yield pa.RecordBatch.from_arrays([*own, pa.array(sums[:, 0]), *[pa.array(np.exp(c)) for c in sums[:, 1:].T]], names=names)
+
+    schema = StructType([*df.schema.fields, *[StructField(n, DoubleType()) for n in names[len(df.columns):]]])
+    return logs.mapInArrow(fold, schema)
 
 
 def tune_forest(df: DataFrame, cols: Sequence[str], grid: Sequence[tuple[int, int, int]], folds: int = 3, key: str = KEY,
@@ -84,7 +104,7 @@ def tune_forest(df: DataFrame, cols: Sequence[str], grid: Sequence[tuple[int, in
             scored = None
             for k in range(1, folds + 1):
                 fit = fit_forest(assigned.where(F.col("_fold") != k), cols, trees, depth, leaf, width, seed)
-                part = forest_curves(assigned.where(F.col("_fold") == k), fit, [], key)
+                part = forest_curves(assigned.where(F.col("_fold") == k), fit, [])
                 scored = part if scored is None else scored.unionByName(part)
             c = metrics.cindex(scored, by=["_fold"]).agg(F.avg("c_index")).first()[0]
             table.append((trees, depth, leaf, float(c)))
@@ -106,55 +126,54 @@ class BoostedCox:
     h0: list[float] = field(default_factory=list)
 
 
-def _cox_gradient(df: DataFrame, score: Column, duration: str, event: str) -> DataFrame:
-    """Negative gradient of the Cox loss at a score: event minus accumulated hazard."""
-    scored = df.withColumn("_w", F.exp(score))
-    days = scored.groupBy(duration).agg(F.sum(F.col(event).cast("double")).alias("_d"), F.sum("_w").alias("_sw"))
-    # one row per distinct day
-    risk = F.sum("_sw").over(W.orderBy(F.desc(duration)).rowsBetween(W.unboundedPreceding, 0))
-    steps = days.withColumn("_h", F.col("_d") / risk)
-    total = steps.select(duration, F.sum("_h").over(W.orderBy(duration).rowsBetween(W.unboundedPreceding, 0)).alias("_H"))
-    return scored.join(total, duration).withColumn("_grad", F.col(event) - F.col("_w") * F.col("_H"))
+def _day_hazard(rows: DataFrame, score: Column, duration: str, event: str) -> DataFrame:
+    """(_day, _H): the accumulated Breslow hazard at a score, one row per distinct day."""
+    sums = rows.groupBy(F.col(duration).alias("t")).agg(F.sum(F.col(event).cast("double")).alias("d"), F.sum(F.exp(score)).alias("w"))
+    days = sorted((r.t, r.d, r.w) for r in sums.collect())
+    if not days:
+        raise ValueError("no rows")
+    t, d, w = zip(*days)
+    total = np.cumsum(np.array(d) / np.cumsum(np.array(w)[::-1])[::-1])
+    return rows.sparkSession.createDataFrame([(a, float(b)) for a, b in zip(t, total)], StructType(
+        [StructField("_day", rows.schema[duration].dataType), StructField("_H", DoubleType())]))
 
 
 def fit_boosted_cox(df: DataFrame, cols: Sequence[str], rounds: int = 300, rate: float = 0.1, depth: int = 3,
                     subsample: float = 0.8, dropout: float = 0.1, seed: int = 42, key: str = KEY,
-                    duration: str = "duration", event: str = "event_observed") -> BoostedCox:
+                    duration: str = "duration", event: str = "event_observed", cut: int = 20) -> BoostedCox:
     """Trees fitted to the Cox gradient, with row subsampling and tree dropout.
 
-    Tree outputs are kept as an array per row; weights live on the driver, so dropping
-    and rescaling trees needs no extra pass. Lineage is cut every 10 rounds.
+    Rows and the outputs of the trees so far are one persisted block; a round reads it for the day sums, for the tree and
+    for the next block, which replaces it. So jobs and scans per round do not grow with the round. Weights live on the
+    driver: dropping and rescaling trees needs no pass. Lineage is cut every ``cut`` rounds.
     """
     rng = random.Random(seed)
     model = BoostedCox(tuple(cols))
-    rows = _assemble(df.select(key, duration, event, *cols), cols).withColumn("_out", F.array().cast("array<double>"))
+    rows = _assemble(df.select(key, duration, event, *cols), cols).drop(*[c for c in cols if c not in (key, duration, event)])
+    rows = rows.withColumn("_out", F.array().cast("array<double>")).persist()
     for i in range(rounds):
         dropped = [k for k in range(len(model.trees)) if rng.random() < dropout]
         weights = [0.0 if k in dropped else w for k, w in enumerate(model.weights)]
         score = _weighted(weights)
-        grads = _cox_gradient(rows, score, duration, event)
-        kept = grads.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed + i)), F.lit(10_000)) < int(subsample * 10_000))
+        hazard = F.broadcast(_day_hazard(rows, score, duration, event))
+        sample = rows.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed + i)), F.lit(10_000)) < int(subsample * 10_000))
+        # event minus accumulated hazard, the negative gradient of the Cox loss
+        grads = sample.join(hazard, F.col(duration) == F.col("_day")).select("_features", (F.col(event) - F.exp(score) * F.col("_H")).alias("_grad"))
         tree = DecisionTreeRegressor(featuresCol="_features", labelCol="_grad", maxDepth=depth, seed=seed,
-                                     predictionCol="_tree").fit(kept)
+                                     predictionCol="_tree").fit(grads)
         share = 1.0 / (len(dropped) + 1)
         for k in dropped:
             model.weights[k] *= len(dropped) * share
         model.trees.append(tree)
         model.weights.append(rate * share if dropped else rate)
-        rows = tree.transform(rows).withColumn("_out", F.concat("_out", F.array("_tree"))).drop("_tree")
-        if (i + 1) % 10 == 0:
-            rows = checkpointed(rows)
-    final = rows.withColumn("_w", F.exp(_weighted(model.weights)))
-    days = final.groupBy(duration).agg(F.sum(F.col(event).cast("double")).alias("d"), F.sum("_w").alias("w")).orderBy(duration).collect()
-    risk, steps = 0.0, []
-    for r in reversed(days):
-        risk += r.w
-        steps.append((float(r[duration]), r.d / risk))
-    total = 0.0
-    for t, h in reversed(steps):
-        total += h
-        model.times.append(t)
-        model.h0.append(total)
+        grown = tree.transform(rows).withColumn("_out", F.concat("_out", F.array("_tree"))).drop("_tree")
+        grown = (checkpointed(grown) if (i + 1) % cut == 0 else grown).persist()
+        grown.count()
+        rows.unpersist()
+        rows = grown
+    days = _day_hazard(rows, _weighted(model.weights), duration, event).collect()
+    rows.unpersist()
+    model.times, model.h0 = [float(r[0]) for r in days], [r[1] for r in days]
     return model
 
 
@@ -174,7 +193,6 @@ def boosted_scores(df: DataFrame, model: BoostedCox, out: str = "risk") -> DataF
 
 
 def boosted_curves(df: DataFrame, model: BoostedCox, times: Sequence[int], prefix: str = "s_") -> DataFrame:
-    import numpy as np
     scored = boosted_scores(df, model)
 
     def h0(t):

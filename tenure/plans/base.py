@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenure.operators import clean, features
-from tenure.session import written
+from tenure.session import written_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -169,9 +169,24 @@ def raw(spark: SparkSession, sf: str) -> DataFrame:
     ).drop("_copy")
 
 
+_LINES: dict[tuple, tuple] = {}
+
+
 def lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Cleaned lines before the outlier rule; written once, as queries read them several times."""
-    return written(clean.clean(raw(spark, sf), outlier="none"))
+    """Cleaned lines before the outlier rule, written once for all queries of a session on the same files.
+
+    The key holds length and time of the source tables, so tables that were written anew are cleaned anew.
+    """
+    key = [spark.sparkContext.applicationId, sf]
+    for name in ("lineitem", "orders", "part", "customer", "nation"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/{name}.parquet")
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        key += [status.getLen(), status.getModificationTime()]
+    if tuple(key) not in _LINES:
+        cleaned = clean.clean(raw(spark, sf), outlier="none")
+        _LINES[tuple(key)] = cleaned.schema, written_path(cleaned)
+    schema, path = _LINES[tuple(key)]
+    return spark.read.schema(schema).parquet(path)
 
 
 def capped(spark: SparkSession, sf: str) -> DataFrame:

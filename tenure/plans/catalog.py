@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tenure.operators import features, survival
-from tenure.plans import analytics, base, modeling, relational  # noqa: F401  (registration)
+from tenure.plans import analytics, base, certificates, modeling, relational  # noqa: F401  (registration)
 from tenure.plans.base import ORACLES, QUERIES, with_ctes  # noqa: F401
 
 

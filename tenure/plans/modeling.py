@@ -102,7 +102,7 @@ def coxnet_path(spark, sf):
 
 
 def _forest(train):
-    return survmodels.fit_forest(train, SURVIVAL_FEATURES, trees=5, depth=5, leaf=10, width=90)
+    return survmodels.fit_forest(train, SURVIVAL_FEATURES)
 
 
 @query("k20_survival_forest")

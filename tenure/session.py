@@ -41,11 +41,16 @@ def written(df: DataFrame) -> DataFrame:
 
     Readers prune its columns. The files go when the program ends.
     """
+    return df.sparkSession.read.schema(df.schema).parquet(written_path(df))
+
+
+def written_path(df: DataFrame) -> str:
+    """Write a table in the shared folder and say where."""
     spark = df.sparkSession
     path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 _WRITTEN: list[tuple[SparkSession, str]] = []

@@ -208,3 +208,46 @@ def test_aft_curves_are_those_of_the_fitted_family(spark):
     got = survmodels.weibull_curves(survmodels.aft_scores(df.limit(1), fit, ["x"]), fit.scale, [60, 90, 180, 360]).first()
     for day in (60, 90, 180, 360):
         assert got[f"s_{day}"] == pytest.approx(math.exp(-((day / 150) ** 1.4)), abs=0.02)
+
+
+@pytest.mark.parametrize("batch", ["10000", "7"])
+def test_forest_curves_fold_without_a_shuffle(spark, batch):
+    rng = np.random.default_rng(12)
+    rows = [(i, int(t), int(rng.random() < 0.7), float(rng.random()), f"n{i}") for i, t in enumerate(rng.integers(0, 400, 230))]
+    df = spark.createDataFrame(rows, "customer_id int, duration int, event_observed int, x double, kept string")
+    fit = survmodels.fit_forest(df, ["x"], trees=4, depth=3, width=60)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        out = survmodels.forest_curves(df.coalesce(2), fit, [0, 100, 359])
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+        got = {r.customer_id: r for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == 230 and out.columns == [*df.columns, "risk", "s_0", "s_100", "s_359"]
+    # by the plain grouping
+    grid = df.select("customer_id", "x").withColumn("period", F.explode(F.sequence(F.lit(0), F.lit(fit.periods - 1))))
+    from pyspark.ml.functions import vector_to_array
+    scored = fit.model.transform(survmodels._assemble(grid, ["x", "period"])).select(
+        "customer_id", "period", F.log1p(-F.least(vector_to_array("_prob")[1], F.lit(1 - 1e-9))).alias("l")).toPandas()
+    for key, part in scored.groupby("customer_id"):
+        logs = part.sort_values("period")["l"].to_numpy()
+        r = got[key]
+        assert r.kept == f"n{key}" and r.risk == pytest.approx(-(logs * (fit.periods - np.arange(fit.periods))).sum())
+        for t, have in ((0, r.s_0), (100, r.s_100), (359, r.s_359)):
+            assert have == pytest.approx(math.exp(sum(l * min(1, max(0, (t + 1 - 60 * k) / 60)) for k, l in enumerate(logs))))
+
+
+def test_boosting_follows_its_gradient(spark):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=300)
+    t = np.ceil(rng.exponential(40 / np.exp(1.2 * x))).clip(1, 200).astype(int)
+    df = spark.createDataFrame([(i, int(a), int(a < 200), float(b)) for i, (a, b) in enumerate(zip(t, x))], "customer_id int, duration int, event_observed int, x double").cache()
+    few = survmodels.fit_boosted_cox(df, ["x"], rounds=2, dropout=0.0)
+    more = survmodels.fit_boosted_cox(df, ["x"], rounds=12, dropout=0.2, cut=5)
+    assert len(more.trees) == 12 and len(more.weights) == 12
+    c = [metrics.cindex(survmodels.boosted_scores(df, m)).first().c_index for m in (few, more)]
+    assert c[1] > 0.7 and c[1] >= c[0] - 0.02
+    assert more.times == sorted(more.times) and (np.diff(more.h0) >= 0).all()
+    # nothing of the fit stays persisted but the input
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() <= 1
