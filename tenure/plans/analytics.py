@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tenure.constants import BUCKET_BINS, CLUSTER_FEATURES, FREQUENCY_BINS, HORIZONS, KM_TIME_POINTS
+from tenure.constants import BUCKET_BINS, CLUSTER_FEATURES, CV_BINS, FREQUENCY_BINS, HORIZONS, KM_TIME_POINTS, RECENCY_BINS
 from tenure.functions import scalars as S
 from tenure.operators import btyd, cox, ecdf, features, labels, metrics, ordered, report, scorecard, segment, survival
 from tenure.plans.base import CTES, gap_table, lines, query, rounded, summary
@@ -334,6 +334,37 @@ def agreement_report(spark, sf):
     return rounded(metrics.agreement(agreement_input(spark, sf), "a", "b"))
 
 
+# the same report on what two parameter sets predict; 6 decimals, so that both engines see the same ties
+for _what in ("purchases", "alive"):
+    CTES[f"pair_{_what}"] = f"SELECT customer_id, round({_what}_a, 6) AS a, round({_what}_b, 6) AS b FROM fits WHERE frequency > 0"
+    CTES[f"steps_{_what}"] = f"""SELECT v, sum(sum(ia)) OVER (ORDER BY v) / (SELECT count(*) FROM pair_{_what}) AS fa, sum(sum(ib)) OVER (ORDER BY v) / (SELECT count(*) FROM pair_{_what}) AS fb
+      FROM (SELECT a AS v, 1 AS ia, 0 AS ib FROM pair_{_what} UNION ALL SELECT b, 0, 1 FROM pair_{_what}) GROUP BY v"""
+    CTES[f"ks_{_what}"] = f"SELECT statistic, {_KS_P} AS p_value FROM (SELECT statistic, statistic * sqrt((SELECT count(*) FROM pair_{_what}) / 2.0::DOUBLE) AS x FROM (SELECT max(abs(fa - fb)) AS statistic FROM steps_{_what}))"
+
+
+def _fits_agree_sql(what):
+    def top(col, k):
+        return f"SELECT customer_id FROM pair_{what} ORDER BY {col} DESC, customer_id LIMIT {k}"
+
+    return f"""SELECT '{what}' AS quantity, round(corr(a, b), 5) AS pearson, round(avg(abs(a - b)), 5) AS mae, round(sqrt(avg((a - b) * (a - b))), 5) AS rmse, round(avg(a), 5) AS mean_a,
+      round(avg(b), 5) AS mean_b, round(sum(a), 3) AS total_a, round(sum(b), 3) AS total_b, round(quantile_cont(a, 0.5), 5) AS median_a, round(quantile_cont(b, 0.5), 5) AS median_b,
+      round(corr(ra, rb), 5) AS spearman, round(any_value(statistic), 5) AS ks_statistic, round(any_value(p_value), 5) AS ks_p_value,
+      (SELECT count(*) FROM ({top('a', 50)}) JOIN ({top('b', 50)}) USING (customer_id)) AS top50_overlap,
+      (SELECT count(*) FROM ({top('a', 100)}) JOIN ({top('b', 100)}) USING (customer_id)) AS top100_overlap
+      FROM {_RANKED.format(a='a', b='b', src=f'pair_{what}')}, ks_{what}"""
+
+
+@query("j17b_fit_agreement", " UNION ALL ".join(_fits_agree_sql(w) for w in ("purchases", "alive")))
+def fit_agreement(spark, sf):
+    both = checkpointed(two_fits(spark, sf).where("frequency > 0"))
+    out = None
+    for what in ("purchases", "alive"):
+        pair = both.select("customer_id", F.round(f"{what}_a", 6).alias("a"), F.round(f"{what}_b", 6).alias("b"))
+        one = metrics.agreement(pair, "a", "b").withColumn("quantity", F.lit(what))
+        out = one if out is None else out.unionByName(one)
+    return rounded(out, 5, total_a=3, total_b=3)
+
+
 @query("j18_difference_profile", """SELECT CAST(least(49, floor((greatest(-1000, least(1000, b - a)) + 1000) * 50 / 2000)) + 1 AS INTEGER) AS bin, count(*) AS n FROM pair GROUP BY 1""")
 def difference_profile(spark, sf):
     return metrics.diff_profile(agreement_input(spark, sf), "a", "b", -1000.0, 1000.0)
@@ -752,6 +783,29 @@ def segment_error_pivot(spark, sf):
     return rounded(report.errors_by(binned, "freq_bin", "actual_clv_6m", _PREDS), 4, churn_pct=6)
 
 
+def _errors_sql(bin_name, bins, col, src):
+    return (f"SELECT {sql_bins(col, *bins)} AS {bin_name}, count(*) AS n, round(avg(CAST(actual_clv_6m = 0 AS INTEGER)) * 100, 6) AS churn_pct, "
+            f"round(avg(actual_clv_6m), 4) AS avg_actual, {_ERR} FROM {src} GROUP BY 1")
+
+
+@query("d23b_recency_errors", _errors_sql("recency_bin", RECENCY_BINS, "recency", "valued"))
+def recency_errors(spark, sf):
+    binned = valued(spark, sf).withColumn("recency_bin", S.bin_right_closed("recency", *RECENCY_BINS))
+    return rounded(report.errors_by(binned, "recency_bin", "actual_clv_6m", _PREDS), 4, churn_pct=6)
+
+
+CTES["train_cv"] = """SELECT customer_id, round(coalesce(stddev_samp(revenue) / greatest(avg(revenue), 1), 0), 9) AS spend_cv
+  FROM (SELECT customer_id, invoice, CAST(sum(CAST(line_total AS DECIMAL(18,4))) AS DOUBLE) AS revenue FROM tx, cut WHERE invoice_date <= cutoff GROUP BY 1, 2) GROUP BY 1"""
+
+
+@query("d23c_variability_errors", _errors_sql("cv_bin", CV_BINS, "spend_cv", "(SELECT * FROM valued JOIN train_cv USING (customer_id))"))
+def variability_errors(spark, sf):
+    train, _ = labels.cutoff_split(lines(spark, sf))
+    spread = features.spend_cv(features.invoices(train)).select("customer_id", F.round("spend_cv", 9).alias("spend_cv"))
+    binned = valued(spark, sf).join(spread, "customer_id").withColumn("cv_bin", S.bin_right_closed("spend_cv", *CV_BINS))
+    return rounded(report.errors_by(binned, "cv_bin", "actual_clv_6m", _PREDS), 4, churn_pct=6)
+
+
 @query("m17_error_distribution", """SELECT outcome, round(quantile_cont(value, 0.25), 4) AS q25, round(quantile_cont(value, 0.5), 4) AS q50, round(quantile_cont(value, 0.75), 4) AS q75, round(quantile_cont(value, 0.95), 4) AS q95
   FROM (SELECT CASE WHEN actual_clv_6m = 0 THEN 'churned' ELSE 'returned' END AS outcome, CASE WHEN actual_clv_6m = 0 THEN pred_last ELSE greatest(-1000, least(1000, pred_last - actual_clv_6m)) END AS value FROM valued) GROUP BY 1""")
 def error_distribution(spark, sf):
