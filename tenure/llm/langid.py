@@ -25,11 +25,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tenure.llm.common import only_rows, row_name, stored, text_slices
+from tenure.llm.common import only_rows, release, row_name, stored, text_slices
 
 ORDER = 4
 #: Robust standard deviations and bits above the median at which a document is rejected, and the least
@@ -148,14 +149,16 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFr
     """
     left = counts.groupBy("lang", (F.col("n") - 1).alias("n"), F.col("suf").alias("h")).agg(F.count("*").alias("kinds"))
     a = F.when((F.col("n") == order) | F.col("opens"), F.col("c")).otherwise(F.coalesce("kinds", "c"))
-    rows = counts.join(left, ["lang", "n", "h"], "left").select("lang", "n", "h", "ctx", "suf", a.alias("a"))
+    # each step starts from a stored table, so its plan stays short
+    rows = stored(counts.join(left, ["lang", "n", "h"], "left").select("lang", "n", "h", "ctx", "suf", a.alias("a")))
     n1, n2 = F.count_if(F.col("a") == 1), F.count_if(F.col("a") == 2)
     discount = F.when((n1 > 0) & (n2 > 0), n1 / (n1 + 2 * n2)).otherwise(0.5)
     steps = rows.groupBy("lang", "n").agg(discount.alias("d"))
-    contexts = (rows.groupBy("lang", "n", "ctx").agg(F.sum("a").alias("all"), F.count("*").alias("kinds"))
-                .join(steps, ["lang", "n"]).withColumn("bow", F.col("d") * F.col("kinds") / F.col("all")))
-    direct = rows.join(contexts, ["lang", "n", "ctx"]).select(
-        "lang", "n", "h", "suf", ((F.col("a") - F.col("d")) / F.col("all")).alias("top"), "bow", "kinds")
+    contexts = stored(rows.groupBy("lang", "n", "ctx").agg(F.sum("a").alias("all"), F.count("*").alias("kinds"))
+                      .join(steps, ["lang", "n"]).withColumn("bow", F.col("d") * F.col("kinds") / F.col("all")))
+    direct = stored(rows.join(contexts, ["lang", "n", "ctx"]).select(
+        "lang", "n", "h", "suf", ((F.col("a") - F.col("d")) / F.col("all")).alias("top"), "bow", "kinds"))
+    release(counts.sparkSession)
     # one more kind for characters never seen
     lower = direct.where("n = 1").select("lang", "n", "h", (F.col("top") + F.col("bow") / (F.col("kinds") + 1)).alias("p"))
     every = lower
@@ -233,12 +236,11 @@ class _Scorer:
         return self.scores[[self.known[w] for w in words]]
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
+def score(docs: DataFrame, shared: Broadcast) -> DataFrame:
     """(doc_id, ..., pred, bits, chars, sure): best language, its bits per character, characters, confidence.
 
-    Columns of ``docs`` other than text are kept.
+    ``shared`` is the model of ``load``. Columns of ``docs`` other than text are kept.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in docs.columns if c != "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text") + ", pred string, bits double, chars long, sure double"
 
@@ -294,8 +296,12 @@ def identify(docs: DataFrame, learn: Column | None = None, order: int = ORDER) -
     rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"), F.coalesce(learn if learn is not None else F.lit(True), F.lit(False)).alias("learned"))
     learned = F.col("learned") & F.col("lang").isNotNull()
     counts = stored(count(rows.where(learned), order))
-    model = load(counts, order)
-    judged = stored(score(rows.select("doc_id", "text", (learned & (F.col("lang") != "")).alias("learned")), model))
+    spark = docs.sparkSession
+    release(spark)
+    shared = spark.sparkContext.broadcast(load(counts, order))
+    release(spark)
+    judged = stored(score(rows.select("doc_id", "text", (learned & (F.col("lang") != "")).alias("learned")), shared))
+    shared.destroy()
     lim = limits(judged, F.col("learned"))
     own = lim.where("size_class >= 0").withColumnRenamed("limit", "own_limit")
     pool = lim.where("size_class = -1").select("pred", F.col("limit").alias("pool_limit"))

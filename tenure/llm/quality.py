@@ -12,7 +12,8 @@ and a gain for every bigram that trusted text has, those seen once included. The
 contexts, words and bigrams (at most ``HEAD`` each) are kept in sorted arrays in every task: they are
 most of what a text asks for, and asked of a join they would be its hot keys. All others are looked up in
 one table, sharded by key; a Bloom filter of fixed size first removes requests for what no
-trusted text has, without error, since what passes is joined exactly.
+trusted text has, without error, since what passes is joined exactly. Documents ask in ``WAVES`` parts, so the
+requests on disk are those of one part.
 
 The model learns from four fifths of the trusted documents and the fifth that it has not seen sets,
 per language, the quantile of perplexity beyond which documents are rejected.
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tenure.llm.common import broadcast_if_small, only_rows, release, row_name, stored, text_slices, written
+from tenure.llm.common import broadcast_if_small, only_rows, partitions, release, row_name, stored, text_slices, written
 
 #: Contexts, words and bigrams kept in every task, and bits of the filter (16 MB).
 HEAD, FILTER_BITS = 1 << 18, 27
@@ -46,6 +47,8 @@ QUANTILE, LEAST, CELLS = 0.998, 20, 256
 FOLDS = 5
 #: Ids that are broadcast at most (16 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
+#: Parts, by the hash of a row, in which documents ask the table one after the other: the requests of one part are on disk at a time.
+WAVES = 6
 #: Documents taken at a time; bigrams summed before they are handed on.
 SLICE, MAX_GRAMS = 2_000, 1_000_000
 
@@ -293,16 +296,25 @@ def log_perplexities(docs: DataFrame, grams: DataFrame) -> DataFrame:
     """(rid, words, loss): words and mean negative log probability of a word, per distinct row."""
     spark = docs.sparkSession
     tables = Tables(grams)
-    # written before anything is asked, so that no task holds both steps
-    tail = written(tables.tail())
+    # stored before anything is asked, so that no task holds both steps, and dealt by key once for all waves
+    tail = stored(tables.tail().repartition(partitions(spark), "key").sortWithinPartitions("key"))
     release(spark)
     model = Model(tables, tail)
     release(spark)
     shared = spark.sparkContext.broadcast(model)
-    asked = docs.select(row_name(docs).alias("rid"), "text").mapInArrow(_ask(shared), "rid long, key long, times int, known double, words long")
-    found = asked.join(tail, "key", "left")
-    sums = found.groupBy("rid").agg(F.sum("known").alias("known"), F.sum(F.col("times") * F.col("value")).alias("gained"), F.sum("words").alias("words"))
-    return sums.select("rid", "words", F.when(F.col("words") > 0, -(F.col("known") + F.coalesce("gained", F.lit(0.0))) / F.col("words")).alias("loss"))
+    del model
+    rows = docs.select(row_name(docs).alias("rid"), "text")
+    sums = None
+    for wave in range(WAVES):
+        some = rows.where(F.pmod(F.xxhash64("rid", F.lit(9)), F.lit(WAVES)) == wave)
+        found = some.mapInArrow(_ask(shared), "rid long, key long, times int, known double, words long").join(tail, "key", "left")
+        summed = found.groupBy("rid").agg(F.sum("known").alias("known"), F.sum(F.col("times") * F.col("value")).alias("gained"), F.sum("words").alias("words"))
+        # the wave's requests go with its shuffle files
+        summed = stored(summed.select("rid", "words", F.when(F.col("words") > 0, -(F.col("known") + F.coalesce("gained", F.lit(0.0))) / F.col("words")).alias("loss")))
+        sums = summed if sums is None else sums.unionByName(summed)
+        release(spark)
+    shared.destroy()
+    return sums
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -327,7 +339,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     learned = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("label_id")).where(fold != 0)
     grams = written(count_bigrams(learned).sortWithinPartitions("v", "w"))
     release(docs.sparkSession)
-    loss = stored(log_perplexities(docs, grams))
+    loss = log_perplexities(docs, grams)
     release(docs.sparkSession)
     rows = docs.select("doc_id", row_name(docs).alias("rid"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("language"))
     judged = (rows.join(loss, "rid").join(ids, F.col("doc_id") == F.col("label_id"), "left")
