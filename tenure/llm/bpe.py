@@ -22,6 +22,7 @@ import gc
 import hashlib
 import struct
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from tenure.llm.common import text_slices
 
 #: Entries after which a worker's caches start anew, and the longest cached piece.
-MAX_STATES = 100_000
+MAX_STATES = 250_000
 MAX_PAIRS = 1_000_000
 MAX_PIECES = 250_000
 LONG_PIECE = 64
@@ -65,6 +66,10 @@ class Transducer:
                 if node == len(self.ends):
                     self.ends.append(-1)
             self.ends[node] = rank
+        self.inner = bytearray(len(self.ends))
+        for step in self.trie:
+            self.inner[step >> 8] = 1
+        self.packed = [struct.pack("<I", i) for i in range(len(tokens))]
         self.stable: dict[int, bool] = {}
         self.edges: tuple[dict, dict] = ({}, {})
         self._restart()
@@ -136,24 +141,29 @@ class Transducer:
 
     def _step(self, state: int, byte: int) -> tuple[bytes, int]:
         """Determinise one transition."""
-        live, step, ends, known = [], self.trie.get, self.ends, self.stable.get
+        live, step, ends, inner, known = [], self.trie.get, self.ends, self.inner, self.stable
         for node, last, held in self.states[state]:
             child = step(node << 8 | byte)
             if child is not None:
-                live.append((child, last, held))
+                if inner[child]:  # a token that no longer one begins with must end here
+                    live.append((child, last, held))
                 token = ends[child]
                 if token >= 0:
-                    ok = known(last << 32 | token)
-                    if self._can_follow(last, token) if ok is None else ok:
+                    pair = last << 32 | token
+                    if known[pair] if pair in known else self._can_follow(last, token):
                         live.append((0, token, (*held, token)))
         emitted = b""
-        first = live[0][2]
-        if first:  # the guess that reaches back furthest has handed out least
-            common = min(len(first), *(len(g[2]) for g in live))
-            while any(g[2][:common] != first[:common] for g in live):
-                common -= 1
+        if len(live) == 1:
+            first = final = live[0][2]
+        else:
+            held = [g[2] for g in live]
+            first, final = min(held), max(held)
+        if first:  # what the first and the last in order begin with, all begin with
+            common, most = 0, min(len(first), len(final))
+            while common < most and first[common] == final[common]:
+                emitted += self.packed[first[common]]
+                common += 1
             if common:
-                emitted = struct.pack(f"<{common}I", *first[:common])
                 live = [(n, last, held[common:]) for n, last, held in live]
         target = tuple(live)
         to = self.index.setdefault(target, len(self.states))
@@ -168,23 +178,27 @@ class Transducer:
             self._restart()
         whole = self.ranks.get(data)
         if whole is not None:
-            return struct.pack("<I", whole)
-        state, out, steps = 0, [], self.steps
+            return self.packed[whole]
+        state, out, known = 0, [], self.steps.get
         for byte in data:
-            emitted, state = steps.get(state << 8 | byte) or self._step(state, byte)
+            step = known(state << 8 | byte)
+            if step is None:
+                step = self._step(state, byte)
+                if len(self.states) > 2 * MAX_STATES:  # inside one very long piece: keep only where we are
+                    here = self.states[step[1]]
+                    self._restart()
+                    known = self.steps.get
+                    to = self.index.setdefault(here, len(self.states))
+                    if to == len(self.states):
+                        self.states.append(here)
+                    step = step[0], to
+            emitted, state = step
             if emitted:
                 out.append(emitted)
-            if len(self.states) > 2 * MAX_STATES:  # inside one very long piece: keep only where we are
-                here = self.states[state]
-                self._restart()
-                steps = self.steps
-                state = self.index.setdefault(here, len(self.states))
-                if state == len(self.states):
-                    self.states.append(here)
         last = self.finals.get(state)
         if last is None:
             held = next(h for node, _, h in self.states[state] if node == 0)
-            last = self.finals[state] = struct.pack(f"<{len(held)}I", *held)
+            last = self.finals[state] = b"".join([self.packed[t] for t in held])
         out.append(last)
         return b"".join(out)
 
@@ -257,20 +271,15 @@ class Utf8Stream:
 
 def decode(tokens: list[bytes], ids: Iterable[int]) -> Iterator[str]:
     """Text of a stream of ids, in pieces that never split a character."""
-    stream, block = Utf8Stream(), []
-    for i in ids:
-        block.append(tokens[i])
-        if len(block) == DECODE_BLOCK:
-            yield stream.feed(b"".join(block))
-            block = []
-    yield stream.feed(b"".join(block))
+    stream, ids = Utf8Stream(), iter(ids)
+    while block := list(islice(ids, DECODE_BLOCK)):
+        yield stream.feed(b"".join(map(tokens.__getitem__, block)))
     yield stream.finish()
 
 
-def unpack(ids: bytes) -> Iterator[int]:
-    step = 4 * DECODE_BLOCK
-    for at in range(0, len(ids), step):
-        yield from memoryview(ids)[at:at + step].cast("I")
+def unpack(ids: bytes) -> memoryview:
+    """Packed ids as numbers."""
+    return memoryview(ids).cast("I")
 
 
 _LOADED: dict[tuple[int, str], Encoder] = {}
