@@ -46,13 +46,23 @@ def written(df: DataFrame) -> DataFrame:
 
 def written_path(df: DataFrame) -> str:
     """Write a table in the shared folder and say where."""
-    spark = df.sparkSession
-    path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, "table")
     df.write.parquet(path)
+    return path
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the program ends."""
+    path = f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     _WRITTEN.append((spark, path))
     return path
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
