@@ -39,6 +39,11 @@ def row_name(docs: DataFrame) -> Column:
     return F.xxhash64(docs["doc_id"], docs["text"])
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one, whatever they are called; beside it no name can clash."""
+    return F.struct(*[docs["`" + c.replace("`", "``") + "`"] for c in docs.columns])
+
+
 def only_rows(docs: DataFrame, names: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose name is in the one column of ``names``; no column is added, so none can clash."""
     return docs.join(names, row_name(docs) == names[names.columns[0]], "left_semi")
@@ -49,6 +54,24 @@ def text_bytes(text: str) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
+#: Copies of a row that are listed in one place.
+COPIES = 4096
+
+
+def numbered_copies(rows: DataFrame) -> DataFrame:
+    """The rows with ``copy``: 0, 1, ... among rows that are equal in all columns.
+
+    Equal rows can be exchanged, so they are counted, with partial sums before the shuffle, and listed again; no window
+    ever holds them. The copies of a row that has many are listed in parts, dealt anew.
+    """
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("_n"))
+    few = counted.where(F.col("_n") <= COPIES).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    parts = counted.where(F.col("_n") > COPIES).withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(COPIES).cast("long"))))
+    last = F.least(F.col("_at") + COPIES, F.col("_n")) - 1
+    many = parts.repartition(partitions(rows.sparkSession), *rows.columns, "_at").withColumn("copy", F.explode(F.sequence("_at", last)))
+    return few.select(*rows.columns, "copy").unionByName(many.select(*rows.columns, "copy"))
+
+
 def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 

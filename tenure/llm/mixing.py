@@ -43,19 +43,22 @@ RATES = {3: (1.5, 1.0, 0.5), 1: (1.0, 1.0, 1.0), 2: (0.5, 1.0, 1.5)}
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """(doc_id, source, size, ord, bucket) of every row.
 
+    Rows alike in id, source and size can be exchanged: they are numbered, and all but the first, and rows without
+    an id, are ordered by id, size and number, so that they spread over the buckets.
     With ``row_col``, a number that no other row has, also ``row`` and ``name`` (hash of id, text and source);
-    rows without an id are then ordered by their name, so that they spread over the buckets.
+    rows without an id are then ordered by their name.
     """
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    more = []
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
+                       F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+                       *([F.col(row_col).alias("row"), F.xxhash64(id_col, text_col, source_col).alias("name")] if row_col else []))
+    given = F.col("doc_id").cast("string")
     if row_col:
-        name = F.xxhash64(id_col, text_col, source_col)
-        key = F.coalesce(F.col(id_col).cast("string"), name.cast("string"))
-        more = [F.col(row_col).alias("row"), name.alias("name")]
+        key, more = F.coalesce(given, F.col("name").cast("string")), ["row", "name"]
+    else:
+        rows, more = common.numbered_copies(rows), []
+        key = F.when(F.col("doc_id").isNotNull() & (F.col("copy") == 0), given).otherwise(F.concat_ws("#", F.coalesce(given, F.lit("")), "size", "copy"))
     ord_key = F.md5(key.cast("binary"))
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-                       F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-                       ord_key.alias("ord"), F.substring(ord_key, 1, DIGITS).alias("bucket"), *more)
+    return rows.select("doc_id", "source", "size", ord_key.alias("ord"), F.substring(ord_key, 1, DIGITS).alias("bucket"), *more)
 
 
 def targets(rows: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
@@ -146,7 +149,7 @@ def epochs(docs: DataFrame) -> DataFrame:
     document at most. Rows come in training order. Every row is read for itself: rows without an
     id, rows that share one and equal rows are told apart by a number that is written with them.
     """
-    keyed = common.written(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")))
+    keyed = common.written(docs.select(common.whole_row(docs).alias("doc"), F.monotonically_increasing_id().alias("row")))
     m = mix(keyed.select("row", "doc.doc_id", "doc.text", "doc.source"), row_col="row").where(F.col("target") > 0)
     lap = F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1)))
     readings = m.select("row", "name", "size", "source_size", "target", "start", "weight", lap.alias("lap"))

@@ -8,8 +8,9 @@ The map has ``SLOTS`` rows whatever the data size, so building and editing it is
 row holding an array of that length, and joining it is a join with a table of proven size.
 
 Defined results: a null text has 0 text bytes; null ids hash like a value, together with the
-text's checksum, so many rows without an id spread over the slots; repeated rows are rows of
-their own; an empty table gives an empty result; other columns of the input are not read.
+text's checksum; repeated rows are rows of their own: rows alike in id, size and checksum are counted,
+numbered and dealt over the slots by their number, so no slot gets more than its share of them; an empty
+table gives an empty result; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tenure.llm import common
+from tenure.session import path_exists, shared_path
 
 #: Virtual slots. Fixed for the life of a data set.
 SLOTS = 4096
@@ -29,14 +31,11 @@ MAP_SCHEMA = "version int, vslot int, shard int, bytes long"
 
 
 def records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
-    """(doc_id, size, text_crc32, vslot) of every row."""
+    """(doc_id, size, text_crc32, vslot) of every row; copies of a row are dealt over the slots after its own."""
     crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
-    return docs.select(
-        F.col(id_col).alias("doc_id"),
-        (common.text_bytes(text_col) + OVERHEAD).alias("size"),
-        crc.alias("text_crc32"),
-        F.pmod(F.xxhash64(F.col(id_col), crc), F.lit(slots)).cast("int").alias("vslot"),
-    )
+    every = docs.select(F.col(id_col).alias("doc_id"), (common.text_bytes(text_col) + OVERHEAD).alias("size"), crc.alias("text_crc32"))
+    vslot = F.pmod(F.xxhash64("doc_id", "text_crc32") + F.col("copy"), F.lit(slots)).cast("int")
+    return common.numbered_copies(every).select("doc_id", "size", "text_crc32", vslot.alias("vslot"))
 
 
 def slot_bytes(spark: SparkSession, recs: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -129,8 +128,16 @@ def assign(recs: DataFrame, slot_map: DataFrame) -> DataFrame:
                     F.col("vslot").alias("virtual_slot"), F.col("version").alias("map_version")))
 
 
-def shard_documents(spark: SparkSession, docs: DataFrame, shards: int = 24, slots: int = SLOTS) -> DataFrame:
-    """All rows of ``docs`` in ``shards`` shards of near equal bytes."""
+def shard_documents(spark: SparkSession, docs: DataFrame, shards: int = 24, slots: int = SLOTS, map_path: str | None = None, rebalance: bool = False) -> DataFrame:
+    """All rows of ``docs`` in ``shards`` shards of near equal bytes, by the map stored at ``map_path``.
+
+    Without a map there, version 1 is made and stored; a map that is there is used as it is, or edited to a next
+    version with ``rebalance``. Without a path the map lives in the shared folder until the program ends.
+    """
     recs = common.stored(records(docs, slots=slots))
-    slot_map = first_map(slot_bytes(spark, recs, slots), shards)
-    return assign(recs, slot_map)
+    path = map_path or shared_path(spark, "slot-map")
+    if not path_exists(spark, path):
+        write_map(first_map(slot_bytes(spark, recs, slots), shards), path)
+    elif rebalance:
+        write_map(common.stored(rebalanced(read_map(spark, path), slot_bytes(spark, recs, slots), shards)), path)
+    return assign(recs, read_map(spark, path))

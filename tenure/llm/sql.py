@@ -40,9 +40,13 @@ def _inverse(shape: tuple[float, ...]) -> str:
 _POSITION = "CASE " + " ".join(f"WHEN weight = {w} THEN {_inverse(shape)}" for w, shape in mixing.RATES.items()) + " END"
 
 MIXING = f"""
-WITH sized AS (
-  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS ord,
-         coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
+WITH counted AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, size) - 1 AS copy FROM counted),
+sized AS (
+  SELECT doc_id, source, size,
+         md5(CASE WHEN doc_id IS NOT NULL AND copy = 0 THEN CAST(doc_id AS VARCHAR)
+                  ELSE concat(coalesce(CAST(doc_id AS VARCHAR), ''), '#', size, '#', copy) END) AS ord FROM numbered),
 sums AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighted AS (SELECT source, source_size,
                     [{', '.join(map(str, mixing.WEIGHTS))}][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1] AS weight,
