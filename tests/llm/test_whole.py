@@ -4,12 +4,13 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tenure.llm import jaccard, langid, mixing, quality, tokencounts
+from tenure.llm import jaccard, langid, mixing, quality, sharding, sql, tokencounts
 
 DISCOUNTS = [0, 0.5, 1.0, 1.5]
 
@@ -135,3 +136,77 @@ def test_documents_without_lines_count(spark):
     out = tokencounts.count(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).collect()
     assert Counter(r.doc_id for r in out) == Counter({1: 1, 2: 1, 3: 3, None: 1})
     assert all(r.section is None and r.start is None and r.n_tokens == 0 for r in out if r.doc_id != 3)
+
+
+def equal_rows(spark, n=20_000):
+    """Rows without an id that share a text, and as many that are apart."""
+    same = spark.range(n).selectExpr("cast(null AS long) AS doc_id", "'one text of five words' AS text", "'a' AS source")
+    return same.unionByName(spark.range(n).selectExpr("id AS doc_id", "concat('some text ', id) AS text", "'a' AS source"))
+
+
+def test_equal_rows_spread_over_shards(spark):
+    out = sharding.shard_documents(spark, equal_rows(spark)).toPandas()
+    assert len(out) == 40_000 and out["doc_id"].isna().sum() == 20_000
+    sums = out.groupby("shard")["size"].sum()
+    assert len(sums) == 24 and sums.max() <= 1.05 * sums.mean()
+    assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in out.groupby("shard"))
+
+
+def test_sharding_by_a_stored_map(spark, tmp_path):
+    docs, path = equal_rows(spark, 2000), str(tmp_path / "map")
+    first = sharding.shard_documents(spark, docs, 8, map_path=path).toPandas()
+    again = sharding.shard_documents(spark, docs, 9, map_path=path).toPandas()
+    assert (first["map_version"] == 1).all() and (again["map_version"] == 1).all() and set(again["shard"]) == set(range(8))
+    grown = sharding.shard_documents(spark, docs, 9, map_path=path, rebalance=True).toPandas()
+    assert (grown["map_version"] == 2).all() and set(grown["shard"]) == set(range(9))
+    sums = grown.groupby("shard")["size"].sum()
+    assert sums.max() <= 1.05 * sums.mean()
+    one, two = (sharding.read_map(spark, path, v).toPandas().set_index("vslot")["shard"] for v in (1, 2))
+    assert 0 < (one != two.reindex(one.index)).sum() < len(one) / 4
+    held = sharding.read_map(spark, path, 1).groupBy("shard").sum("bytes").toPandas()["sum(bytes)"]
+    assert held.sum() == sums.sum()
+
+
+def test_equal_rows_spread_over_places_in_the_mix(spark):
+    docs = equal_rows(spark)
+    rows = mixing.sized(docs)
+    assert rows.count() == 40_000 and rows.groupBy("bucket").count().agg(F.max("count")).first()[0] < 60
+    out = mixing.mix(docs).toPandas()
+    assert len(out) == 40_000 and out["taken"].sum() == int(out["target"].iloc[0])
+    assert len(out[["start"]].drop_duplicates()) == 40_000 and (out["taken"] <= 2 * out["size"]).all()
+
+
+def test_mixing_equals_sql_with_equal_rows_and_nulls(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.choice([None, None, 1, 2, 3, 4]), rnd.choice([None, "", "a b", "c d", "x y z " * 4]), rnd.choice(["p", "q", None])) for _ in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_query(spark, docs).toPandas()
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas().astype({"doc_id": "Int64"}))
+    want = con.execute(sql.MIXING).df()
+    def counted(df):
+        return Counter(tuple(None if x is None or x != x else round(float(x), 6) for x in r)
+                       for r in df[["doc_id", "size", "source_size", "target", "taken", "position"]].astype(object).where(lambda d: d.notna(), None).itertuples(index=False))
+
+    assert counted(got) == counted(want)
+
+
+def test_stages_keep_any_column(spark):
+    docs = spark.createDataFrame(
+        [(1, "a b c d e f", "s", "1", "2", "3", "4", "5"), (1, "a b c d e f", "s", "1", "2", "3", "4", "5"), (2, "g h i j k l", None, "x", "y", "z", "u", "v")],
+        "doc_id long, text string, source string, __row string, `a.b` string, row string, rid string, `t``k` string")
+    for stage in (jaccard.keep_one, mixing.epochs):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        assert {r["a.b"] for r in out.collect()} == {"2", "y"}
+    assert jaccard.keep_one(docs).count() == 2
+
+
+def test_repeated_rows_bring_their_shingles_once(spark, monkeypatch):
+    near = " ".join(made_words(120))
+    docs = spark.createDataFrame([(7, near)] * 500 + [(8, near + " more")] * 400 + [(9, "else")], "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(jaccard, "written", lambda df, real=jaccard.written: seen.append(real(df)) or seen[-1])
+    out = Counter(tuple(r) for r in jaccard.join(docs).select("doc_id", "class_id", "n_links").collect())
+    assert out == {(7, 7, 899): 500, (8, 7, 899): 400, (9, 9, 0): 1}
+    assert [df.count() for df in seen if "shingles" in df.columns] == [2]
