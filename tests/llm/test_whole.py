@@ -210,3 +210,21 @@ def test_repeated_rows_bring_their_shingles_once(spark, monkeypatch):
     out = Counter(tuple(r) for r in jaccard.join(docs).select("doc_id", "class_id", "n_links").collect())
     assert out == {(7, 7, 899): 500, (8, 7, 899): 400, (9, 9, 0): 1}
     assert [df.count() for df in seen if "shingles" in df.columns] == [2]
+
+
+def test_a_shared_passage_costs_no_square(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SMALL", 8)
+    rnd = random.Random(4)
+    words = made_words(3000)
+    passage = " ".join(rnd.choices(words, k=80))
+
+    def comparisons(n):
+        docs = spark.createDataFrame([(i, passage + " " + " ".join(rnd.choices(words, k=160))) for i in range(n)], "doc_id long, text string").repartition(4)
+        seen = []
+        monkeypatch.setattr(jaccard, "buckets", lambda *a, real=buckets: seen.append(real(*a)) or seen[-1])
+        assert jaccard.join(docs).where("n_links > 0 OR class_id <> doc_id").count() == 0
+        return seen[0].groupBy("path").agg((F.count("*") * (F.count("*") - 1)).alias("c")).agg(F.sum("c")).first()[0] or 0
+
+    buckets = jaccard.buckets
+    few, many = comparisons(150), comparisons(600)
+    assert many <= 5 * max(few, 1000)
