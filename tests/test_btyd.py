@@ -172,3 +172,29 @@ def test_grid_is_dealt_to_tasks(spark, customers):
 def test_lgamma():
     x = np.array([1e-3, 0.5, 1.0, 2.0, 7.3, 11.99, 12.0, 300.0, 1e6])
     assert btyd._lgamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-12, abs=1e-12)
+
+
+def test_series_ends_for_all_times_at_once():
+    x, tx, T = np.array([0.0, 2.0, 40.0, np.nan]), np.array([0.0, 30.0, 300.0, 5.0]), np.array([10.0, 100.0, 700.0, 50.0])
+    times = np.array([30.0, 180.0, 3650.0])[:, None]
+    got = btyd._purchases(REF, times, x, tx, T)
+    each = np.array([btyd._purchases(REF, float(t), x, tx, T) for t in times[:, 0]])
+    # an unknown history has no value, and ends
+    assert np.isnan(got[:, 3]).all() and np.allclose(got[:, :3], each[:, :3], rtol=1e-12, atol=0)
+    assert btyd._purchases(REF, times, *np.zeros((3, 0))).shape == (3, 0)
+
+
+def test_posterior_is_that_of_scores_under_each_draw(spark, customers):
+    rows = customers.limit(40).unionByName(customers.limit(40))
+    d = [dict(draw=i, r=0.6 + 0.1 * i, alpha=200.0 + 9 * i, a=0.5, b=3.0, p=5.0 + i, q=3.5, v=800.0) for i in range(3)]
+    got = btyd.posterior(rows, d, t=75.0, months=2).orderBy("customer_id").toPandas()
+    plain = rows.orderBy("customer_id")
+    for k in d:
+        m, g = btyd.BgNbd(k["r"], k["alpha"], k["a"], k["b"]), btyd.GammaGamma(k["p"], k["q"], k["v"])
+        plain = btyd.clv(btyd.expected_purchases(plain, m, 75.0, f"n{k['draw']}"), m, g, 2, out=f"v{k['draw']}")
+    plain = plain.toPandas()
+    for out, col in (("purchases", "n"), ("clv", "v")):
+        want = plain[[f"{col}{i}" for i in range(3)]].to_numpy(float)
+        assert np.allclose(got[f"{out}_mean"], want.mean(1), equal_nan=True)
+        assert np.allclose(got[f"{out}_std"], want.std(1), equal_nan=True)
+    assert got.loc[got.frequency == 0, "clv_mean"].isna().all() and got.loc[got.frequency > 0, "clv_mean"].notna().all()
