@@ -301,10 +301,11 @@ def asof(df: DataFrame, col: str, points: DataFrame, x: str, before: str = "befo
     w = W.orderBy("_range")
     borders = F.broadcast(every.select("_range", F.last("_high", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)).alias("_from"),
                                        F.first("_low", ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing)).alias("_to")))
-    # a point comes before the rows at its own value
+    # a point comes before the rows at its own value; both frames run from the range's start, as one to its end is read anew for each row
     inside = W.partitionBy("_range").orderBy("_x", "_is")
+    backward = W.partitionBy("_range").orderBy(F.desc("_x"), F.desc("_is"))
     found = (ranged.withColumn(before, F.last("_p", ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, 0)))
-             .withColumn(after, F.first("_p", ignorenulls=True).over(inside.rowsBetween(1, W.unboundedFollowing)))
+             .withColumn(after, F.last("_p", ignorenulls=True).over(backward.rowsBetween(W.unboundedPreceding, -1)))
              .where("_is = 1").join(borders, "_range")
              .select("_row", "_x", F.coalesce(before, "_from").alias(before), F.coalesce(after, "_to").alias(after)))
     out = found

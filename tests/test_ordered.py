@@ -170,3 +170,10 @@ def test_asof_without_points_or_rows(spark):
     none = spark.createDataFrame([], "x double, y double")
     assert [(r.before, r.after) for r in ordered.asof(df, "q", none, "x").collect()] == [(None, None)] * 2
     assert ordered.asof(df.limit(0), "q", none, "x").collect() == []
+
+
+def test_asof_reads_no_range_anew_for_each_row(spark):
+    df = spark.range(50).selectExpr("id", "id * 0.5 AS q")
+    plan = ordered.asof(df, "q", spark.range(20).selectExpr("id * 1.0D AS x"), "x")._jdf.queryExecution().optimizedPlan().toString()
+    ranged = [line for line in plan.splitlines() if "Window [" in line and "_x#" in line]
+    assert len(ranged) >= 2 and not any("unboundedfollowing" in line.lower() for line in ranged)
