@@ -236,13 +236,20 @@ def lognormal_curves(df: DataFrame, sigma: Column, times: Sequence[int], mu: str
 # Importance and samples ------------------------------------------------------------------
 
 
-def with_donors(df: DataFrame, cols: Sequence[str], key: str = KEY, seed: int = 0) -> DataFrame:
-    """Give every row the values of another row, drawn by a seeded permutation, as the struct ``_donor``."""
+def with_place(df: DataFrame, key: str = KEY) -> DataFrame:
+    """Rows with the position ``rn`` of their key in key order."""
+    return df.join(ordered.row_index(df.select(key), key), key)
+
+
+def with_donors(df: DataFrame, cols: Sequence[str], key: str = KEY, seed: int = 0, placed: DataFrame | None = None) -> DataFrame:
+    """Give every row the values of another row, drawn by a seeded permutation, as the struct ``_donor``.
+
+    ``placed`` is ``with_place(df)``, for callers that draw several permutations of the same rows.
+    """
     hashed = df.withColumn("_h", ordered.shuffled(key, seed))
     order = ordered.row_index(hashed.select("_h"), "_h")
-    place = ordered.row_index(df.select(key), key)
     donors = hashed.select("_h", F.struct(*cols).alias("_donor")).join(order, "_h").select("rn", "_donor")
-    return df.join(place, key).join(donors, "rn").drop("rn")
+    return (with_place(df, key) if placed is None else placed).join(donors, "rn").drop("rn")
 
 
 def permuted(df: DataFrame, col: str, key: str = KEY, seed: int = 0) -> DataFrame:
@@ -257,9 +264,10 @@ def permutation_importance(df: DataFrame, cols: Sequence[str], score, repeats: i
     costs one join; all shuffles are scored and ranked in one job.
     """
     rows = df.select(key, "duration", "event_observed", *cols)
+    placed = checkpointed(with_place(rows, key))
     stacked = rows.withColumns({"feature": F.lit(""), "repeat": F.lit(0)})
     for r in range(repeats):
-        pairs = with_donors(rows, cols, key, seed * 1000 + r).withColumn("feature", F.explode(F.array(*[F.lit(c) for c in cols])))
+        pairs = with_donors(rows, cols, key, seed * 1000 + r, placed).withColumn("feature", F.explode(F.array(*[F.lit(c) for c in cols])))
         mixed = pairs.withColumns({c: F.when(F.col("feature") == c, F.col(f"_donor.{c}")).otherwise(F.col(c)) for c in cols})
         stacked = stacked.unionByName(mixed.drop("_donor").withColumn("repeat", F.lit(r)))
     scored = checkpointed(score(stacked).select("duration", "event_observed", "risk", "feature", "repeat"))
