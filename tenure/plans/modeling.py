@@ -39,7 +39,8 @@ def repeat_rows(spark, sf):
 
 
 def split_rows(spark, sf):
-    rows = labels.split(repeat_rows(spark, sf), test=0.25, stratify="event_observed")
+    """Training and test rows; the split is ranked once, as fits read their part many times."""
+    rows = checkpointed(labels.split(repeat_rows(spark, sf), test=0.25, stratify="event_observed"))
     return rows.where("split = 'train'"), rows.where("split = 'test'")
 
 
@@ -366,7 +367,7 @@ def clv_export(spark, sf):
     linear = models.oof_regress(rows, CLV_FEATURES, "actual_clv_6m", "linear").withColumnRenamed("pred", "pred_linear")
     scored = metrics.attach_predictions(rows, linear, ["pred_linear"])
     tx, _ = labels.cutoff_split(lines(spark, sf))
-    rfm = btyd.rfm(tx)
+    rfm = checkpointed(btyd.rfm(tx))
     value = btyd.clv_fill(btyd.clv(rfm, btyd.fit_bgnbd(rfm, penalty=0.001), btyd.fit_gamma_gamma(rfm, penalty=0.001)))
     scored = metrics.attach_predictions(scored, value, ["clv"])
     return models.clv_result(scored, {"pred_linear": "linear_regression_clv", "clv": "btyd_clv"})

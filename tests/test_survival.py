@@ -251,3 +251,27 @@ def test_boosting_follows_its_gradient(spark):
     assert more.times == sorted(more.times) and (np.diff(more.h0) >= 0).all()
     # nothing of the fit stays persisted but the input
     assert spark.sparkContext._jsc.getPersistentRDDs().size() <= 1
+
+
+def test_importance_places_its_rows_once(spark, monkeypatch):
+    df = spark.createDataFrame([(i, 1 + i % 50, i % 2, float(i % 7), float(i % 3)) for i in range(120)],
+                               "customer_id long, duration int, event_observed int, a double, b double").cache()
+    placed, real = [], survmodels.ordered.row_index
+    monkeypatch.setattr(survmodels.ordered, "row_index", lambda d, key, *by: placed.append(key) or real(d, key, *by))
+    out = survmodels.permutation_importance(df, ["a", "b"], lambda d: d.withColumn("risk", F.col("a") - F.col("b")), repeats=3).collect()
+    df.unpersist()
+    assert sorted(r.feature for r in out) == ["a", "b"]
+    assert placed.count("customer_id") == 1 and placed.count("_h") == 3
+
+
+def test_fits_read_written_rows(spark, monkeypatch):
+    from tenure.plans import modeling
+    read = []
+    monkeypatch.setattr(modeling.btyd, "fit_bgnbd", lambda df, **more: read.append(df) or modeling.btyd.BgNbd(0.7, 240.0, 0.5, 3.4))
+    monkeypatch.setattr(modeling.btyd, "fit_gamma_gamma", lambda df, **more: read.append(df) or modeling.btyd.GammaGamma(6.0, 4.0, 90000.0))
+    modeling.clv_export(spark, "/root/testdata/sf0.001")
+    read += modeling.split_rows(spark, "/root/testdata/sf0.001")
+    for df in read:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan
+    assert len(read) == 4
