@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tenure.llm.common import broadcast_if_small, only_rows, partitions, release, row_name, stored, text_slices, written
+from tenure.llm.common import broadcast_if_small, only_rows, partitions, release, remove_written, row_name, stored, text_slices, written, written_by_key, written_so_far
 
 #: Contexts, words and bigrams kept in every task, and bits of the filter (16 MB).
 HEAD, FILTER_BITS = 1 << 18, 27
@@ -292,14 +292,21 @@ def _ask(shared: Broadcast):
     return run
 
 
-def log_perplexities(docs: DataFrame, grams: DataFrame) -> DataFrame:
-    """(rid, words, loss): words and mean negative log probability of a word, per distinct row."""
+def log_perplexities(docs: DataFrame, grams: DataFrame, since: int | None = None) -> DataFrame:
+    """(rid, words, loss): words and mean negative log probability of a word, per distinct row.
+
+    The model's own tables go before anything is asked; so does what was written from the mark ``since`` on, as ``grams``.
+    """
+    since = written_so_far() if since is None else since
     spark = docs.sparkSession
     tables = Tables(grams)
     # stored before anything is asked, so that no task holds both steps, and dealt by key once for all waves
-    tail = stored(tables.tail().repartition(partitions(spark), "key").sortWithinPartitions("key"))
+    tail = written_by_key(tables.tail(), "key", partitions(spark))
     release(spark)
     model = Model(tables, tail)
+    # the model and the table that is asked hold all that is needed of the counts
+    del tables
+    remove_written(since, keep=1)
     release(spark)
     shared = spark.sparkContext.broadcast(model)
     del model
@@ -337,9 +344,10 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     ids = broadcast_if_small(stored(trusted_ids(labels)), BROADCAST_ROWS)
     fold = F.pmod(F.xxhash64("label_id", F.lit(5)), F.lit(FOLDS))
     learned = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("label_id")).where(fold != 0)
+    since = written_so_far()
     grams = written(count_bigrams(learned).sortWithinPartitions("v", "w"))
     release(docs.sparkSession)
-    loss = log_perplexities(docs, grams)
+    loss = log_perplexities(docs, grams, since)
     release(docs.sparkSession)
     rows = docs.select("doc_id", row_name(docs).alias("rid"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("language"))
     judged = (rows.join(loss, "rid").join(ids, F.col("doc_id") == F.col("label_id"), "left")
