@@ -14,7 +14,7 @@ from tenure.operators import aft, btyd, clean, cox, features, labels, metrics, m
 from tenure.plans.analytics import _step_sql, tiered
 from tenure.plans.base import CTES, GROUPS, HOME, PATTERNS, lines, query, rounded
 from tenure.plans.relational import conversion_labels, sql_norm_cdf
-from tenure.session import checkpointed
+from tenure.session import checkpointed, written
 
 TIMES = (90, 180, 360, 540)
 
@@ -22,20 +22,23 @@ TIMES = (90, 180, 360, 540)
 def survival_features(spark, sf):
     """Behavioural features with duration, event and segment of every customer.
 
-    One row per customer, written once: fits and scorecards read it many times.
+    One row per customer, written once: fits and scorecards read it many times. So are the invoices, which spend and gaps read.
     """
     tx = lines(spark, sf)
-    inv = features.invoices(tx)
+    inv = written(features.invoices(tx))
     surv = survival.attach(survival.dataset(tx, features.observation_end(tx)), tiered(spark, sf))
     rows = features.behaviour(inv).drop("first_purchase", "last_purchase").join(surv, "customer_id")
     return clean.finite_cols(checkpointed(rows), SURVIVAL_FEATURES, how="drop")
 
 
-def repeat_rows(spark, sf):
+def repeat_part(rows):
     """Repeat customers' rows with durations of at least a day."""
-    rows = survival_features(spark, sf).where("segment <> 'One-Timer'")
     cols = ["customer_id", "segment", "duration", "event_observed", *SURVIVAL_FEATURES]
-    return survival.clip_duration(rows).select(*cols)
+    return survival.clip_duration(rows.where("segment <> 'One-Timer'")).select(*cols)
+
+
+def repeat_rows(spark, sf):
+    return repeat_part(survival_features(spark, sf))
 
 
 def split_rows(spark, sf):
@@ -252,8 +255,7 @@ def risk_label(spark, sf):
     return rows.select("customer_id", scorecard.risk_label("s_90", F.col("event_observed") == 1).alias("risk_label"))
 
 
-def card(spark, sf, model=LITERAL):
-    rows = survival_features(spark, sf)
+def card(rows, model=LITERAL):
     repeat = scorecard.median_lifetime(scorecard.repeat(rows.where("segment <> 'One-Timer'"), model), model)
     single = scorecard.one_timers(rows.where("segment = 'One-Timer'"), survival.km(rows))
     return scorecard.build(repeat, single)
@@ -268,18 +270,19 @@ CTES["card"] = f"""SELECT customer_id, segment, CASE event_observed WHEN 1 THEN
 
 @query("l05_scorecard", "SELECT * FROM card")
 def scorecard_table(spark, sf):
-    return card(spark, sf)
+    return card(survival_features(spark, sf))
 
 
 @query("l05b_scorecard_fitted")
 def scorecard_fitted(spark, sf):
-    return card(spark, sf, _cox(repeat_rows(spark, sf)))
+    rows = survival_features(spark, sf)
+    return card(rows, _cox(repeat_part(rows)))
 
 
 @query("l06_scorecard_audit", """SELECT 'method' AS kind, median_method AS value, count(*) AS n FROM card GROUP BY 2 UNION ALL SELECT 'risk', risk_label, count(*) FROM card GROUP BY 2
   UNION ALL SELECT 'nulls', 'all', CAST(0 AS BIGINT)""")
 def scorecard_audit(spark, sf):
-    return scorecard.audit(card(spark, sf))
+    return scorecard.audit(card(survival_features(spark, sf)))
 
 
 # Supervised models ---------------------------------------------------------------------

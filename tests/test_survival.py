@@ -275,3 +275,15 @@ def test_fits_read_written_rows(spark, monkeypatch):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "Join" not in plan and "Aggregate" not in plan
     assert len(read) == 4
+
+
+def test_scorecard_computes_its_features_once(spark, monkeypatch):
+    from tenure.plans import modeling
+    made, real = [], modeling.survival_features
+    monkeypatch.setattr(modeling, "survival_features", lambda *a: made.append(a) or real(*a))
+    wrote, keep = [], modeling.written
+    monkeypatch.setattr(modeling, "written", lambda df: wrote.append(df.columns) or keep(df))
+    modeling.scorecard_fitted(spark, "/root/testdata/sf0.001")
+    assert len(made) == 1
+    # spend and gaps read one table of invoices
+    assert len(wrote) == 1 and "n_items" in wrote[0]
