@@ -3,10 +3,12 @@
 import math
 import random
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,3 +230,21 @@ def test_a_shared_passage_costs_no_square(spark, monkeypatch):
     buckets = jaccard.buckets
     few, many = comparisons(150), comparisons(600)
     assert many <= 5 * max(few, 1000)
+
+
+def test_large_buckets_are_judged_by_sums():
+    a, b = np.full(jaccard.SKETCH, 7, np.uint16).tobytes(), np.full(jaccard.SKETCH, 9, np.uint16).tobytes()
+    batch = pa.RecordBatch.from_arrays([pa.array([5, 3, 5, 5]), pa.array([a, a, b, a]), pa.array([a] * 4)], names=["path", "sketch", "first"])
+    # one row for each path of a batch, however many sets the path has
+    assert [p.to_pydict() for p in jaccard._beside_first(0.6)(iter([batch]))] == [{"path": [3, 5], "near": [1, 2], "n": [1, 3]}]
+
+
+def test_quality_takes_little_text_at_a_time(monkeypatch):
+    taken, real = [], quality.coded
+    monkeypatch.setattr(quality, "coded", lambda texts: taken.append(sum(map(len, texts.to_pylist()))) or real(texts))
+    none = (np.zeros(0, np.int64), np.zeros(0, np.float32))
+    model = SimpleNamespace(contexts=none, words=none, head=none, unseen=-1.0, open=lambda key: np.zeros(len(key), bool))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array(["word " * 200_000] * 4)], names=["rid", "text"])
+    rows = [r for p in quality._ask(SimpleNamespace(value=model))(iter([batch])) for r in p.to_pylist()]
+    assert [(r["rid"], r["words"], r["known"]) for r in rows] == [(i, 200_000, -200_000.0) for i in (1, 2, 3, 4)]
+    assert sum(taken) == 4_000_000 and max(taken) <= quality.SLICE_BYTES
