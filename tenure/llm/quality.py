@@ -49,8 +49,8 @@ FOLDS = 5
 BROADCAST_ROWS = 2_000_000
 #: Parts, by the hash of a row, in which documents ask the table one after the other: the requests of one part are on disk at a time.
 WAVES = 6
-#: Documents taken at a time; bigrams summed before they are handed on.
-SLICE, MAX_GRAMS = 2_000, 1_000_000
+#: Documents and bytes of text taken at a time (every word of them has a row of several arrays in the task); bigrams summed before they are handed on.
+SLICE, SLICE_BYTES, MAX_GRAMS = 2_000, 1_500_000, 500_000
 
 #: The context of a text's first word: the hash of the empty word, which no text has.
 START = pd.util.hash_array(np.array([""], object)).view(np.int64)[0]
@@ -110,7 +110,7 @@ def count_bigrams(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(v[at]), pa.array(w[at]), pa.array(np.add.reduceat(n, at))], names=["v", "w", "n"])
 
         for batch in batches:
-            for part in text_slices(batch, SLICE):
+            for part in text_slices(batch, SLICE, SLICE_BYTES):
                 hashes, before, own, _, _ = coded(part.column("text"))
                 pair, n = np.unique(before * len(hashes) + own, return_counts=True)
                 held.append((hashes[pair // len(hashes)], hashes[pair % len(hashes)], n))
@@ -258,7 +258,7 @@ def _ask(shared: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         for batch in batches:
-            for part in text_slices(batch, SLICE):
+            for part in text_slices(batch, SLICE, SLICE_BYTES):
                 rid = part.column("rid").to_numpy()
                 n = len(rid)
                 hashes, before, own, doc, words = coded(part.column("text"))
