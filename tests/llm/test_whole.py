@@ -248,3 +248,34 @@ def test_quality_takes_little_text_at_a_time(monkeypatch):
     rows = [r for p in quality._ask(SimpleNamespace(value=model))(iter([batch])) for r in p.to_pylist()]
     assert [(r["rid"], r["words"], r["known"]) for r in rows] == [(i, 200_000, -200_000.0) for i in (1, 2, 3, 4)]
     assert sum(taken) == 4_000_000 and max(taken) <= quality.SLICE_BYTES
+
+
+def test_several_steps_are_taken_at_once():
+    """A set's paths three steps on are those of three single steps, each once."""
+    rng = np.random.default_rng(5)
+    tokens = np.unique(rng.integers(0, 2**63, 40, np.uint64))
+    tops = rng.integers(0, 2**63, 30, np.uint64)
+
+    def after(paths, steps):
+        batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([paths.view(np.int64)], pa.list_(pa.int64())), pa.array([tokens.tobytes()])], names=["set_id", "paths", "shingles"])
+        (out,) = jaccard._step_on(steps)(iter([batch]))
+        assert set(out.column("set_id").to_pylist()) <= {7}
+        return out.column("path").to_numpy().view(np.uint64)
+
+    one_by_one = after(after(after(tops, 1), 1), 1)
+    at_once = after(np.append(tops, tops), 3)
+    assert len(at_once) > 30 and sorted(at_once) == sorted(one_by_one)
+
+
+def test_near_duplicates_leave_no_tables(spark, monkeypatch):
+    """Levels' tables go when the next level is counted, the join's when its rows are kept; shingles are not dealt anew."""
+    monkeypatch.setattr(jaccard, "SMALL", 4)
+    passage = " ".join(f"p{i}" for i in range(8))
+    docs = spark.createDataFrame([(i, passage + " " + " ".join(f"w{i}_{j}" for j in range(20))) for i in range(40)], "doc_id long, text string")
+    steps, real = [], jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df: steps.append(df) or real(df))
+    start = jaccard.written_so_far()
+    assert jaccard.keep_one(docs).count() == 40
+    assert jaccard.written_so_far() == start
+    levels = [df for df in steps if df.columns == ["path", "set_id"]]
+    assert 0 < len(levels) < jaccard.DEPTH // 2
