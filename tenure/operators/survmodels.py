@@ -39,6 +39,20 @@ def person_periods(df: DataFrame, width: int, duration: str = "duration", event:
     return rows.withColumn("_y", F.when((F.col("period") == F.col("_last")) & (F.col(event) == 1), 1.0).otherwise(0.0)).drop("_last")
 
 
+#: Customer periods that a task of a fit has: from so many on it takes work away from others, and at most about so many.
+TASK_PERIODS = (20_000, 1_000_000)
+
+
+def spread(df: DataFrame, periods: int) -> DataFrame:
+    """Deal customers to as many tasks as their periods need, as a small table of customers may come as one partition.
+
+    A task sends sums for all nodes of all trees, so there are no more tasks than the cluster runs at once unless they were too large.
+    """
+    least, most = TASK_PERIODS
+    tasks = max(min(df.sparkSession.sparkContext.defaultParallelism, periods // least), math.ceil(periods / most))
+    return df.repartition(tasks) if tasks > df.rdd.getNumPartitions() else df
+
+
 @dataclass
 class Forest:
     model: object
@@ -50,8 +64,9 @@ class Forest:
 def fit_forest(df: DataFrame, cols: Sequence[str], trees: int = 200, depth: int = 8, leaf: int = 10, width: int = 30,
                seed: int = 42, duration: str = "duration", event: str = "event_observed") -> Forest:
     """Random forest for the chance of the event in a period, given survival to it."""
-    rows = person_periods(df, width, duration, event)
-    periods = int(df.agg(F.max(F.floor(F.col(duration) / width))).first()[0]) + 1
+    last = F.floor(F.col(duration) / width)
+    most, total = df.agg(F.max(last), F.sum(F.greatest(last, F.lit(0)) + 1)).first()
+    rows, periods = person_periods(spread(df, total), width, duration, event), int(most) + 1
     model = RandomForestClassifier(
         featuresCol="_features", labelCol="_y", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=seed,
         probabilityCol="_prob", rawPredictionCol="_raw", predictionCol="_pred",

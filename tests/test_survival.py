@@ -287,3 +287,17 @@ def test_scorecard_computes_its_features_once(spark, monkeypatch):
     assert len(made) == 1
     # spend and gaps read one table of invoices
     assert len(wrote) == 1 and "n_items" in wrote[0]
+
+
+def test_a_forest_is_fitted_by_many_tasks(spark, monkeypatch):
+    """Customers that come as one partition are dealt to the cluster's tasks once they have enough periods."""
+    df = spark.range(40).selectExpr("id AS customer_id", "int(30 + 20 * (id % 9)) AS duration", "int(id % 2) AS event_observed", "double(id) AS x").coalesce(1)
+    seen, real = [], survmodels.person_periods
+    monkeypatch.setattr(survmodels, "person_periods", lambda rows, *a: seen.append(rows) or real(rows, *a))
+    few = survmodels.fit_forest(df, ["x"], trees=2, depth=2)
+    monkeypatch.setattr(survmodels, "TASK_PERIODS", (10, 1_000_000))
+    many = survmodels.fit_forest(df, ["x"], trees=2, depth=2)
+    assert [rows.rdd.getNumPartitions() for rows in seen] == [1, spark.sparkContext.defaultParallelism]
+    assert seen[1].count() == 40 and few.periods == many.periods
+    # parts stay below a bound
+    assert survmodels.spread(df, 10_000_001).rdd.getNumPartitions() == 11
