@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tenure.llm.common import only_rows, release, row_name, stored, text_slices
+from tenure.llm.common import only_rows, release, row_name, split_words, stored, text_slices
 
 ORDER = 4
 #: Robust standard deviations and bits above the median at which a document is rejected, and the least
@@ -52,13 +52,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Distinct lower-case words (runs of letters) of some texts: the words of each as indices, and offsets."""
     letters = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"\P{L}+", " ")
-    lists = pc.utf8_split_whitespace(letters)
+    lists = split_words(letters)
     flat = lists.flatten()
     coded = flat.dictionary_encode()
     offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
     words, ids = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
     empty = pc.equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
-    if empty.any():  # splitting leaves empty strings at the ends
+    if empty.any():  # a text without words leaves an empty string
         keep = ~empty[ids]
         offsets = np.append(0, np.cumsum(keep))[offsets]
         ids = (np.cumsum(~empty) - 1)[ids[keep]]

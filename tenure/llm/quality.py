@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tenure.llm.common import broadcast_if_small, only_rows, partitions, release, remove_written, row_name, stored, text_slices, written, written_by_key, written_so_far
+from tenure.llm.common import broadcast_if_small, only_rows, partitions, release, remove_written, row_name, split_words, stored, text_slices, written, written_by_key, written_so_far
 
 #: Contexts, words and bigrams kept in every task, and bits of the filter (16 MB).
 HEAD, FILTER_BITS = 1 << 18, 27
@@ -63,7 +63,7 @@ SIGNS = r"([^\s\p{L}\p{M}\p{N}]+)"
 def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the distinct words and of the start, and of every word its predecessor, itself (places in them) and its document; words per document."""
     spaced = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), SIGNS, r" \1 ")
-    lists = pc.utf8_split_whitespace(spaced)
+    lists = split_words(spaced)
     flat = lists.flatten().dictionary_encode()
     offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
     ids = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tenure.llm import jaccard, langid, mixing, quality, sharding, sql, tokencounts
+from tenure.llm.common import split_words
 
 DISCOUNTS = [0, 0.5, 1.0, 1.5]
 
@@ -279,3 +280,21 @@ def test_near_duplicates_leave_no_tables(spark, monkeypatch):
     assert jaccard.written_so_far() == start
     levels = [df for df in steps if df.columns == ["path", "set_id"]]
     assert 0 < len(levels) < jaccard.DEPTH // 2
+
+
+def test_words_end_before_the_byte_behind_the_texts():
+    """The memory behind the last text belongs to anyone; what it holds joins no separator to a word."""
+    data = pa.py_buffer(b"one two " + b"\xbf" * 8)
+    texts = pa.Array.from_buffers(pa.string(), 1, [None, pa.py_buffer(np.array([0, 8], np.int32).tobytes()), data])
+    assert split_words(texts).to_pylist() == [["one", "two"]]
+    assert split_words(pa.array(["", "  ", " a b ", None])).to_pylist() == [[""], [""], ["a", "b"], None]
+
+
+@pytest.mark.parametrize("words", [lambda t: langid.words_of(t)[0].to_pylist(), lambda t: len(quality.coded(t)[0]), lambda t: jaccard.shingle_sets(t, 1)[0].tolist()], ids=["langid", "quality", "jaccard"])
+def test_words_do_not_depend_on_free_memory(words):
+    rnd = random.Random(1)
+    for _ in range(1500):
+        n = 64 * rnd.randint(1, 30)
+        left = [np.full(n + 64 * rnd.randint(0, 2), 0xBF, np.uint8) for _ in range(4)], [pa.allocate_buffer(n + 64) for _ in range(4)]
+        del left
+        assert words(pa.array(["a" * (n - 1) + " "])) == words(pa.array(["a" * (n - 1)]))
