@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tenure.functions.scalars import clip, norm_cdf
-from tenure.operators import metrics, ordered
+from tenure.operators import metrics, ordered, trees as task_trees
 from tenure.operators.ordered import quantiles
 from tenure.session import checkpointed
 
@@ -62,11 +62,18 @@ class Forest:
 
 
 def fit_forest(df: DataFrame, cols: Sequence[str], trees: int = 200, depth: int = 8, leaf: int = 10, width: int = 30,
-               seed: int = 42, duration: str = "duration", event: str = "event_observed") -> Forest:
-    """Random forest for the chance of the event in a period, given survival to it."""
+               seed: int = 42, duration: str = "duration", event: str = "event_observed", key: str = KEY) -> Forest:
+    """Random forest for the chance of the event in a period, given survival to it.
+
+    Customers that fit a task are sent whole to the tasks, and the sums of spans of their periods make the trees there; customer
+    periods are listed for MLlib beyond that only.
+    """
     last = F.floor(F.col(duration) / width)
-    most, total = df.agg(F.max(last), F.sum(F.greatest(last, F.lit(0)) + 1)).first()
+    least, most, total, n = df.agg(F.min(last), F.max(last), F.sum(F.greatest(last, F.lit(0)) + 1), F.count("*")).first()
     rows, periods = person_periods(spread(df, total), width, duration, event), int(most) + 1
+    if least >= 0 and total <= task_trees.TASK_PERIODS and n * (len(cols) + 3) <= task_trees.TASK_VALUES:
+        model = task_trees.fit_period_forest(df.where(last.isNotNull()), cols, last, F.coalesce(F.col(event) == 1, F.lit(False)), key, trees, depth, leaf, seed)
+        return Forest(model, tuple(cols), width, periods)
     model = RandomForestClassifier(
         featuresCol="_features", labelCol="_y", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=seed,
         probabilityCol="_prob", rawPredictionCol="_raw", predictionCol="_pred",
@@ -158,12 +165,15 @@ def fit_boosted_cox(df: DataFrame, cols: Sequence[str], rounds: int = 300, rate:
                     duration: str = "duration", event: str = "event_observed", cut: int = 20) -> BoostedCox:
     """Trees fitted to the Cox gradient, with row subsampling and tree dropout.
 
-    Rows and the outputs of the trees so far are one persisted block; a round reads it for the day sums, for the tree and
+    A round needs the outcome of the one before, so rounds are not shared out: rows that fit a task are fitted in one. For
+    more, rows and the outputs of the trees so far are one persisted block; a round reads it for the day sums, for the tree and
     for the next block, which replaces it. So jobs and scans per round do not grow with the round. Weights live on the
     driver: dropping and rescaling trees needs no pass. Lineage is cut every ``cut`` rounds.
     """
     rng = random.Random(seed)
     model = BoostedCox(tuple(cols))
+    if 0 < df.count() * (len(cols) + 3) <= task_trees.TASK_VALUES:
+        return _boosted_in_a_task(df, model, rounds, rate, depth, subsample, dropout, seed, key, duration, event)
     rows = _assemble(df.select(key, duration, event, *cols), cols).drop(*[c for c in cols if c not in (key, duration, event)])
     rows = rows.withColumn("_out", F.array().cast("array<double>")).persist()
     for i in range(rounds):
@@ -192,6 +202,27 @@ def fit_boosted_cox(df: DataFrame, cols: Sequence[str], rounds: int = 300, rate:
     return model
 
 
+def _boosted_in_a_task(df: DataFrame, model: BoostedCox, rounds: int, rate: float, depth: int, subsample: float, dropout: float,
+                       seed: int, key: str, duration: str, event: str) -> BoostedCox:
+    cols = model.cols
+
+    def run(part: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        table = table.sort_by([(c, "ascending") for c in table.column_names])
+        x, t, d = task_trees.matrix(table, cols), table["_t"].to_numpy(), table["_d"].to_numpy()
+        trees, weights, days, h0 = task_trees.boosted_cox(x, t, d, rounds, rate, depth, subsample, dropout, seed)
+        for i, tree in enumerate(trees):
+            yield task_trees.packed(i, tree)
+        # weights and the hazard by day come as one more tree's arrays
+        yield task_trees.packed(-1, task_trees.Tree(np.zeros(0), days, np.zeros(0), h0, weights))
+
+    rows = df.select(F.col(key).alias("_key"), F.col(duration).cast("double").alias("_t"), F.col(event).cast("double").alias("_d"), *cols)
+    found = {r.tree: task_trees.unpacked(r) for r in task_trees.everywhere(rows, 1, run, task_trees.SCHEMA).collect()}
+    fit = found.pop(-1)
+    model.trees, model.weights = [found[i] for i in range(rounds)], fit.gains.tolist()
+    model.times, model.h0 = fit.cut.tolist(), fit.value.tolist()
+    return model
+
+
 def _weighted(weights: Sequence[float]) -> Column:
     if not weights:
         return F.lit(0.0)
@@ -199,6 +230,8 @@ def _weighted(weights: Sequence[float]) -> Column:
 
 
 def boosted_scores(df: DataFrame, model: BoostedCox, out: str = "risk") -> DataFrame:
+    if model.trees and isinstance(model.trees[0], task_trees.Tree):
+        return df.withColumn(out, task_trees.tree_sum(model.trees, model.weights, F.array(*[F.col(c).cast("double") for c in model.cols])))
     scored = _assemble(df, model.cols)
     total = F.lit(0.0)
     for i, (tree, w) in enumerate(zip(model.trees, model.weights)):

@@ -122,7 +122,7 @@ def forest_grid(spark, sf):
 
 
 def _boosted(train):
-    return survmodels.fit_boosted_cox(train, SURVIVAL_FEATURES, rounds=4, rate=0.3)
+    return survmodels.fit_boosted_cox(train, SURVIVAL_FEATURES)
 
 
 @query("k21_boosted_cox")
